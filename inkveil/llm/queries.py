@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import exact_dedup, language_id, mixing, sentencepiece_trie, simhash
+from inkveil.llm import exact_dedup, language_id, mixing, sentencepiece_trie, simhash, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.through_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +51,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_language_id, op8_simhash, op9_sentencepiece)
+    f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_language_id, op6_toxicity, op7_warc_zip, op8_simhash, op9_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {
