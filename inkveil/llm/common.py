@@ -107,3 +107,18 @@ class Words:
         self.text_start = 1 + np.concatenate(([0], np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.start, self.text_start)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of rows with equal first columns, over batches that are sorted by them; columns as numpy arrays."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+        ids = [table.column(k).to_numpy() for k in range(keys)]
+        turn = np.flatnonzero(np.any([np.diff(c) != 0 for c in ids], axis=0)) + 1
+        for a, b in zip(np.r_[0, turn[:-1]], turn, strict=True) if len(turn) else ():
+            yield {c: table.column(c).slice(a, b - a).to_numpy() for c in table.column_names}
+        rest = table.slice(turn[-1]) if len(turn) else table
+    if rest is not None and len(rest):
+        yield {c: rest.column(c).to_numpy() for c in rest.column_names}
