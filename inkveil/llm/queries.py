@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import exact_dedup, language_id, mixing, sentencepiece_trie, simhash, toxicity, warc_zip
+from inkveil.llm import embedding_dedup, exact_dedup, language_id, mixing, quality, sentencepiece_trie, simhash, substring_dedup, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"), target="entropy", value=0.98)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, with the integer ids of both documents."""
+    return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -50,8 +59,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_trie.piece_digests(_table(spark, sf_dir, "documents"), sentencepiece_trie.load_model())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_language_id, op6_toxicity, op7_warc_zip, op8_simhash, op9_sentencepiece)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_embedding_dedup, op3_substring_dedup, op4_exact_dedup, op5_language_id,
+        op6_toxicity, op7_warc_zip, op8_simhash, op9_sentencepiece, op10_quality,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
