@@ -42,7 +42,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = language_id.held_out(F.col("doc_id"), 4, 2)
-    model = toxicity.fit_toxicity(docs.select("doc_id", "text").join(labels.filter(~out), "doc_id"))
+    model = toxicity.fit_toxicity(docs, labels.filter(~out))
     return toxicity.score_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Words, slices, unit_hash
+from inkveil.llm.common import Words, slices, unit_hash, write_table
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation; chosen by hash of the id.
 FIT_DOCS = 20_000
@@ -179,32 +179,33 @@ def _words_of(text: Column) -> Column:
     return F.filter(F.array_distinct(trimmed), lambda w: F.length(w).between(3, 40))
 
 
-def fit_toxicity(labelled: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> ToxicityModel:
-    """Learn from labelled documents; rows without a text or label are left out, equal texts count once.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> ToxicityModel:
+    """Learn from docs that labels (the id and 0 or 1) has; rows without a text or label are left out, equal texts count once.
 
-    Without toxic or without clean documents the lexicon is empty, and all scores are the same.
+    The labels are sampled before the join, to about fit_docs of each class: few enough to broadcast, so that no text but the
+    sample's moves. Without toxic or without clean documents the lexicon is empty, and all scores are the same.
     """
-    rows = labelled.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text"), (F.col(label_col) == 1).alias("_toxic"))
-    rows = rows.filter("_text is not null and _toxic is not null")
-    counts = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    marks = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).filter("_id is not null and _toxic is not null")
+    counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
     rate = F.when(F.col("_toxic"), min(1.0, fit_docs / counts.get(True, 1))).otherwise(min(1.0, fit_docs / counts.get(False, 1)))
-    rows = rows.filter(unit_hash("_id") < rate).dropDuplicates(["_text"]).persist()
-    try:
-        sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
-        n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
-        if not n_toxic or not n_clean:
-            return ToxicityModel(Lexicon({}), np.array([0.0, 0, 0, 0, _PRIOR[-1]]))
-        seen = rows.select("_toxic", F.explode(_words_of(F.col("_text"))).alias("w"))
-        seen = seen.groupBy("w").agg(F.count_if("_toxic").alias("t"), F.count_if(~F.col("_toxic")).alias("c"))
-        ratio = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
-        strong = seen.filter((F.col("t") >= max(LEAST_DOCS, n_toxic * LEAST_PART)) & (ratio >= LEAST_RATIO)).withColumn("weight", F.log(ratio))
-        terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").limit(MAX_TERMS).collect()
-        weights = {r["w"]: r["weight"] for r in terms}
-        lexicon = Lexicon(weights)
-        lexicon = Lexicon(weights, _innocent(rows, lexicon))
-        return ToxicityModel(lexicon, _fit_coefficients(rows, lexicon))
-    finally:
-        rows.unpersist()
+    marks = marks.filter(unit_hash("_id") < rate).dropDuplicates(["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text")).filter("_text is not null")
+    rows = write_table(rows.join(F.broadcast(marks), "_id"), "labelled")
+    once = rows.groupBy(F.xxhash64("_text").alias("_h")).agg(F.min("_id").alias("_id")).select("_id")
+    rows = write_table(rows.join(F.broadcast(once), "_id", "left_semi"), "labelled").select("_toxic", "_text")
+    sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
+    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_toxic or not n_clean:
+        return ToxicityModel(Lexicon({}), np.array([0.0, 0, 0, 0, _PRIOR[-1]]))
+    seen = rows.select("_toxic", F.explode(_words_of(F.col("_text"))).alias("w"))
+    seen = seen.groupBy("w").agg(F.count_if("_toxic").alias("t"), F.count_if(~F.col("_toxic")).alias("c"))
+    ratio = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
+    strong = seen.filter((F.col("t") >= max(LEAST_DOCS, n_toxic * LEAST_PART)) & (ratio >= LEAST_RATIO)).withColumn("weight", F.log(ratio))
+    terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").limit(MAX_TERMS).collect()
+    weights = {r["w"]: r["weight"] for r in terms}
+    lexicon = Lexicon(weights)
+    lexicon = Lexicon(weights, _innocent(rows, lexicon))
+    return ToxicityModel(lexicon, _fit_coefficients(rows, lexicon))
 
 
 def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
