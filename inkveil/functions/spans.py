@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import checks
@@ -27,6 +27,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(rows: DataFrame) -> DataFrame:
+    """The same rows, with each column computed here once.
+
+    The optimiser merges projections and would copy a long expression to every place that names its column; it doesn't merge
+    across a generator, which costs a row's copy and no shuffle.
+    """
+    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
+
+
 def none() -> Column:
     return F.array().cast(NO_SPANS)
 

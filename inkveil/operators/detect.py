@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import covered, let, matches, none, rule_spans, span
+from inkveil.functions.spans import bound, covered, let, matches, none, rule_spans, span
 from inkveil.functions.text import norm_index, norm_key, normalize
 from inkveil.operators.context import context_spans
 from inkveil.operators.entities import org_core
@@ -80,14 +80,14 @@ def detect(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
 
     A null text has no spans. Other columns are dropped. No shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"))
-    rows = rows.withColumns({"norm": normalize(F.col("raw")), "index": norm_index(F.col("raw"))})
-    rows = rows.withColumn("spans", found_spans(F.col("norm"), settings))
+    rows = bound(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")))
+    rows = bound(rows.withColumns({"norm": normalize(F.col("raw")), "index": norm_index(F.col("raw"))}))
+    rows = bound(rows.withColumn("spans", found_spans(F.col("norm"), settings)))
     active = set(settings.active())
     if settings.propagate and "PERSON_NAME" in active:
-        rows = rows.withColumn("spans", F.concat("spans", name_copies(F.col("norm"), F.col("spans"))))
+        rows = bound(rows.withColumn("spans", F.concat("spans", name_copies(F.col("norm"), F.col("spans")))))
     if settings.propagate and "ORG_NAME" in active:
-        rows = rows.withColumn("spans", F.concat("spans", org_aliases(F.col("norm"), F.col("spans"))))
+        rows = bound(rows.withColumn("spans", F.concat("spans", org_aliases(F.col("norm"), F.col("spans")))))
     return rows
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.checks import is_hotline, is_placeholder
 from inkveil.functions.masks import mask
-from inkveil.functions.spans import NO_SPANS, let, overlaps
+from inkveil.functions.spans import NO_SPANS, bound, let, overlaps
 from inkveil.functions.text import norm_key, raw_end, raw_start, slice_of
 from inkveil.operators.entities import entity_numbers, placeholder
 from inkveil.registry import SEVERITIES, Settings
@@ -67,11 +67,11 @@ RAW_SPANS = NO_SPANS.replace("value:string>", "value:string,raw_start:int,raw_en
 
 def resolve(detected: DataFrame, settings: Settings) -> DataFrame:
     """detect()'s rows with kept: the spans that remain, disjoint, in the order in which they were taken."""
-    placed = detected.withColumn("placed", with_raw_places(F.col("spans"), F.col("raw"), F.col("index")))
-    placed = placed.withColumn("placed", in_order(F.filter("placed", lambda s: wanted(s, settings)), settings))
+    placed = bound(detected.withColumn("placed", with_raw_places(F.col("spans"), F.col("raw"), F.col("index"))))
+    placed = bound(placed.withColumn("placed", in_order(F.filter("placed", lambda s: wanted(s, settings)), settings)))
     least = SEVERITIES[settings.min_severity]
     kept = F.filter(without_overlaps(F.col("placed"), RAW_SPANS), lambda s: severity_rank(s["type_id"], settings) >= least)
-    return placed.withColumn("kept", kept).drop("placed")
+    return bound(placed.withColumn("kept", kept).drop("placed"))
 
 
 def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
@@ -83,7 +83,7 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
     meta = settings.type_map()
     keyed = resolved.withColumn("keyed", F.transform("kept", lambda s: F.struct(s.alias("s"), norm_key(s["value"]).alias("key"))))
     ids = F.transform(F.filter("kept", lambda s: s["type_id"].isin("ID_CARD", "ID_CARD_15")), lambda s: s["raw_start"])
-    keyed = keyed.withColumn("id_places", ids)
+    keyed = bound(keyed.withColumn("id_places", ids))
     groups = F.array_distinct(F.transform("keyed", lambda k: F.struct(k["s"]["type_id"].alias("type_id"), k["key"].alias("key"))))
 
     def group(g: Column, order: Column) -> Column:
@@ -103,8 +103,9 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
             F.array_min(starts).alias("first"), order.alias("ord"),
         )
 
-    keyed = keyed.withColumn("groups", groups).withColumn("groups", F.transform("groups", group))
+    keyed = bound(bound(keyed.withColumn("groups", groups)).withColumn("groups", F.transform("groups", group)))
     keyed = keyed.withColumn("numbers", entity_numbers(F.transform("groups", lambda g: F.struct(g["type_id"].alias("type_id"), g["key"].alias("key"), g["first"].alias("first")))))
+    keyed = bound(keyed)
     label = lambda t: _lookup(t, {k: m.label for k, m in meta.items()}, "")
     severity = lambda t: _lookup(t, {k: m.severity for k, m in meta.items()}, "low")
 
@@ -122,7 +123,7 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
         )
 
     out = F.transform(F.array_sort(F.transform("groups", ranked)), whole)
-    return keyed.withColumn("candidates", out).drop("keyed", "groups", "numbers", "id_places")
+    return bound(keyed.withColumn("candidates", out).drop("keyed", "groups", "numbers", "id_places"))
 
 
 def exclude_allowed(spans: DataFrame, allowed: DataFrame) -> DataFrame:
