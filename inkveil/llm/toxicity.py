@@ -121,7 +121,7 @@ class Lexicon:
                 byte = data[at].astype(np.uint64)
                 value |= byte << np.uint64(8 * (k - 1))
                 if k in table:
-                    wanted = np.sort(np.array([int.from_bytes(x.to_bytes(k, "big"), "little") if backwards else x for x in table[k]], np.uint64))
+                    wanted = np.sort(np.array(sorted(table[k]), np.uint64))
                     spot = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
                     found |= (wanted[spot] == value) & (size >= k)
         return np.flatnonzero(found)
