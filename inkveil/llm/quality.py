@@ -34,13 +34,16 @@ THRESHOLD = 0.5
 #: Steps and rate of the training.
 STEPS, RATE, DECAY = 150, 0.5, 1e-4
 
+#: A range that holds nothing: the labeller doesn't vote for good.
+NEVER = (1.0, 0.0)
+
 # For each labeller its statistic, the range of values that it calls good, and the one that it calls bad.
 LABELLERS = [
-    ("symbols", (0.0, 0.01), (0.04, 1.0)),  # ASCII symbols, without .,;:'"-()?, among the bytes
-    ("repeats", (0.0, 0.03), (0.10, 1.0)),  # words equal to the one before
-    ("capitals", (0.0, 0.12), (0.35, 1.0)),  # A-Z among ASCII letters
-    ("lone", (0.0, 0.02), (0.10, 1.0)),  # words without a letter or digit
-    ("marked", (0.0, 0.10), (0.25, 1.0)),  # words that end in a symbol other than .,;:'"-()?
+    ("symbols", NEVER, (0.04, 1.0)),  # ASCII symbols, without .,;:'"-()?, among the bytes
+    ("repeats", NEVER, (0.10, 1.0)),  # words equal to the one before
+    ("capitals", NEVER, (0.35, 1.0)),  # A-Z among ASCII letters
+    ("lone", NEVER, (0.10, 1.0)),  # words without a letter or digit
+    ("marked", NEVER, (0.25, 1.0)),  # words that end in a symbol other than .,;:'"-()?
     ("distinct", (0.35, 1.0), (0.0, 0.15)),  # distinct words among the words, or a third if there are more than 1000
     ("word_bytes", (3.0, 14.0), (25.0, 1e9)),  # mean bytes of a word
     ("words", (20.0, 1e9), (0.0, 0.5)),  # words
@@ -113,7 +116,9 @@ class LabelModel:
 
     def posterior(self, found: np.ndarray) -> np.ndarray:
         """The probability that documents with these votes are good."""
-        logs = np.log(self.rates)[:, np.arange(found.shape[1])[None, :], found].sum(axis=2)
+        each = np.log(self.rates)
+        each[:, :, 0] = 0  # no vote says nothing: most labellers look for one fault, and a document has few
+        logs = each[:, np.arange(found.shape[1])[None, :], found].sum(axis=2)
         odds = np.log(self.good) - np.log(1 - self.good) + logs[1] - logs[0]
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
@@ -122,18 +127,20 @@ def fit_label_model(found: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     """EM over distinct rows of votes and their counts. Starts from any vote for bad; rates are smoothed by one pseudo-count."""
     n = found.shape[1]
     p = np.where((found == 1).any(axis=1), 0.1, 0.95)
-    model = LabelModel(0.5, np.full((2, n, 3), 1 / 3))
+    # the part of good documents stays at its start: as no vote counts for nothing, the likelihood doesn't hold it in place
+    good = float(np.clip((counts @ p + 1) / (counts.sum() + 2), 0.05, 0.95))
+    model = LabelModel(good, np.full((2, n, 3), 1 / 3))
     for _ in range(rounds):
         rates = np.empty((2, n, 3))
         for c, weight in enumerate((counts * (1 - p), counts * p)):
             for v in range(3):
                 rates[c, :, v] = (weight @ (found == v) + 1.0) / (weight.sum() + 3.0)
-        good = float(np.clip((counts @ p + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
         # a labeller's votes for bad are right in LEAST_PRECISION of cases at least
         often = (counts @ (found == 1) + 1) / (counts.sum() + 3)
         rates[1, :, 1] = np.minimum(rates[1, :, 1], (1 - LEAST_PRECISION) * often / good)
         rates[0, :, 1] = np.clip(np.maximum(rates[0, :, 1], LEAST_PRECISION * often / (1 - good)), None, 0.999)
-        rates[:, :, [0, 2]] *= ((1 - rates[:, :, 1]) / rates[:, :, [0, 2]].sum(axis=2))[:, :, None]
+        rates[:, :, [0, 2]] *= ((1 - rates[:, :, 1]) / rates[:, :, [0, 2]].sum(axis=2))[:, :, None]  # probabilities again
+        rates[0, :, 2] = np.minimum(rates[0, :, 2], rates[1, :, 2])  # nor is a vote for good a sign of bad
         model = LabelModel(good, rates)
         before, p = p, model.posterior(found)
         if np.abs(p - before).max() < 1e-9:
