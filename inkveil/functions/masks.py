@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -19,11 +20,11 @@ def _head(v: Column, n: Column | int) -> Column:
     return F.substring(v, F.lit(1), n if isinstance(n, Column) else F.lit(n))
 
 
-def keep(v: Column, head: int, tail: int) -> Column:
+def keep(v: Column, head: int | Column, tail: int | Column) -> Column:
     """Head and tail as they are, stars between; stars alone (4 to 8) if nothing would lie between or there are 2 characters."""
-    n = F.length(v)
+    n, head, tail = F.length(v), *(x if isinstance(x, Column) else F.lit(x) for x in (head, tail))
     all_stars = stars(F.greatest(F.least(n, F.lit(8)), F.lit(4)))
-    return F.when((n <= head + tail) | (n <= 2), all_stars).otherwise(F.concat(_head(v, head), stars(n - head - tail), F.right(v, F.lit(tail))))
+    return F.when((n <= head + tail) | (n <= 2), all_stars).otherwise(F.concat(_head(v, head), stars(n - head - tail), F.right(v, tail)))
 
 
 def first_only(v: Column) -> Column:
@@ -39,7 +40,7 @@ def email(v: Column) -> Column:
 
 
 def person(v: Column) -> Column:
-    head = F.when(_head(v, 2).isin(COMPOUND_SURNAMES), 2).otherwise(1)
+    head = F.when(_head(v, 2).rlike(f"^(?:{'|'.join(COMPOUND_SURNAMES)})$"), 2).otherwise(1)
     return F.concat(_head(v, head), stars(F.greatest(F.length(v) - head, F.lit(1))))
 
 
@@ -109,8 +110,12 @@ MASKS: dict[str, Callable[[Column], Column]] = {
 
 def mask(value: Column, type_id: Column, types: Iterable[TypeMeta]) -> Column:
     """The mask of each type; six stars for an unknown one."""
-    out = None
-    for t in types:
-        own = MASKS[t.mask](value) if t.mask else F.lit(t.replacement) if t.replacement else keep(value, t.keep_head, t.keep_tail)
-        out = F.when(type_id == t.type_id, own) if out is None else out.when(type_id == t.type_id, own)
-    return F.lit("******") if out is None else out.otherwise(F.lit("******"))
+    types = list(types)
+    sizes = {t.type_id: [t.keep_head, t.keep_tail] for t in types if not t.mask and not t.replacement}
+    fixed = {t.type_id: t.replacement for t in types if t.replacement and not t.mask}
+    pick = lambda values, kind: F.element_at(F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"map<string,{kind}>"), type_id)
+    size = pick(sizes, "array<int>")
+    out = F.when(size.isNotNull(), keep(value, F.get(size, F.lit(0)), F.get(size, F.lit(1)))).when(pick(fixed, "string").isNotNull(), pick(fixed, "string"))
+    for name in sorted({t.mask for t in types if t.mask}):
+        out = out.when(type_id.isin([t.type_id for t in types if t.mask == name]), MASKS[name](value))
+    return out.otherwise(F.lit("******"))

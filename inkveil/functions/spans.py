@@ -5,7 +5,9 @@ A text is searched twice per pattern, for the matches and for what stands betwee
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,23 +82,41 @@ def rule_guard(text: Column, rule: Rule) -> Column:
     """A cheap condition that holds for any text with a span of the rule."""
     out = text.rlike(rule.guard) if rule.guard else text.isNotNull()
     if rule.require_keyword:
-        out = out & F.exists(F.lit(list(rule.keywords)), lambda k: F.contains(text, k))
+        out = out & text.rlike("|".join(map(quote, rule.keywords)))
     return out
 
 
+_PARAMETERS = (
+    "array<struct<det_ord:int,type_id:string,label:string,ok:double,weak:double,keywords:array<string>,boost:double,required:boolean,anti:array<string>,"
+    "validator:string,ok_reason:string,weak_reason:string,strip:string,window:int,most:int>>"
+)
+
+
+def constant(value: object, kind: str) -> Column:
+    """A constant of any type, in one expression that the optimiser folds."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
+def quote(word: str) -> str:
+    """The word as a pattern."""
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", word)
+
+
+def one_of(value: Column, words: Iterable[str]) -> Column:
+    """Whether the value is one of many words; a pattern, as it is one expression whatever their number."""
+    return value.rlike(f"^(?:{'|'.join(map(quote, sorted(words)))})$")
+
+
 def _parameters(rules: list[tuple[int, Rule]], labels: dict[str, str]) -> Column:
-    words = lambda x: F.lit(list(x)) if x else F.array().cast("array<string>")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("det_ord"), F.lit(r.type_id).alias("type_id"), F.lit(labels[r.type_id]).alias("label"), F.lit(float(r.conf_ok)).alias("ok"), F.lit(float(r.conf_weak)).alias("weak"),
-                words(r.keywords).alias("keywords"), F.lit(float(r.boost)).alias("boost"), F.lit(r.require_keyword).alias("required"), words(r.anti).alias("anti"),
-                F.lit(r.validator or "").alias("validator"), F.lit(r.ok_reason).alias("ok_reason"), F.lit(r.weak_reason).alias("weak_reason"),
-                F.lit(r.strip).alias("strip"), F.lit(r.window).alias("window"), F.lit(r.max_per_doc or 0).alias("most"),
-            )
-            for k, r in rules
-        ]
-    )
+    rows = [
+        {
+            "det_ord": k, "type_id": r.type_id, "label": labels[r.type_id], "ok": float(r.conf_ok), "weak": float(r.conf_weak), "keywords": r.keywords, "boost": float(r.boost),
+            "required": r.require_keyword, "anti": r.anti, "validator": r.validator or "", "ok_reason": r.ok_reason, "weak_reason": r.weak_reason, "strip": r.strip,
+            "window": r.window, "most": r.max_per_doc or 0,
+        }
+        for k, r in rules
+    ]
+    return constant(rows, _PARAMETERS)
 
 
 def rule_spans(text: Column, rules: list[tuple[int, Rule]], labels: dict[str, str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import keyword_context, let, matches, none, span
+from inkveil.functions.spans import constant, keyword_context, let, matches, none, one_of, span
 from inkveil.functions.text import after, first_word
 from inkveil.registry import ADDRESS_ORD, COMPOUND_SURNAMES, ORG_ORD, PERSON_ORD, Settings
 
@@ -77,7 +77,7 @@ def _quoted(words: list[str]) -> str:
 
 
 def _has_surname(name: Column, settings: Settings) -> Column:
-    return F.substring(name, 1, 1).rlike(f"[{settings.surnames}]") | F.substring(name, 1, 2).isin(COMPOUND_SURNAMES)
+    return F.substring(name, 1, 1).rlike(f"[{settings.surnames}]") | one_of(F.substring(name, 1, 2), COMPOUND_SURNAMES)
 
 
 _PAREN = r"(?:\s*[（(【][^)）】]{0,12}[）)】])?"
@@ -109,7 +109,7 @@ def labelled_names(text: Column, settings: Settings) -> Column:
                 F.when(~strict & ~cue, F.lit("无冒号引导且缺少佐证，降级")),
             )
         )
-        bad = name.isin([*PARTIES, *ROLES, *ORG_STOPWORDS, *NAME_STOPWORDS]) | name.rlike(_any(ROLE_WORDS))
+        bad = one_of(name, [*PARTIES, *ROLES, *ORG_STOPWORDS, *NAME_STOPWORDS]) | name.rlike(_any(ROLE_WORDS))
         keep = (name != "") & ~bad & _has_surname(name, settings)
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.least(conf, F.lit(0.97)), reasons, name))
 
@@ -135,7 +135,7 @@ def body_names(text: Column, settings: Settings) -> Column:
         end = start + F.length(name)
         led = F.substring(p["m"], F.lit(1), F.length(p["m"]) - F.length(name)).rlike("(?:通知|告知|委托)$")
         acts = after(text, end, 4).rlike(f"^(?:{_any(ACTIONS)})")
-        bad = name.rlike(_any([*NAME_STOPWORDS, *ROLE_WORDS])) | name.isin([*PARTIES, *ROLES, *ORG_STOPWORDS])
+        bad = name.rlike(_any([*NAME_STOPWORDS, *ROLE_WORDS])) | one_of(name, [*PARTIES, *ROLES, *ORG_STOPWORDS])
         keep = (name != "") & ~bad & _has_surname(name, settings) & (acts | led)
         reasons = F.array(F.lit("正文姓名候选：姓氏与动作/称谓语境匹配，需人工复核"))
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.lit(0.72), reasons, name))
@@ -145,7 +145,7 @@ def body_names(text: Column, settings: Settings) -> Column:
 
 def address_parts(value: Column) -> Column:
     """How many of the words that make up addresses the value contains."""
-    return sum((F.contains(value, F.lit(w)).cast("int") for w in ADDRESS_PARTS), F.lit(0))
+    return F.size(F.filter(constant(ADDRESS_PARTS, "array<string>"), lambda w: F.contains(value, w)))
 
 
 _STOPS = ADDRESS_STOPS.replace("[", r"\[").replace("]", r"\]")
@@ -208,9 +208,9 @@ def organisations(text: Column) -> Column:
     def scored(p: Column) -> Column:
         v, suffix = p["v"], p["x"]
         party = first_word(keyword_context(text, p["s"], p["e"], 30), ORG_PARTIES).isNotNull()
-        conf = F.when(suffix.isin(ORG_STRONG), F.lit(0.88)).otherwise(F.lit(0.58)) + F.when(party, F.lit(0.06)).otherwise(F.lit(0.0))
+        conf = F.when(one_of(suffix, ORG_STRONG), F.lit(0.88)).otherwise(F.lit(0.58)) + F.when(party, F.lit(0.06)).otherwise(F.lit(0.0))
         reasons = F.array_compact(F.array(F.concat(F.lit("含组织机构后缀「"), suffix, F.lit("」")), F.when(party, F.lit("位于合同主体上下文"))))
-        keep = (F.length(p["o"]) >= 5) & (F.length(v) >= 5) & ~v.isin(ORG_STOPWORDS) & ~p["o"].isin(ORG_STOPWORDS) & F.endswith(v, suffix)
+        keep = (F.length(p["o"]) >= 5) & (F.length(v) >= 5) & ~one_of(v, ORG_STOPWORDS) & ~one_of(p["o"], ORG_STOPWORDS) & F.endswith(v, suffix)
         return F.when(keep, span(ORG_ORD, "ORG_NAME", p["s"], p["e"], F.least(conf, F.lit(0.95)), reasons, v))
 
     endings = _quoted([*ORG_STRONG, *ORG_WEAK])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import let
+from inkveil.functions.spans import let, one_of
 
 # Regions before organisations' names.
 REGIONS = (
@@ -37,7 +37,7 @@ def _strips(name: Column) -> Column:
 
 
 def _empty_name(name: Column) -> Column:
-    return name.isin([*REGIONS, *_endings()])
+    return one_of(name, [*REGIONS, *_endings()])
 
 
 def org_core(name: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.checks import is_hotline, is_placeholder
 from inkveil.functions.masks import mask
-from inkveil.functions.spans import NO_SPANS, bound, let, overlaps
+from inkveil.functions.spans import NO_SPANS, bound, constant, let, one_of, overlaps
 from inkveil.functions.text import norm_key, raw_end, raw_start, slice_of
 from inkveil.operators.entities import entity_numbers, placeholder
 from inkveil.registry import SEVERITIES, Settings
@@ -17,10 +17,8 @@ NEAR, NEAR_BOOST = 60, 0.08
 
 
 def _lookup(type_id: Column, values: dict[str, object], default: object) -> Column:
-    out = None
-    for t, v in values.items():
-        out = F.when(type_id == t, F.lit(v)) if out is None else out.when(type_id == t, F.lit(v))
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    kind = "int" if isinstance(default, int) else "string"
+    return F.coalesce(F.element_at(constant(values, f"map<string,{kind}>"), type_id), F.lit(default))
 
 
 def priority(type_id: Column, settings: Settings) -> Column:
@@ -45,8 +43,8 @@ def with_raw_places(spans: Column, raw: Column, index: Column) -> Column:
 def wanted(s: Column, settings: Settings) -> Column:
     """Whether a span stands the filters before overlaps: active type, no made-up value, not allowed, sure enough."""
     made_up = (s["type_id"] != "AMOUNT") & is_placeholder(s["value"]) & ~((s["type_id"] == "PHONE_LANDLINE") & is_hotline(s["value"]))
-    allowed = F.exists(F.lit(sorted(settings.allowlist)), lambda a: norm_key(a) == norm_key(s["value"])) if settings.allowlist else F.lit(False)
-    return s["type_id"].isin(settings.active()) & ~made_up & ~allowed & (s["confidence"] >= settings.min_confidence)
+    allowed = F.exists(constant(sorted(settings.allowlist), "array<string>"), lambda a: norm_key(a) == norm_key(s["value"])) if settings.allowlist else F.lit(False)
+    return one_of(s["type_id"], settings.active()) & ~made_up & ~allowed & (s["confidence"] >= settings.min_confidence)
 
 
 def in_order(spans: Column, settings: Settings) -> Column:

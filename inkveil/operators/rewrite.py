@@ -46,7 +46,7 @@ def redact(found: DataFrame, replacement: str = "placeholder") -> DataFrame:
 
 def annotate(found: DataFrame) -> DataFrame:
     """doc_id and text with each place as <<TYPE#cid|confidence|masked>>; confidence with three decimals."""
-    tag = lambda c: F.concat(F.lit("<<"), c["type_id"], F.lit("#"), c["cid"].cast("string"), F.lit("|"), F.format_number(c["confidence"], "0.000"), F.lit("|"), c["masked"], F.lit(">>"))
+    tag = lambda c: F.concat(F.lit("<<"), c["type_id"], F.lit("#"), c["cid"].cast("string"), F.lit("|"), F.format_string("%.3f", c["confidence"]), F.lit("|"), c["masked"], F.lit(">>"))
     each = lambda c: F.transform(c["occurrences"], lambda o: F.struct(o["raw_start"].alias("start"), o["raw_end"].alias("end"), o["text"].alias("value"), tag(c).alias("replacement")))
     ops = F.array_sort(F.flatten(F.transform(F.col("candidates"), each)))
     return found.select("doc_id", let(ops, lambda o: splice(F.col("raw"), o))["text"].alias("text"))

@@ -8,6 +8,7 @@ from inkveil.registry import Settings
 from inkveil.sources.rules import settings_from_json, with_rule_table
 
 CONTRACT = """合同编号：HT-2024-0088-A
+签署日期：2024-03-15
 甲方：北京星海智能科技有限公司（以下简称“星海智能”）
 统一社会信用代码：91110108MA01ABCD2X
 法定代表人：张三
@@ -15,7 +16,6 @@ CONTRACT = """合同编号：HT-2024-0088-A
 联系电话：13800138001，座机 010-8666 2188
 电子邮箱：zhang.san@example.com
 合同金额：人民币 1,280,000.00 元
-签署日期：2024-03-15
 星海智能 委托乙方提供服务。张三向李四支付款项。token = sk-abcdefghijklmnop1234
 卡号：６２２５​８８０１３７７０６８６８"""
 
