@@ -167,7 +167,10 @@ def mixture(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixture itself: docs with each row as often as mixture() says; columns as in docs. Needs unique ids."""
-    plan = mixture(docs, id_col=id_col, **options).filter("copies > 0").select(F.col(id_col).alias("_mixed"), "copies")
-    out = docs.join(plan, docs[id_col] == plan["_mixed"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[docs[c] for c in docs.columns])
+    """The mixture itself: docs with each row as often as mixture() says; columns as in docs.
+
+    Rows of one id, null ids too, are all taken as often as the one of them that is taken most.
+    """
+    plan = mixture(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_mixed")).agg(F.max("copies").alias("_copies"))
+    out = docs.join(plan.filter("_copies > 0"), docs[id_col].eqNullSafe(plan["_mixed"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[docs[c] for c in docs.columns])
