@@ -30,7 +30,7 @@ def _v(select: str) -> str:
     return f"WITH v AS ({VALUES}) {select}"
 
 
-# kept spans of contracts: type, start (from 0), value, confidence, rank of severity, priority, place of the detector, reasons
+# spans of contracts (kept; clean: without made-up values such as dates of two digits; placed: in order): type, start (from 0), value, confidence, rank of severity, priority, place of the detector, reasons
 _ALL = f"""
 WITH c AS ({CONTRACTS}),
 idok AS (SELECT *, {' + '.join(f"substr(id18, {i}, 1)::INT * {w}" for i, w in enumerate([7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2], 1))} AS total FROM c),
@@ -50,7 +50,8 @@ kept AS (
     UNION ALL SELECT doc_id, k, text, 'ORG_NAME', instr(text, '第一条 ') + 3, shortname, 0.9, 2, 66, 1005, '与「' || fullname || '」同指的显式简称定义' FROM c
     UNION ALL SELECT doc_id, k, text, 'AMOUNT', instr(text, '合同金额：') + 4, amount, 0.78, 2, 50, 14, '匹配 合同金额 模式；格式匹配' FROM c
     UNION ALL SELECT doc_id, k, text, 'DATE', instr(text, '签署日期：') + 4, date_text, 0.62, 1, 30, 17, '匹配 日期 模式；格式匹配' FROM c),
-placed AS (SELECT *, s + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY prio DESC, conf DESC, length(value) DESC, det, s) AS ord FROM kept),
+clean AS (SELECT * FROM kept WHERE type_id = 'AMOUNT' OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 6 OR len(list_distinct(string_split(regexp_replace(value, '[^0-9]', '', 'g'), ''))) > 2),
+placed AS (SELECT *, s + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY prio DESC, conf DESC, length(value) DESC, det, s) AS ord FROM clean),
 ids AS (SELECT doc_id, s AS id_s FROM kept WHERE type_id = 'ID_CARD'),
 groups AS (
     SELECT doc_id, type_id, arg_min(value, ord) AS value, count(*) AS n, min(s) AS first, min(ord) AS ord, any_value(sev) AS sev,
@@ -91,7 +92,7 @@ def _kept(where: str) -> str:
 
 
 def _spans(where: str) -> str:
-    return _a(f"SELECT doc_id, s AS span_start, e AS span_end, value, conf::DOUBLE AS confidence FROM placed WHERE {where}")
+    return _a(f"SELECT doc_id, s AS span_start, s + length(value) AS span_end, value, conf::DOUBLE AS confidence FROM kept WHERE {where}")
 
 
 _FORM_CONF = {
@@ -186,7 +187,7 @@ ORACLE_SQL: dict[str, str] = {
     "keyword_boost": _v("SELECT doc_id, val_text AS value, '上下文含关键词「车牌」' AS reason, 0.75::DOUBLE AS confidence FROM v WHERE j = 7 AND k % 2 = 0"),
     "anti_keyword": _v("SELECT doc_id, val_text AS value, '疑似非敏感上下文「金额」' AS reason, 0.6::DOUBLE AS confidence FROM v WHERE j = 2 AND k % 2 = 0"),
     "max_per_doc": _runs("documents", "0-9.") + f" SELECT doc_id, least(count(*), 2) AS n FROM runs WHERE regexp_full_match(m, '(?:{_OCTET}[.]){{3}}{_OCTET}') GROUP BY doc_id",
-    "detect_all": _a("SELECT type_id, count(*) AS spans, sum(s)::BIGINT AS starts FROM placed GROUP BY type_id"),
+    "detect_all": _a("SELECT type_id, count(*) AS spans, sum(s)::BIGINT AS starts FROM kept GROUP BY type_id"),
     "resolve_overlaps": _kept("true"),
     "active_types_filter": _kept("type_id IN ('ID_CARD', 'DATE')"),
     "confidence_filter": _kept("type_id = 'ID_CARD' AND conf >= 0.6"),
@@ -226,7 +227,7 @@ ORACLE_SQL: dict[str, str] = {
     "restore_text": _a("SELECT doc_id, any_value(text) AS text, count(*) AS restored FROM placed GROUP BY doc_id"),
     "roundtrip_identity": _c("SELECT count(*) AS documents, count(*) AS same FROM c"),
     "restore_missing": _a("SELECT doc_id, placeholder FROM items WHERE type_id = 'ADDRESS'"),
-    "drift_guard": _c("SELECT doc_id, CASE WHEN k % 3 = 0 THEN 0 ELSE 2 END AS applied, CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS skipped FROM c"),
+    "drift_guard": _a("SELECT doc_id, count(*) FILTER (k % 3 <> 0) AS applied, count(*) FILTER (k % 3 = 0) AS skipped FROM placed WHERE type_id IN ('PHONE_MOBILE', 'DATE') GROUP BY doc_id"),
     "selection_types": _spliced("placeholder", "type_id IN ('PHONE_MOBILE', 'PERSON_NAME')") + " SELECT doc_id, text FROM done",
     "selection_items": _a("SELECT doc_id, type_id, s AS span_start FROM items WHERE doc_id % 60 = 0 AND type_id = 'PERSON_NAME'"),
 }
