@@ -68,6 +68,11 @@ ORG_PARTIES = ("甲方", "乙方", "丙方", "供方", "需方", "卖方", "买
 ORG_REACH = 100
 
 
+def _has_han(text: Column) -> Column:
+    """A quick look that spares texts without Han characters the long alternations."""
+    return text.rlike(f"[{HAN}]")
+
+
 def _any(words: list[str]) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
@@ -113,7 +118,7 @@ def labelled_names(text: Column, settings: Settings) -> Column:
         keep = (name != "") & ~bad & _has_surname(name, settings)
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.least(conf, F.lit(0.97)), reasons, name))
 
-    found = matches(text, rf"{_LABEL}[{HAN}]{{2,4}}{_NAME_END}", text.rlike(_any([*PARTIES, *ROLES])))
+    found = matches(text, rf"{_LABEL}[{HAN}]{{2,4}}{_NAME_END}", _has_han(text) & text.rlike(_any([*PARTIES, *ROLES])))
     return F.filter(F.transform(found, make), lambda s: s.isNotNull())
 
 
@@ -140,7 +145,7 @@ def body_names(text: Column, settings: Settings) -> Column:
         reasons = F.array(F.lit("正文姓名候选：姓氏与动作/称谓语境匹配，需人工复核"))
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.lit(0.72), reasons, name))
 
-    return F.filter(F.transform(matches(text, _BODY, text.rlike(f"[{HAN}]")), make), lambda s: s.isNotNull())
+    return F.filter(F.transform(matches(text, _BODY, _has_han(text)), make), lambda s: s.isNotNull())
 
 
 def address_parts(value: Column) -> Column:
@@ -182,9 +187,9 @@ def addresses(text: Column) -> Column:
         conf = F.lit(0.6) + F.lit(0.05) * address_parts(x["m"])
         return span(ADDRESS_ORD, "ADDRESS", x["start"], x["start"] + F.length(x["m"]), F.least(conf, F.lit(0.92)), F.array(F.lit("显式行政区划+门牌结构")), x["m"])
 
-    led = matches(text, _ADDRESS_LABEL + _ADDRESS_BODY, text.rlike(_any([*ADDRESS_LABELS, "住"])))
+    led = matches(text, _ADDRESS_LABEL + _ADDRESS_BODY, _has_han(text) & text.rlike(_any([*ADDRESS_LABELS, "住"])))
     led = F.filter(F.transform(led, make), lambda s: s.isNotNull())
-    return F.concat(led, F.transform(matches(text, BARE_ADDRESS, text.rlike("省|自治区")), bare))
+    return F.concat(led, F.transform(matches(text, BARE_ADDRESS, _has_han(text) & text.rlike("省|自治区")), bare))
 
 
 _ORG_BODY = rf"[{HAN}A-Za-z0-9（）()·&.\-'\"&&[^{ORG_BREAKS}（）\"']]"
@@ -214,7 +219,7 @@ def organisations(text: Column) -> Column:
         return F.when(keep, span(ORG_ORD, "ORG_NAME", p["s"], p["e"], F.least(conf, F.lit(0.95)), reasons, v))
 
     endings = _quoted([*ORG_STRONG, *ORG_WEAK])
-    return F.filter(F.transform(matches(text, endings, text.rlike(endings)), make), lambda s: s.isNotNull())
+    return F.filter(F.transform(matches(text, endings, _has_han(text) & text.rlike(endings)), make), lambda s: s.isNotNull())
 
 
 def context_spans(text: Column, settings: Settings) -> list[Column]:
