@@ -28,3 +28,35 @@ def test_pipeline(spark, tmp_path):
             assert ids == {r[0] for r in rows[5:] + copies} | {None}
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {r[0] for r in rows[5:]} <= got | ids and 200 not in got and 201 not in got
+
+
+def test_near_copies(spark):
+    """One changed word of 100 or five of 300 (Jaccard about 0.9) are near copies, in small buckets and in large ones."""
+    from inkveil.llm.near_dedup import shingles
+
+    rng = random.Random(4)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"new{rng.randrange(10**6)}"
+        return words
+
+    texts, many, other = {}, word(300), word(200)
+    for k in range(30):
+        texts[k] = word(100 if k % 2 else 300)
+        texts[100 + k] = changed(texts[k], 1 if k % 2 else 5)
+        texts[200 + k] = changed(texts[k], 12 if k % 2 else 40)
+    texts |= {300 + k: changed(many, 2) for k in range(40)} | {400 + k: many[:110] + word(190) for k in range(40)} | {500 + k: changed(other, 3) for k in range(25)}
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    sets = {k: shingles(t.encode()) for k, t in rows}
+    component = {k: k for k in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        for a, b in near:
+            component[a] = component[b] = min(component[a], component[b])
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (900, ""), (901, None)], "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()]
+    assert sorted(k for k in got if k is not None) == sorted([k for k in component if component[k] == k] + [900]) and None in got
+    assert not {100 + k for k in range(30)} & set(got)
