@@ -178,21 +178,22 @@ class PieceModel:
         for text in texts:
             marked = MARK + text.replace(" ", MARK) if MARK not in text else None
             units.append(_WORDS.findall(marked) if text and marked else self._with_marks(text) if text else [])
-        new = set().union(*units) - self.known.keys()
+        words = set().union(*units) - {None}
+        new = words - self.known.keys()
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
-            new = set().union(*units)
+            new = words
         self.encode_words(list(new))
         known = self.known
+        known[None] = [self.bytes[b] for b in MARK.encode()]
         return [[i for unit in found for i in known[unit]] for found in units]
 
-    def _with_marks(self, text: str) -> list[str]:
-        """Words of a text that holds the mark itself: it stands alone as a private word whose pieces are its bytes."""
-        self.known["\0mark"] = [self.bytes[b] for b in MARK.encode()]
-        out: list[str] = []
+    def _with_marks(self, text: str) -> list[str | None]:
+        """Words of a text that holds the mark itself: it stands alone as None, whose pieces are its bytes."""
+        out: list[str | None] = []
         for k, part in enumerate(text.split(MARK)):
             if k:
-                out.append("\0mark")
+                out.append(None)
             out.extend(_WORDS.findall((MARK if not k else "") + part.replace(" ", MARK)))
         return out
 

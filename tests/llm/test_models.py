@@ -173,6 +173,16 @@ def test_zip_directories(tmp_path):
         warc_zip.members(f)
 
 
+def test_marks_when_memory_is_full(monkeypatch):
+    own = sentencepiece_trie.load_model.__wrapped__()
+    texts = ["a▁b ▁\0mark", "plain words here", "x▁▁y z", "more other words ▁"]
+    want = [own.encode([t])[0] for t in texts]
+    assert [own.decode(x) for x in want] == texts
+    monkeypatch.setattr(sentencepiece_trie, "MEMORY", 3)
+    for _ in range(3):
+        assert own.encode(texts) == want and [own.encode([t])[0] for t in texts] == want
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
