@@ -89,3 +89,11 @@ def test_settings(spark):
 def test_negatives(spark):
     docs = spark.createDataFrame([(1, "商务合作及违约责任由双方承担。患者住院治疗。"), (2, "甲方应于收到通知后付款")], "doc_id long, text string")
     assert report.candidate_table(analyse(docs)).filter(F.col("type_id").isin("PERSON_NAME", "ADDRESS", "ORG_NAME")).count() == 0
+
+
+def test_all_surnames_of_the_reference(spark):
+    rare = "卫褚屈丰卓单宁甘骆"
+    docs = spark.createDataFrame([(k, f"法定代表人：{x}启明\n身份证号：110105194912310020\n{x}启明向李四支付款项。", "x", 1) for k, x in enumerate(rare)], SCHEMA)
+    got = {(r.doc_id, r.value) for r in report.candidate_table(analyse(docs)).filter("type_id = 'PERSON_NAME'").collect()}
+    assert {(k, f"{x}启明") for k, x in enumerate(rare)} <= got
+    assert len(set(Settings().surnames)) == len(Settings().surnames) == 434
