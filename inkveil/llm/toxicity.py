@@ -22,11 +22,11 @@ from inkveil.llm.common import Words, slices, unit_hash, write_table
 #: Labelled documents of each class that the model is fitted on, at most in expectation; chosen by hash of the id.
 FIT_DOCS = 20_000
 
-#: Terms a lexicon has at most, the strongest.
-MAX_TERMS = 500
+#: Terms a lexicon has at most, the strongest; bounds the driver's memory and the broadcast.
+MAX_TERMS = 5_000
 
-#: A term is in so many toxic documents at least, and in this part of them.
-LEAST_DOCS, LEAST_PART = 4, 1 / 100
+#: A term is in so many toxic documents at least, and chance puts it there with odds of e to this power against (Chernoff's bound).
+LEAST_DOCS, LEAST_EVIDENCE = 4, 20.0
 
 #: A term is so many times as frequent in toxic documents as in clean ones.
 LEAST_RATIO = 20.0
@@ -132,9 +132,12 @@ class Lexicon:
         edge = np.zeros(256, bool)
         edge[list(EDGES.encode())] = True
         start, end = words.start.copy(), words.end.copy()
-        for _ in range(3):  # marks at the ends, up to three on each side
-            start += edge[words.data[np.minimum(start, len(words.data) - 1)]] & (start < end - 1)
-            end -= edge[words.data[end - 1]] & (start < end - 1)
+        # all marks at the ends go; a word of marks alone keeps its last
+        other = np.flatnonzero(~edge[words.data])
+        at = np.flatnonzero(edge[words.data[start]])
+        start[at] = np.minimum(other[np.searchsorted(other, start[at])], end[at] - 1)
+        at = np.flatnonzero(edge[words.data[end - 1]])
+        end[at] = np.maximum(other[np.searchsorted(other, end[at]) - 1], start[at]) + 1
         out, raw = [], words.data.tobytes()
         for i in self.candidates(words.data, start, end).tolist():
             word = raw[start[i] : end[i]].decode("utf-8", "replace")
@@ -200,7 +203,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     seen = rows.select("_toxic", F.explode(_words_of(F.col("_text"))).alias("w"))
     seen = seen.groupBy("w").agg(F.count_if("_toxic").alias("t"), F.count_if(~F.col("_toxic")).alias("c"))
     ratio = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
-    strong = seen.filter((F.col("t") >= max(LEAST_DOCS, n_toxic * LEAST_PART)) & (ratio >= LEAST_RATIO)).withColumn("weight", F.log(ratio))
+    part, share = F.col("t") / (F.col("t") + F.col("c")), n_toxic / (n_toxic + n_clean)
+    rest = F.when(F.col("c") > 0, F.col("c") * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    evidence = F.col("t") * F.log(part / share) + rest
+    strong = seen.filter((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE)).withColumn("weight", F.log(ratio))
     terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").limit(MAX_TERMS).collect()
     weights = {r["w"]: r["weight"] for r in terms}
     lexicon = Lexicon(weights)

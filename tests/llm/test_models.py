@@ -173,6 +173,16 @@ def test_zip_directories(tmp_path):
         warc_zip.members(f)
 
 
+def test_toxic_words_within_marks_and_rare_terms(spark):
+    lexicon = toxicity.Lexicon({"loser": 3.0, "scum": 2.0})
+    texts = [b"loser!!!!!", b"scum!!!!", b"((((((scum))))))", b"\"\"\"\"loser", b"!!!!!!", b"----- ????", b""]
+    assert [(row, term, errors) for row, term, errors, _ in lexicon.hits(texts)] == [(0, "loser", 0), (1, "scum", 0), (2, "scum", 0), (3, "loser", 0)]
+    rows = [(k, f"word{k % 7} " + ("badterm" if k % 100 else "") + (" rareterm" if k % 200 == 0 else ""), 1) for k in range(7000)] + [(k, f"word{k % 7} clean{k}", 0) for k in range(7000, 14000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic")).lexicon.weights
+    assert found.keys() == {"badterm", "rareterm"}
+
+
 def test_marks_when_memory_is_full(monkeypatch):
     own = sentencepiece_trie.load_model.__wrapped__()
     texts = ["a▁b ▁\0mark", "plain words here", "x▁▁y z", "more other words ▁"]
