@@ -21,7 +21,7 @@ _ID17 = "'110105' || CAST(1950 + k % 50 AS STRING) || '0315' || lpad(CAST(k % 10
 _ID_SUM = " + ".join(f"CAST(substr(id17, {i}, 1) AS INT) * {w}" for i, w in enumerate(_ID_WEIGHTS, 1))
 _ID18 = f"id17 || CASE WHEN k % 5 = 0 THEN 'X' ELSE substr('10X98765432', ({_ID_SUM}) % 11 + 1, 1) END"
 _MOBILE = "'13' || lpad(CAST((k * 7919) % 1000000000 AS STRING), 9, '0')"
-_BASE = f"SELECT o_orderkey AS doc_id, o_custkey AS k, o_orderkey AS o, {_ID17.replace('k %', 'o_custkey %')} AS id17, o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 20 = 0"
+_BASE = f"SELECT o_orderkey AS doc_id, o_custkey AS k, o_orderkey AS o, {_ID17.replace('k %', 'o_custkey %')} AS id17, o_totalprice, o_orderdate FROM orders"
 
 #: doc_id, text, and what the text is made of: fullname, shortname, othername, a, b, id18, mobile, amount, date_text, address.
 CONTRACTS = f"""

@@ -74,3 +74,12 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # what has been read once isn't read again
         jobs.write_items(items.select("doc_id", "value"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, "a.b@mail.org")]
+
+
+def test_views_cover_every_order(spark):
+    from inkveil.fixtures import CONTRACTS, VALUES
+
+    orders = spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, id + 0.5D AS o_totalprice, DATE '1995-03-15' AS o_orderdate FROM range(1, 43)")
+    for view in (CONTRACTS, VALUES):
+        got = spark.sql(view.replace("FROM orders", "FROM {orders}"), orders=orders).select("doc_id").collect()
+        assert sorted(r.doc_id for r in got) == list(range(1, 43))
