@@ -25,8 +25,9 @@ FIT_DOCS = 20_000
 #: Terms a lexicon has at most, the strongest; bounds the driver's memory and the broadcast.
 MAX_TERMS = 5_000
 
-#: A term is in so many toxic documents at least, and chance puts it there with odds of e to this power against (Chernoff's bound).
-LEAST_DOCS, LEAST_EVIDENCE = 4, 20.0
+#: A term is in so many toxic documents at least, and either in this part of them or, by Chernoff's bound, there by chance with odds of e to
+#: this power against.
+LEAST_DOCS, LEAST_PART, LEAST_EVIDENCE = 4, 1 / 100, 20.0
 
 #: A term is so many times as frequent in toxic documents as in clean ones.
 LEAST_RATIO = 20.0
@@ -206,7 +207,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     part, share = F.col("t") / (F.col("t") + F.col("c")), n_toxic / (n_toxic + n_clean)
     rest = F.when(F.col("c") > 0, F.col("c") * F.log((1 - part) / (1 - share))).otherwise(0.0)
     evidence = F.col("t") * F.log(part / share) + rest
-    strong = seen.filter((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE)).withColumn("weight", F.log(ratio))
+    strong = seen.filter((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & ((F.col("t") >= n_toxic * LEAST_PART) | (evidence >= LEAST_EVIDENCE))).withColumn("weight", F.log(ratio))
     terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").limit(MAX_TERMS).collect()
     weights = {r["w"]: r["weight"] for r in terms}
     lexicon = Lexicon(weights)
@@ -227,8 +228,9 @@ def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
                 for i in lexicon.candidates(words.data, words.start, words.end).tolist():
                     w = raw[words.start[i] : words.end[i]].decode("utf-8", "replace").strip(EDGES)
                     pairs.add((int(words.row[i]), w))
+                nearest = {w: lexicon.nearest(w) for w in {w for _, w in pairs}}
                 for row, w in pairs:
-                    if (found := lexicon.nearest(w)) is not None and found[1]:
+                    if (found := nearest[w]) is not None and found[1]:
                         out.append((w, labels[row]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.bool_())], ["w", "toxic"])
 
