@@ -1,4 +1,5 @@
-"""SentencePiece encoding and decoding by a Viterbi pass that shares prefixes.
+"""SentencePiece encoding and decoding by a forward pass over words that shares prefixes; of a BPE model, as op9's, the result
+is the tokenizer's own merges, not the best sum of scores.
 
 A text is cut into marked words: a word starts at a run of the space mark, as no piece holds a mark after another character
 (checked when a model is loaded). The distinct words of a run of texts are sorted, which walks their trie depth-first: from
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +33,64 @@ MARK = "▁"
 #: Default place of a model file.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
-#: Words whose pieces a task remembers; beyond it forgets all and starts anew.
-MEMORY = 200_000
+#: Characters of the words whose pieces a task remembers in each of two generations: when the younger is full it becomes the
+#: older one, and words used again move to the younger.
+MEMORY = 4_000_000
+
+#: Pairs of pieces that a task remembers.
+PAIRS = 800_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+def _automaton(ids: dict[str, int]) -> tuple[list[dict[str, int]], list[int], list[tuple[tuple[int, int], ...]]]:
+    """Pieces as a trie of states: each state's next ones, the state of its longest proper suffix, the pieces (length, id)
+    that end there from the longest to the shortest."""
+    step: list[dict[str, int]] = [{}]
+    fail, ends = [0], [()]
+    for piece, i in ids.items():
+        at = 0
+        for c in piece:
+            if c not in step[at]:
+                step[at][c] = len(step)
+                step.append({})
+                fail.append(0)
+                ends.append(())
+            at = step[at][c]
+        ends[at] = ((len(piece), i),)
+    level = list(step[0].values())
+    while level:
+        below = []
+        for at in level:
+            ends[at] += ends[fail[at]]
+            for c, to in step[at].items():
+                back = fail[at]
+                while back and c not in step[back]:
+                    back = fail[back]
+                fail[to] = step[back].get(c, 0)
+                below.append(to)
+        level = below
+    return step, fail, ends
+
+
+def _common_starts(words: list[str], width: int = 24) -> list[int]:
+    """For each of sorted words how many characters it begins with as the one before does."""
+    if not words:
+        return []
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.array([w[:width] for w in words], f"U{width}").view(np.uint32).reshape(len(words), width)
+    differ = points[1:] != points[:-1]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    out = [0, *np.minimum(same, np.minimum(size[1:], size[:-1])).tolist()]
+    for k in np.flatnonzero(same == width).tolist():
+        depth, most = out[k + 1], int(min(size[k], size[k + 1]))
+        while depth < most and words[k][depth] == words[k + 1][depth]:
+            depth += 1
+        out[k + 1] = depth
+    return out
+
+
 class PieceModel:
     """Pieces and scores of a model with identity normalisation, a leading space mark and byte fallback.
 
@@ -56,15 +109,12 @@ class PieceModel:
             raise ValueError("a piece has a space mark after another character")
         value = {i: bytes([b]) for b, i in self.bytes.items()}
         self.values = [b"" if i in control else value.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
-        self.known: dict[str, list[int]] = {}
-        self.may_follow: dict[tuple[int, int], bool] = {}
-        # pieces by their characters from the last to the first; the id stands under ""
-        self.suffixes: dict = {}
-        for p, i in self.ids.items():
-            node = self.suffixes
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
+        # words and their ids as 32-bit little-endian numbers; None stands for a space mark in a text itself
+        self.young: dict[str | None, bytes] = {}
+        self.old: dict[str | None, bytes] = {}
+        self.size = 0
+        self.may_follow: dict[int, bool] = {}
+        self.next, self.fail, self.ends = _automaton(self.ids)
         # the two parts that the last merge of a BPE piece joins
         self.parts: dict[int, tuple[int, int]] = {}
         if self.kind == "bpe":
@@ -122,46 +172,52 @@ class PieceModel:
             else:
                 limit, a = scores[a], x[1]
 
-    def encode_words(self, words: list[str]) -> None:
-        """Remember the pieces of new words. Sorted, they are the leaves of their trie from left to right."""
-        scores, suffixes, bpe, neighbours, pairs = self.scores, self.suffixes, self.kind == "bpe", self._neighbours, self.may_follow
-        if len(pairs) > 4 * MEMORY:
-            pairs.clear()
-        # entries by depth: the last piece (-1: bytes of one character), where it begins, the sum of scores
-        last, begin, total = [0], [0], [0.0]
-        before = ""
-        for word in sorted(words):
-            depth, most = 0, min(len(word), len(before))
-            while depth < most and word[depth] == before[depth]:
-                depth += 1
-            del last[depth + 1 :], begin[depth + 1 :], total[depth + 1 :]
-            for i in range(depth + 1, len(word) + 1):
-                node, j, found = suffixes, i, []
-                while j:
-                    node = node.get(word[j - 1])
-                    if node is None:
+    def _entries(self, word: str, depth: int, last: list[int], begin: list[int], total: list[float], state: list[int]) -> None:
+        """Entries of the prefixes beyond depth.
+
+        BPE: of the pieces that end there, the longest that may follow its predecessor. Unigram: the best sum of scores.
+        """
+        step, fail, ends, scores = self.next, self.fail, self.ends, self.scores
+        pairs, neighbours, bpe = self.may_follow, self._neighbours, self.kind == "bpe"
+        at = state[depth]
+        for i in range(depth, len(word)):
+            c = word[i]
+            while (to := step[at].get(c)) is None and at:
+                at = fail[at]
+            at = to or 0
+            piece, start = -1, i
+            if bpe:
+                for size, p in ends[at]:
+                    j = i + 1 - size
+                    if not j or (a := last[j]) < 0:
+                        piece, start = p, j
                         break
-                    j -= 1
-                    if "" in node:
-                        found.append((j, node[""]))
-                piece, at, best = -1, i - 1, total[i - 1] - 1e6
-                if bpe:
-                    for j, p in reversed(found):
-                        if j and (a := last[j]) >= 0:
-                            fits = pairs.get((a, p))
-                            if fits is None:
-                                fits = pairs[a, p] = neighbours(a, p)
-                            if not fits:
-                                continue
-                        piece, at = p, j
+                    fits = pairs.get(a << 32 | p)
+                    if fits is None:
+                        fits = pairs[a << 32 | p] = neighbours(a, p)
+                    if fits:
+                        piece, start = p, j
                         break
-                else:
-                    for j, p in found:
-                        if total[j] + scores[p] > best:
-                            piece, at, best = p, j, total[j] + scores[p]
-                last.append(piece)
-                begin.append(at)
+            else:
+                best = total[i] - 1e6
+                for size, p in ends[at]:
+                    if total[i + 1 - size] + scores[p] > best:
+                        piece, start, best = p, i + 1 - size, total[i + 1 - size] + scores[p]
                 total.append(best)
+            last.append(piece)
+            begin.append(start)
+            state.append(at)
+
+    def encode_words(self, words: list[str]) -> None:
+        """Remember the pieces of new words. Sorted, they are the leaves of their trie from left to right."""
+        if len(self.may_follow) > PAIRS:
+            self.may_follow.clear()
+        # entries by depth: the last piece (-1: bytes of one character), where it begins, the sum of scores, the automaton's state
+        last, begin, total, state = [0], [0], [0.0], [0]
+        words = sorted(words)
+        for word, depth in zip(words, _common_starts(words), strict=True):
+            del last[depth + 1 :], begin[depth + 1 :], total[depth + 1 :], state[depth + 1 :]
+            self._entries(word, depth, last, begin, total, state)
             found, i = [], len(word)
             while i:
                 if last[i] >= 0:
@@ -169,24 +225,28 @@ class PieceModel:
                 else:
                     found.extend(self.bytes[b] for b in reversed(word[begin[i] : i].encode()))
                 i = begin[i]
-            self.known[word] = found[::-1]
-            before = word
+            self.young[word] = array("i", found[::-1]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. An empty text has none. A space mark in a text itself is encoded by its bytes."""
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers. An empty text has none. A space mark in a text itself is encoded by its bytes."""
         units = []
         for text in texts:
             marked = MARK + text.replace(" ", MARK) if MARK not in text else None
             units.append(_WORDS.findall(marked) if text and marked else self._with_marks(text) if text else [])
-        words = set().union(*units) - {None}
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = words
-        self.encode_words(list(new))
-        known = self.known
-        known[None] = [self.bytes[b] for b in MARK.encode()]
-        return [[i for unit in found for i in known[unit]] for found in units]
+        if self.size > MEMORY:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[None] = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
+        young, old = self.young, self.old
+        wanted = set().union(*units) - young.keys()
+        self.size += sum(map(len, wanted))
+        again = wanted & old.keys()
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        self.encode_words(list(wanted - again))
+        return [b"".join(map(young.__getitem__, found)) for found in units]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, as lists."""
+        return [np.frombuffer(raw, np.int32).tolist() for raw in self.encode_raw(texts)]
 
     def _with_marks(self, text: str) -> list[str | None]:
         """Words of a text that holds the mark itself: it stands alone as None, whose pieces are its bytes."""
@@ -197,7 +257,7 @@ class PieceModel:
             out.extend(_WORDS.findall((MARK if not k else "") + part.replace(" ", MARK)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD. The leading space goes."""
         text = b"".join(map(self.values.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
@@ -235,7 +295,10 @@ def encode_pieces(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.encode(_texts(texts)), pa.list_(pa.int32()))], ["_id", "ids"])
+                raw = model.encode_raw(_texts(texts))
+                ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_id", "ids"])
 
     rows, kind = _rows(docs, id_col, text_col)
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
@@ -264,12 +327,11 @@ def piece_digests(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", te
         for batch in batches:
             for part, raw in slices(batch, "_text"):
                 texts = _texts(raw)
-                found = model.encode(texts)
-                md5 = [hashlib.md5(np.array(x, "<i4").tobytes()).hexdigest() for x in found]
-                same = [model.decode(x) == t for x, t in zip(found, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(len, found), pa.int64()), pa.array(md5), pa.array(same)], ["_id", "n_pieces", "ids_md5", "round_trip"]
-                )
+                found = model.encode_raw(texts)
+                n = pa.array([len(x) // 4 for x in found], pa.int64())
+                md5 = pa.array([hashlib.md5(x).hexdigest() for x in found], pa.string())
+                same = [model.decode(array("i", x)) == t for x, t in zip(found, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), n, md5, pa.array(same, pa.bool_())], ["_id", "n_pieces", "ids_md5", "round_trip"])
 
     rows, kind = _rows(docs, id_col, text_col)
     return rows.mapInArrow(run, f"_id {kind}, n_pieces long, ids_md5 string, round_trip boolean").withColumnRenamed("_id", id_col)

@@ -224,3 +224,19 @@ def test_unigram_takes_the_best_sum():
         for i in range(1, len(word) + 1):
             best[i] = max(best[j] + value[word[j:i]] for j in range(i) if word[j:i] in value)
         assert math.isclose(sum(scores[i] for i in own.encode([text])[0]), best[-1])
+
+
+def test_long_words_and_common_starts():
+    """A word of a megabyte without spaces, and words that agree in their first hundred characters."""
+    import sentencepiece
+
+    rng = random.Random(11)
+    own, library = sentencepiece_trie.load_model.__wrapped__(), sentencepiece.SentencePieceProcessor(model_file=sentencepiece_trie.MODEL_PATH)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    head = long[:100]
+    texts = [long, f"{head}x {head}y {head} {head[:24]} {head[:25]}\0 {head[:24]}\0"]
+    got = own.encode(texts)
+    assert own.decode(got[0]) == long and got[1] == library.encode(texts[1]) and got[0][:2000] == library.encode(long[:8000])[:2000]
+    words = sorted({"a" * n + "b" * m for n in range(30) for m in range(3)} | {"", "\0", "a\0"})
+    want = [0] + [next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) for x, y in zip(words, words[1:], strict=False)]
+    assert sentencepiece_trie._common_starts(words) == want
