@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one numpy pass handles; bounds a task's memory whatever the size of the Arrow batch.
 SLICE_BYTES = 4 << 20
 
+#: A key is hot from 1/HOT of all rows on: fewer than HOT keys can be.
+HOT = 4096
+
 #: The ASCII bytes between words: space and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +44,21 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """left with the columns of right, which has a row for each key at most; inner.
+
+    Keys with more than 1/HOT of all rows of left, of which there are fewer than HOT, are joined by broadcasting right's rows
+    of them: no task gets all rows of a key. counts: keys with the number n of their rows in left, if known.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    bound = max(10_000, left.count() // HOT)
+    hot = write_table(counts.filter(F.col("n") > bound).select(*keys), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys)
+    few = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys)
+    return few.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys))
+
+
 def unit_hash(*columns: Column | str) -> Column:
     """A number in [0, 1) from the columns, the same in every run."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11)) / F.lit(float(1 << 53))

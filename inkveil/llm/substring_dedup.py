@@ -1,15 +1,18 @@
 """Substring dedup by collinear chaining: find fuzzy passages that documents share.
 
-1. Seeds: of each 10 consecutive word 5-grams the one of least hash (a minimizer), so any run of 14 equal words has one.
-2. Join: a seed's occurrences link to the first and the last document that has it, other than their own. Each occurrence of a
-   shared seed gets one or two partners: the rows are in proportion to the occurrences, not to pairs.
-3. Chain: for each document and partner, seeds on one diagonal join into segments, and a Fenwick tree over the partner's
+1. Seeds: of each WINDOW consecutive word 5-grams the one of least hash (a minimizer), so any run of WINDOW + 4 equal words has one.
+2. Join: a seed's occurrences link to its first and its last one, as pairs of documents, smaller id first. Up to three
+   occurrences these are all pairs; beyond, rows stay in proportion to the occurrences.
+3. A passage of seeds with more than three occurrences may so fall apart over many partners. There, each pair of neighbouring
+   seeds is a key of its own, and each window of least_words words as well: all documents with a whole window link to the first
+   and the last one that have it whole, so no equal passage is lost, whatever quotes parts of it.
+4. Chain: for each pair of documents, seeds on one diagonal join into segments, and a Fenwick tree over the second text's
    positions finds the best ordered chains with gap costs.
-4. Align: chains get the hashes of their words from both texts in tiles of 256 words; gaps are compared along the
+5. Align: chains get the hashes of their words from both texts in tiles of 256 words; gaps are compared along the
    diagonal or by edit distance, ends are extended until the score drops. Long and equal enough passages remain.
 
-Texts are shuffled once, and only to documents with chains does anything else move. A task holds the chains of one document
-at a time, which its length bounds.
+Texts are shuffled once, those with chains or such windows. A task holds the chains of one pair of documents at a time, which
+their lengths bound. Keys that hold more than 1/HOT of all rows are joined apart, with the few rows of the other side broadcast.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Words, groups, slices, write_table
+from inkveil.llm.common import Words, groups, join_hot, slices, write_table
 
 #: Words of a seed, and seeds of a window that chooses one.
-SEED_WORDS, WINDOW = 5, 10
+SEED_WORDS, WINDOW = 5, 8
+
+#: Occurrences up to which the links to the first and last are all pairs.
+FEW = 3
 
 #: Words a passage has at least, and the part of them that are equal.
 LEAST_WORDS, LEAST_EQUAL = 50, 0.8
@@ -35,10 +41,12 @@ LARGEST_GAP, GAP_COST = 64, 0.05
 #: Words of a tile.
 TILE = 256
 
-#: Words by which ends are extended at most in one go; mismatches cost this much, and this drop ends it.
-REACH, MISMATCH, DROP = 64, 2.0, 8.0
+#: Words by which ends are extended at most in one go; a word that differs costs this much, an equal one gains 1, and this drop ends it.
+REACH, MISMATCH, DROP = 64, 4.0, 24.0
 
 _CHAINS = "doc long, partner long, x array<int>, y array<int>, n array<int>"
+_SUSPECTS = "doc long, keys array<struct<key: long, pos: int, gap: int>>, first array<int>, last array<int>"
+_TILES = "doc long, tile int, words binary, windows array<struct<pos: int, key: long>>"
 _PASSAGES = "doc_id long, first_word long, last_word long, partner_id long, partner_first_word long, partner_last_word long, n_equal long, identity double"
 
 
@@ -83,22 +91,103 @@ def _seed_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 row, at, hashes = seeds(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(hashes)], ["doc", "pos", "seed"])
+                gap = pa.array(np.zeros(len(at), np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), gap, pa.array(hashes)], ["doc", "pos", "gap", "key"])
+
+    return docs.mapInArrow(run, "doc long, pos int, gap int, key long")
+
+
+# links
+
+
+def _linked(found: DataFrame, tag: str) -> DataFrame:
+    """Occurrences (doc, pos, gap, key) of keys that several documents have, with their number n, the first one a, the last b."""
+    place = F.struct("doc", "pos", "gap")
+    ends = found.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
+    ends = write_table(ends.filter("a.doc <> b.doc"), f"{tag}-ends")
+    return write_table(join_hot(found, ends, ["key"], ends.select("key", "n")), tag)
+
+
+def _pairs(linked: DataFrame) -> DataFrame:
+    """Each occurrence with its key's first and last one, if they are of other documents: doc < partner, and the places of both."""
+    to_a = F.when(F.col("doc") != F.col("a.doc"), F.col("a"))
+    to_b = F.when((F.col("doc") != F.col("b.doc")) & ~((F.col("doc") == F.col("a.doc")) & (F.col("pos") == F.col("a.pos"))), F.col("b"))
+    both = linked.select(F.struct("doc", "pos", "gap").alias("p"), F.explode(F.array(to_a, to_b)).alias("q")).filter("q is not null")
+    both = both.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    return both.select(
+        F.col("p.doc").alias("doc"), F.col("q.doc").alias("partner"), F.col("p.pos").alias("x"), F.col("q.pos").alias("y"), F.col("p.gap").alias("gx"), F.col("q.gap").alias("gy")
+    )
+
+
+def suspects(pos: np.ndarray, seed: np.ndarray, many: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's shared seeds, by position: keys of neighbours that have many occurrences both (key, position, gap), and
+    the starts (first, last) of the windows whose links the seeds alone may lose.
+
+    Both documents with an equal window have the same seeds in its inner part. Two of them with few occurrences link the
+    documents, so a window is of interest if its inner part has no gap between shared seeds, and one such seed at most.
+    """
+    keys, places, gaps = [], [], []
+    for step in (1, 2):
+        use = many[:-step] & many[step:] & (pos[step:] - pos[:-step] <= 2 * WINDOW)
+        keys.append(_mix(_mix(seed[:-step][use].view(np.uint64)) + seed[step:][use].view(np.uint64) * np.uint64(2 * step + 1)).view(np.int64))
+        places.append(pos[:-step][use])
+        gaps.append((pos[step:] - pos[:-step])[use])
+    cut = np.flatnonzero(np.diff(pos) > WINDOW) + 1
+    start, stop = pos[np.r_[0, cut]], pos[np.r_[cut, len(pos)] - 1]
+    # the inner part of a window at s: from s + WINDOW - 1 to s + inner
+    inner = least_words - SEED_WORDS - WINDOW + 1
+    lo, hi = np.maximum(start - 2 * (WINDOW - 1), 0), stop - inner + WINDOW - 1
+    use = lo <= hi
+    size = hi[use] - lo[use] + 1
+    at = np.arange(size.sum()) + np.repeat(lo[use] - np.cumsum(size) + size, size)
+    few = pos[~many]
+    at = np.unique(at[np.searchsorted(few, at + inner, "right") - np.searchsorted(few, at + WINDOW - 1) <= 1])
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
+    first, last = (at[np.r_[0, cut]], at[np.r_[cut, len(at)] - 1]) if len(at) else (at, at)
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(gaps), first, last
+
+
+def _suspect_rows(linked: DataFrame, least_words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            def lists(parts: list[np.ndarray], kind: pa.DataType) -> tuple[np.ndarray, pa.Array]:
+                return np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts) if parts else [], kind)
+
+            ends, key = lists([r[1] for r in rows], pa.int64())
+            pos, gap = (lists([r[k] for r in rows], pa.int32())[1] for k in (2, 3))
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([key, pos, gap], ["key", "pos", "gap"]))
+            ranges = [pa.ListArray.from_arrays(pa.array(e), v) for e, v in (lists([r[k] for r in rows], pa.int32()) for k in (4, 5))]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), keys, *ranges], ["doc", "keys", "first", "last"])
+
+        for g in groups(batches, 1):
+            found = suspects(g["pos"], g["key"], g["n"] > FEW, least_words)
+            if len(found[0]) or len(found[3]):
+                rows.append((int(g["doc"][0]), *found))
+                held += len(found[0]) + len(found[3])
+            if held >= 200_000:
+                yield batch()
+                rows.clear()
+                held = 0
+        yield batch()
 
-    return docs.mapInArrow(run, "doc long, pos int, seed long")
+    rows = linked.select("doc", "pos", "key", "n").repartition("doc").sortWithinPartitions("doc", "pos")
+    return rows.mapInArrow(run, _SUSPECTS)
 
 
 # chaining
 
 
-def segments(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """Seeds (x, y) as runs (x, y, words) on one diagonal without large gaps, by x."""
+def segments(x: np.ndarray, y: np.ndarray, words: int = SEED_WORDS, reach: int = 4 * WINDOW) -> list[tuple[int, int, int]]:
+    """Matches (x, y) of so many words as runs (x, y, words) on one diagonal without gaps over reach, by x."""
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
-    new = np.r_[True, (np.diff(y - x) != 0) | (np.diff(x) > WINDOW + SEED_WORDS)]
+    new = np.r_[True, (np.diff(y - x) != 0) | (np.diff(x) > reach)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(x)] - 1
-    return sorted(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + SEED_WORDS).tolist(), strict=True))
+    return sorted(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + words).tolist(), strict=True))
 
 
 def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -145,7 +234,9 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def _chain_rows(matches: DataFrame) -> DataFrame:
+def _chain_rows(matches: DataFrame, words: int = SEED_WORDS) -> DataFrame:
+    """Chains of matches of so many words. Matches longer than a seed are whole windows: each run of them is a chain."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -154,9 +245,14 @@ def _chain_rows(matches: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "partner", "x", "y", "n"])
 
         for group in groups(batches, 2):
-            if len(group["pos"]) < 2:
-                continue
-            for chain in chains(segments(group["pos"].astype(np.int64), group["at"].astype(np.int64))):
+            x, y, gx, gy = (group[c].astype(np.int64) for c in ("x", "y", "gx", "gy"))
+            if (wide := gx > 0).any():  # a key of two seeds
+                x, y = np.unique(np.stack((np.r_[x, (x + gx)[wide]], np.r_[y, (y + gy)[wide]])), axis=1)
+            if words > SEED_WORDS:
+                found = [[part] for part in segments(x, y, words, words)]
+            else:
+                found = chains(segments(x, y)) if len(x) > 1 else []
+            for chain in found:
                 if chain[-1][0] + chain[-1][2] - chain[0][0] > SEED_WORDS:
                     rows.append((group["doc"][0], group["partner"][0], *([s[k] for s in chain] for k in range(3))))
             if len(rows) >= 5000:
@@ -164,7 +260,7 @@ def _chain_rows(matches: DataFrame) -> DataFrame:
                 rows.clear()
         yield batch()
 
-    return matches.mapInArrow(run, _CHAINS)
+    return matches.repartition("doc", "partner").sortWithinPartitions("doc", "partner").mapInArrow(run, _CHAINS)
 
 
 # alignment
@@ -194,67 +290,138 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return size, int(same[:size].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """Align words a and b along a chain: first and past-last word in a, the same in b, equal words."""
-    x, y, _ = chain[0]
-    equal, at = 0, None
+def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least_words: int, least_equal: float) -> list[tuple[int, int, int, int, int]]:
+    """The passages of words a and b along a chain: first and past-last word in a, the same in b, equal words.
+
+    The equal runs of the chain's segments join where the gap between them costs DROP at most; the ends are extended. Of
+    joined runs that are not equal enough, those that are long enough by themselves remain.
+    """
+    joined: list[list[tuple[int, int, int]]] = []
+    equal: list[int] = []
     for sx, sy, n in chain:
-        if at is not None:
-            gap_a, gap_b = a[at[0] : sx], b[at[1] : sy]
-            if len(gap_a) == len(gap_b):
-                equal += int((gap_a == gap_b).sum())
-            elif len(gap_a) and len(gap_b):
-                equal += max(0, max(len(gap_a), len(gap_b)) - edit_distance(gap_a, gap_b))
-        equal += int((a[sx : sx + n] == b[sy : sy + n]).sum())
-        at = sx + n, sy + n
-    size, same = _extend(a[at[0] :], b[at[1] :])
-    end, equal = (at[0] + size, at[1] + size), equal + same
-    size, same = _extend(a[:x][::-1], b[:y][::-1])
-    return x - size, end[0], y - size, end[1], equal + same
-
-
-def _tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The word hashes, 32 bits each, of the wanted tiles (doc, tile); the last tile of a text is shorter, one beyond it is empty."""
+        turn = np.flatnonzero(np.diff(np.r_[0, a[sx : sx + n] == b[sy : sy + n], 0]))
+        for i, j in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+            if j - i < SEED_WORDS:
+                continue
+            x, y, size = sx + i, sy + i, j - i
+            if joined:
+                px, py, m = joined[-1][-1]
+                same, gap = _gap(a[px + m : x], b[py + m : y])
+                if (gap - same) * MISMATCH - same <= DROP:
+                    joined[-1].append((x, y, size))
+                    equal[-1] += same + size
+                    continue
+            joined.append([(x, y, size)])
+            equal.append(size)
+    out = []
+    for parts, same in zip(joined, equal, strict=True):
+        (x, y, _), (px, py, m) = parts[0], parts[-1]
+        before, equal_before = _extend(a[:x][::-1], b[:y][::-1])
+        after, equal_after = _extend(a[px + m :], b[py + m :])
+        found = (x - before, px + m + after, y - before, py + m + after, equal_before + same + equal_after)
+        size = max(found[1] - found[0], found[3] - found[2])
+        if min(found[1] - found[0], found[3] - found[2]) >= least_words and found[4] >= least_equal * size:
+            out.append(found)
+        else:
+            out += [(x, x + n, y, y + n, n) for x, y, n in parts if n >= least_words]
+    return out
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Equal words of a gap, along the diagonal or by edit distance, and its size."""
+    size = max(len(a), len(b))
+    if len(a) == len(b):
+        return int((a == b).sum()), size
+    if abs(len(a) - len(b)) * MISMATCH > DROP + size:
+        return 0, size
+    return max(0, size - edit_distance(a, b)), size
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size words, joined from runs of powers of two."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, run, width = np.zeros(n, np.uint64), 0, hashes, 1
+    while True:
+        if size & width:
+            out = _mix(out * np.uint64(0x100000001B3) + run[at : at + n])
+            at += width
+        if 2 * width > size:
+            return out
+        run = _mix(run[:-width] * np.uint64(0x9E3779B97F4A7C15) + run[width:])
+        width *= 2
+
+
+def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
+    """Tiles of the wanted (doc, tile) and of the suspect windows: the word hashes, 32 bits each, and the windows that begin there.
+
+    The last tile of a text is shorter, one beyond it is empty.
+    """
     asked = wanted.groupBy("doc").agg(F.collect_list("tile").alias("tiles"))
-    rows = docs.join(asked, "doc").select("doc", "text", "tiles")
+    asked = asked.join(found.select("doc", "first", "last").filter(F.size("first") > 0), "doc", "full")
+    rows = docs.join(asked, "doc").select("doc", "text", "tiles", "first", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 words = Words(texts)
                 hashes = word_hashes(words)
-                out = []
-                for k, (doc, tiles) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    own = hashes[words.first[k] : words.first[k + 1]].astype(np.uint32)
-                    out += [(doc, t, own[t * TILE : (t + 1) * TILE].tobytes()) for t in tiles]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc", "tile", "words"])
-
-    return rows.mapInArrow(run, "doc long, tile int, words binary").dropDuplicates(["doc", "tile"])
+                doc, tile, raw, ends, pos, key = [], [], [], [0], [], []
+                for k, (d, tiles, first, last) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True)):
+                    own = hashes[words.first[k] : words.first[k + 1]]
+                    at, whole = np.zeros(0, np.int64), window_hashes(own, least_words) if first else None
+                    if first:
+                        at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+                        at = at[at < len(whole)]
+                        covered = np.concatenate([np.arange(a // TILE, (b + least_words + REACH) // TILE + 1) for a, b in zip(np.maximum(np.array(first) - REACH, 0), last, strict=True)])
+                        tiles = np.union1d(covered, tiles or []).astype(int).tolist()
+                    short = own.astype(np.uint32)
+                    for t in tiles:
+                        mine = at[np.searchsorted(at, t * TILE) : np.searchsorted(at, (t + 1) * TILE)]
+                        doc.append(d)
+                        tile.append(t)
+                        raw.append(short[t * TILE : (t + 1) * TILE].tobytes())
+                        pos.append(mine)
+                        key.append(whole[mine] if len(mine) else np.zeros(0, np.uint64))
+                        ends.append(ends[-1] + len(mine))
+                pos, key = np.concatenate([np.zeros(0, np.int64), *pos]), np.concatenate([np.zeros(0, np.uint64), *key])
+                windows = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64))], ["pos", "key"])
+                windows = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), windows)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tile, pa.int32()), pa.array(raw, pa.binary()), windows], ["doc", "tile", "words", "windows"])
+
+    return rows.mapInArrow(run, _TILES)
+
+
+def _one_text_each(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat an id, the one with the greatest text."""
+    repeated = write_table(rows.groupBy("doc").count().filter("count > 1").select("doc"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    one = rows.join(repeated, "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text"))
+    return rows.join(repeated, "doc", "left_anti").unionByName(one)
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_equal: float = LEAST_EQUAL) -> DataFrame:
     """Passages of at least least_words words that a document shares with another, equal in least_equal of them or more.
 
     One row per passage and partner: doc_id, first_word, last_word (from 0), partner_id, partner_first_word,
-    partner_last_word, n_equal, identity. A document with such a passage has a row for it with the first or last document
-    of those that share its seeds, or with both; not with each of many. Words stand between ASCII spaces and are
-    compared in lower case. least_words is at least 16, so that each passage without differences has two seeds.
+    partner_last_word, n_equal, identity; each pair of documents in both directions. Each document with a passage equal to one
+    of another has a row for it, with the first or last document that has it whole; of many documents with the same passage
+    each has rows with these two, not with all. Words stand between ASCII spaces and are compared in lower case.
 
-    Documents with a null id or text, or too few words, have no row. Rows that repeat an id are taken for one document; ids
-    should be unique. Passages repeated within one document only aren't shared. An empty table gives an empty result. Other
-    columns are not read.
+    Fuzzy passages are found if two of their seeds are linked. least_words is at least 3 * WINDOW + 2. Documents with a null id or
+    text, or too few words, have no row. Of rows that repeat an id the one with the greatest text counts. Passages repeated
+    within one document only aren't shared. An empty table gives an empty result. Other columns are not read.
     """
-    if least_words < WINDOW + SEED_WORDS + 1:
-        raise ValueError(f"least_words must be {WINDOW + SEED_WORDS + 1} or more")
+    if least_words < 3 * WINDOW + 2:
+        raise ValueError(f"least_words must be {3 * WINDOW + 2} or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(F.col(text_col)).alias("text")).filter("doc is not null and text is not null")
-    found = _seed_rows(rows)
-    ends = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max(F.struct("doc", "pos")).alias("b"))
-    ends = write_table(ends.filter("a.doc <> b.doc"), "seeds")
-    matches = found.join(ends, "seed")
-    matches = matches.select("doc", "pos", F.explode(F.array("a", "b")).alias("p")).filter("doc <> p.doc")
-    matches = matches.select("doc", F.col("p.doc").alias("partner"), "pos", F.col("p.pos").alias("at"))
-    chained = _chain_rows(matches.repartition("doc").sortWithinPartitions("doc", "partner"))
-    chained = write_table(chained, "chains")
+    rows = _one_text_each(rows)
+    linked = _linked(write_table(_seed_rows(rows), "seeds"), "shared-seeds")
+    found = write_table(_suspect_rows(linked, least_words), "suspects")
+    neighbours = _linked(found.select("doc", F.inline("keys")).select("doc", "pos", "gap", "key"), "neighbours")
+    chained = write_table(_chain_rows(_pairs(linked).unionByName(_pairs(neighbours))), "chains")
 
     # both sides of each chain as tiles, with room to extend the ends
     def reach(side: str) -> Column:
@@ -264,14 +431,17 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     x, y = reach("x"), reach("y")
     wanted = chained.select("doc", F.explode(x).alias("tile")).union(chained.select("partner", F.explode(y))).distinct()
-    tiles = write_table(_tiles(rows, wanted), "tiles")
-    keys = ["doc", "partner", F.get("x", F.lit(0)).alias("x0"), F.get("y", F.lit(0)).alias("y0")]
+    tiles = write_table(_tiles(rows, wanted, found, least_words), "tiles")
+    windows = tiles.select("doc", F.inline("windows")).select("doc", "pos", F.lit(0).alias("gap"), "key")
+    of_windows = write_table(_chain_rows(_pairs(_linked(windows, "windows")), least_words), "window-chains")
+    chained = chained.withColumn("kind", F.lit(0)).unionByName(of_windows.withColumn("kind", F.lit(1)))
+    keys = ["doc", "partner", "kind", F.get("x", F.lit(0)).alias("x0"), F.get("y", F.lit(0)).alias("y0")]
     sides = chained.select(*keys, F.lit(0).alias("side"), F.col("doc").alias("of"), F.explode(x).alias("tile"), "x", "y", "n").unionByName(
         chained.select(*keys, F.lit(1).alias("side"), F.col("partner").alias("of"), F.explode(y).alias("tile"), *[F.lit(None).cast("array<int>").alias(c) for c in ("x", "y", "n")])
     )
-    tiles = tiles.withColumnRenamed("doc", "of")
-    both = sides.join(tiles, ["of", "tile"]).select("doc", "partner", "x0", "y0", "side", "tile", "x", "y", "n", "words")
-    both = both.repartition("doc", "partner", "x0", "y0").sortWithinPartitions("doc", "partner", "x0", "y0", "side", "tile")
+    tiles = tiles.select(F.col("doc").alias("of"), "tile", "words")
+    both = join_hot(sides, tiles, ["of", "tile"]).select("doc", "partner", "kind", "x0", "y0", "side", "tile", "x", "y", "n", "words")
+    both = both.repartition("doc", "partner").sortWithinPartitions("doc", "partner", "kind", "x0", "y0", "side", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -280,15 +450,20 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k < 7 else pa.float64()) for k in range(8)], names)
 
-        for g in groups(batches, 4):
+        pair, known = None, set()
+        for g in groups(batches, 5):
             mine = g["side"] == 0
             chain = list(zip(*(g[c][0].tolist() for c in ("x", "y", "n")), strict=True))
             a, b = (np.concatenate([np.frombuffer(w, np.uint32) for w in g["words"][s]]) for s in (mine, ~mine))
             dx, dy = int(g["tile"][mine][0]) * TILE, int(g["tile"][~mine][0]) * TILE
-            x0, x1, y0, y1, equal = align(a, b, [(x - dx, y - dy, n) for x, y, n in chain])
-            size = max(x1 - x0, y1 - y0)
-            if min(x1 - x0, y1 - y0) >= least_words and equal >= least_equal * size:
-                out.append((g["doc"][0], x0 + dx, x1 + dx - 1, g["partner"][0], y0 + dy, y1 + dy - 1, equal, equal / size))
+            if pair != (pair := (g["doc"][0], g["partner"][0])):
+                known.clear()
+            for x0, x1, y0, y1, equal in align(a, b, [(x - dx, y - dy, n) for x, y, n in chain], least_words, least_equal):
+                one, two = (pair[0], x0 + dx, x1 + dx - 1), (pair[1], y0 + dy, y1 + dy - 1)
+                if (one, two) not in known:
+                    known.add((one, two))
+                    part = equal / max(x1 - x0, y1 - y0)
+                    out += [(*one, *two, equal, part), (*two, *one, equal, part)]
             if len(out) >= 10_000:
                 yield batch()
                 out.clear()

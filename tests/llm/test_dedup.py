@@ -158,3 +158,69 @@ def test_shared_passages(spark):
     with pytest.raises(ValueError):
         substring_dedup.shared_passages(docs(spark, []), least_words=10)
     assert substring_dedup.shared_passages(docs(spark, rows).filter(F.col("doc_id") < 20)).count() == 0
+
+
+def _equal_windows(texts, n=50):
+    """For each document the starts of windows of n words that another one has as well."""
+    words = {k: t.lower().split() for k, t in texts.items()}
+    holders = {}
+    for k, w in words.items():
+        for s in range(len(w) - n + 1):
+            holders.setdefault(tuple(w[s : s + n]), set()).add(k)
+    return {k: [s for s in range(len(w) - n + 1) if len(holders[tuple(w[s : s + n])]) > 1] for k, w in words.items()}
+
+
+def test_no_equal_passage_is_lost(spark):
+    """All windows of 50 equal words are reported, whatever else quotes parts of them: frequent lines, fragments, junk, copies."""
+    rng = random.Random(17)
+    word = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts, whole = {}, word(90)
+    texts[100], texts[101] = word(30) + whole + word(20), word(5) + whole
+    for k in range(7):  # fragments of 40 words, each over part of the next, in documents of smaller and of larger ids
+        texts[k + 1] = word(20) + whole[8 * k : 8 * k + 40] + word(9)
+        texts[200 + k] = word(12) + whole[7 * k : 7 * k + 40] + word(30)
+    short = word(50)
+    texts[110], texts[111] = word(30) + short + word(31), short
+    for k in range(11):  # 49 words at most
+        texts[20 + k], texts[220 + k] = word(10) + short[: 39 + k] + word(8), word(6) + short[11 - k :][:49] + word(2)
+    lines = [word(rng.randrange(8, 31)) for _ in range(25)]
+    for k in range(120):
+        texts[300 + k] = sum((rng.choice(lines) if rng.random() < 0.7 else word(15) for _ in range(rng.randrange(2, 12))), [])
+    for k in range(6):
+        texts[500 + k] = texts[300] if k % 2 else ["same"] * (45 + 3 * k)
+        texts[510 + k] = ["a", "b"] * (20 + 3 * k)
+    texts[520] = word(3000) + whole + word(40) * 20
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    rows = [*texts.items(), (101, "a few"), (None, texts[100])]
+    want = _equal_windows(texts)  # of an id's texts the greater one counts
+    got = substring_dedup.shared_passages(docs(spark, rows)).collect()
+    found = {}
+    split = {k: t.split() for k, t in texts.items()}
+    for r in got:
+        assert r.doc_id != r.partner_id and r.last_word - r.first_word >= 49 and r.partner_last_word - r.partner_first_word >= 49 and r.identity >= 0.8
+        a, b = split[r.doc_id][r.first_word : r.last_word + 1], split[r.partner_id][r.partner_first_word : r.partner_last_word + 1]
+        if len(a) == len(b):
+            assert sum(x == y for x, y in zip(a, b, strict=True)) >= 0.8 * len(a)
+        found.setdefault(r.doc_id, set()).update(range(r.first_word, r.last_word + 1))
+    lost = {k: s for k, starts in want.items() if (s := [s for s in starts if not set(range(s, s + 50)) <= found.get(k, set())])}
+    assert sum(map(len, want.values())) > 500
+    assert not lost
+
+
+def test_fuzzy_passages(spark):
+    """Passages of 80 words with a tenth of them changed, alone and made of lines that others have too."""
+    rng = random.Random(23)
+    word = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts = {}
+    for k in range(100):
+        passage = word(80)
+        texts[k] = word(40) + passage + word(30)
+        texts[1000 + k] = word(15) + [w if rng.random() > 0.1 else "new" + w for w in passage]
+    for k in range(50):  # two lines of 30 words; each also in documents of smaller and of larger ids, alone
+        one, two = word(30), word(30)
+        texts[2000 + k], texts[3000 + k] = word(9) + one + two + word(12), one + two + word(3)
+        for j, line in enumerate((one, one, two, two)):
+            texts[100 * j + 4000 * (j % 2) + 200 + k] = word(11) + line + word(20)
+    got = {(r.doc_id, r.partner_id) for r in substring_dedup.shared_passages(docs(spark, [(k, " ".join(w)) for k, w in texts.items()])).collect()}
+    assert len([k for k in range(100) if (k, 1000 + k) in got and (1000 + k, k) in got]) >= 95
+    assert len([k for k in range(50) if (2000 + k, 3000 + k) in got]) == 50
