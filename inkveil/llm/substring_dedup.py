@@ -4,7 +4,7 @@
 2. Join: a seed's occurrences link to its first and its last one, as pairs of documents, smaller id first. Up to three
    occurrences these are all pairs; beyond, rows stay in proportion to the occurrences.
 3. A passage of seeds with more than three occurrences may so fall apart over many partners. There, each pair of neighbouring
-   seeds is a key of its own, and each window of least_words words as well: all documents with a whole window link to the first
+   seeds with different partners is a key of its own, and each window of least_words words as well: all documents with a whole window link to the first
    and the last one that have it whole, so no equal passage is lost, whatever quotes parts of it.
 4. Chain: for each pair of documents, seeds on one diagonal join into segments, and a Fenwick tree over the second text's
    positions finds the best ordered chains with gap costs.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import Words, groups, join_hot, slices, write_table
 
 #: Words of a seed, and seeds of a window that chooses one.
-SEED_WORDS, WINDOW = 5, 8
+SEED_WORDS, WINDOW = 5, 10
 
 #: Occurrences up to which the links to the first and last are all pairs.
 FEW = 3
@@ -119,16 +119,16 @@ def _pairs(linked: DataFrame) -> DataFrame:
     )
 
 
-def suspects(pos: np.ndarray, seed: np.ndarray, many: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's shared seeds, by position: keys of neighbours that have many occurrences both (key, position, gap), and
-    the starts (first, last) of the windows whose links the seeds alone may lose.
+def suspects(pos: np.ndarray, seed: np.ndarray, many: np.ndarray, ends: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's shared seeds, by position: keys of neighbours that have many occurrences both and other first or last
+    documents (rows of ends) than each other (key, position, gap), and the starts (first, last) of the windows whose links the seeds alone may lose.
 
     Both documents with an equal window have the same seeds in its inner part. Two of them with few occurrences link the
     documents, so a window is of interest if its inner part has no gap between shared seeds, and one such seed at most.
     """
     keys, places, gaps = [], [], []
     for step in (1, 2):
-        use = many[:-step] & many[step:] & (pos[step:] - pos[:-step] <= 2 * WINDOW)
+        use = many[:-step] & many[step:] & (pos[step:] - pos[:-step] <= 2 * WINDOW) & (ends[:-step] != ends[step:]).any(axis=1)
         keys.append(_mix(_mix(seed[:-step][use].view(np.uint64)) + seed[step:][use].view(np.uint64) * np.uint64(2 * step + 1)).view(np.int64))
         places.append(pos[:-step][use])
         gaps.append((pos[step:] - pos[:-step])[use])
@@ -163,7 +163,7 @@ def _suspect_rows(linked: DataFrame, least_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), keys, *ranges], ["doc", "keys", "first", "last"])
 
         for g in groups(batches, 1):
-            found = suspects(g["pos"], g["key"], g["n"] > FEW, least_words)
+            found = suspects(g["pos"], g["key"], g["n"] > FEW, np.stack((g["from"], g["to"]), axis=1), least_words)
             if len(found[0]) or len(found[3]):
                 rows.append((int(g["doc"][0]), *found))
                 held += len(found[0]) + len(found[3])
@@ -173,7 +173,7 @@ def _suspect_rows(linked: DataFrame, least_words: int) -> DataFrame:
                 held = 0
         yield batch()
 
-    rows = linked.select("doc", "pos", "key", "n").repartition("doc").sortWithinPartitions("doc", "pos")
+    rows = linked.select("doc", "pos", "key", "n", F.col("a.doc").alias("from"), F.col("b.doc").alias("to")).repartition("doc").sortWithinPartitions("doc", "pos")
     return rows.mapInArrow(run, _SUSPECTS)
 
 
@@ -353,6 +353,24 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         width *= 2
 
 
+def thinned(at: np.ndarray, keys: np.ndarray, least_words: int) -> np.ndarray:
+    """Starts of windows without those that repeat one of their text, as far as the rest covers the same words."""
+    order = np.lexsort((at, keys))
+    same = keys[order][1:] == keys[order][:-1]
+    if not same.any():
+        return at
+    drop = []
+    for start, stop in zip(*(np.flatnonzero(np.diff(np.r_[0, same, 0]) == d) for d in (1, -1)), strict=True):
+        places = at[order[start : stop + 1]].tolist()  # of one key, ascending
+        kept = places[0]
+        for here, after in zip(places[1:], places[2:], strict=False):
+            if after - kept <= least_words:
+                drop.append(here)
+            else:
+                kept = here
+    return np.setdiff1d(at, drop)
+
+
 def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: int) -> DataFrame:
     """Tiles of the wanted (doc, tile) and of the suspect windows: the word hashes, 32 bits each, and the windows that begin there.
 
@@ -374,6 +392,7 @@ def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: in
                     if first:
                         at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
                         at = at[at < len(whole)]
+                        at = thinned(at, whole[at], least_words)
                         covered = np.concatenate([np.arange(a // TILE, (b + least_words + REACH) // TILE + 1) for a, b in zip(np.maximum(np.array(first) - REACH, 0), last, strict=True)])
                         tiles = np.union1d(covered, tiles or []).astype(int).tolist()
                     short = own.astype(np.uint32)
