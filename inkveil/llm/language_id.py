@@ -7,6 +7,7 @@ scripts of its words. It has languages x BUCKETS numbers, whatever the corpus.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,11 @@ BUCKETS = 1 << 15
 #: Labelled documents a language is fitted on, at most in expectation: beyond, a share of its documents by hash of the id.
 FIT_DOCS = 2000
 
-#: Languages a model has at most: the most frequent labels. Bounds the model.
-MAX_LANGUAGES = 200
+#: Labels from which on the fit raises an error: a column with as many holds no languages.
+TOO_MANY_LABELS = 1000
+
+#: Words times languages that one pass labels; bounds a task's memory.
+CELLS = 1 << 22
 
 #: Log-odds that a switch of language between two words costs.
 SWITCH_PENALTY = 8.0
@@ -32,7 +36,7 @@ SWITCH_PENALTY = 8.0
 #: Label of a text without a letter.
 UNDETERMINED = "und"
 
-# First and last code point of blocks and their script.
+# First and last code point of blocks and their script. Digits and signs in them count for no script.
 SCRIPT_RANGES = [
     (0x0041, 0x005A, "latin"), (0x0061, 0x007A, "latin"), (0x00AA, 0x00AA, "latin"), (0x00BA, 0x00BA, "latin"),
     (0x00C0, 0x00D6, "latin"), (0x00D8, 0x00F6, "latin"), (0x00F8, 0x024F, "latin"), (0x0250, 0x02AF, "latin"),
@@ -43,19 +47,22 @@ SCRIPT_RANGES = [
     (0x1000, 0x109F, "myanmar"), (0x10A0, 0x10FF, "georgian"), (0x1100, 0x11FF, "hangul"), (0x1200, 0x137F, "ethiopic"),
     (0x1780, 0x17FF, "khmer"), (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3041, 0x309F, "kana"),
     (0x30A1, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7A3, "hangul"),
-    (0xF900, 0xFAFF, "han"), (0xFF21, 0xFF5A, "latin"), (0xFF66, 0xFF9D, "kana"), (0x20000, 0x3134F, "han"),
+    (0xF900, 0xFAFF, "han"), (0xFF21, 0xFF3A, "latin"), (0xFF41, 0xFF5A, "latin"), (0xFF66, 0xFF9D, "kana"), (0x20000, 0x3134F, "han"),
 ]
 
 SCRIPTS = sorted({s for _, _, s in SCRIPT_RANGES})
 _FIRST = np.array([a for a, _, _ in SCRIPT_RANGES])
 _LAST = np.array([b for _, b, _ in SCRIPT_RANGES])
 _BIT = np.array([1 << SCRIPTS.index(s) for _, _, s in SCRIPT_RANGES], np.int64)
-_SMALL = 0x3000
+#: Code points below are looked up one by one: whether they are letters or marks. Above, blocks hold little else.
+_SMALL = 0x3100
+_LETTERS = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(_SMALL)])
 
 
 def _script_bits(points: np.ndarray) -> np.ndarray:
     at = np.maximum(np.searchsorted(_FIRST, points, "right") - 1, 0)
-    return np.where((points >= _FIRST[at]) & (points <= _LAST[at]), _BIT[at], 0)
+    letter = _LETTERS[np.minimum(points, _SMALL - 1)] | (points >= _SMALL)
+    return np.where((points >= _FIRST[at]) & (points <= _LAST[at]) & letter, _BIT[at], 0)
 
 
 _ASCII_BITS = _script_bits(np.arange(256)) * (np.arange(256) < 128)
@@ -111,62 +118,88 @@ class LanguageModel:
         label = np.full(len(words.start), -1, np.int64)
         if not n or not len(words.start):
             return words, label
-        known = (words.scripts[:, None] & self.scripts[None, :]) > 0
-        score = np.empty((len(words.start), n), np.float32)
-        for k in range(n):
-            sums = np.concatenate(([0], np.cumsum(self.scores[k][words.bucket], dtype=np.float64)))
-            score[:, k] = sums[words.end] - sums[words.start - 1]
+        sizes, at = np.diff(words.first), 0
+        while at < len(sizes):  # texts of so many words
+            stop = max(at + 1, int(np.searchsorted(words.first, words.first[at] + CELLS // n, "right")) - 1)
+            self._label(words, np.arange(at, stop)[sizes[at:stop] > 0], penalty, label)
+            at = stop
+        return words, label
+
+    def _label(self, words: LetterWords, rows: np.ndarray, penalty: float, label: np.ndarray) -> None:
+        """Label the words of some neighbouring texts, none of them without words."""
+        if not len(rows):
+            return
+        lo, hi = int(words.first[rows[0]]), int(words.first[rows[-1] + 1])
+        start, end, base = words.start[lo:hi], words.end[lo:hi], int(words.start[lo]) - 1
+        score = np.empty((hi - lo, len(self.languages)), np.float32)
+        for k, own in enumerate(self.scores):
+            sums = np.concatenate(([0], np.cumsum(own[words.bucket[base : end[-1]]], dtype=np.float64)))
+            score[:, k] = sums[end - base] - sums[start - 1 - base]
+        known = (words.scripts[lo:hi, None] & self.scripts[None, :]) > 0
         some = known.any(axis=1)
         # candidates outside the word's scripts cost more than any score; words of no learned script say nothing
         score = np.where(known, score, np.where(some[:, None], score.min() - 4 * penalty - 1, 0)).astype(np.float32)
-        sizes = np.diff(words.first)
+        sizes = np.diff(words.first)[rows]
         order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
-            rows = rows[sizes[rows] > 0]
-            if len(rows):
-                self._viterbi(score, words.first[rows], sizes[rows], penalty, label)
-        label[~some] = -1
-        return words, label
+        found = np.full(hi - lo, -1, np.int64)
+        self._viterbi(score, words.first[rows][order] - lo, sizes[order], penalty, found)
+        label[lo:hi] = np.where(some, found, -1)
 
     def _viterbi(self, score: np.ndarray, first: np.ndarray, sizes: np.ndarray, penalty: float, label: np.ndarray) -> None:
-        """Label the words of several texts, one step for all texts at a time; texts are in order of their sizes."""
+        """Label the words of several texts, one step for all texts at a time; texts are in order of their sizes.
+
+        Back pointers are kept by word: whether each language was stayed in, and else the one that was left.
+        """
         steps, n = int(sizes.max()), score.shape[1]
-        stay = np.ones((steps, len(first), n), bool)
-        best = np.zeros((steps, len(first)), np.uint8)
+        stay = np.ones((len(score), n), bool)
+        best = np.zeros(len(score), np.uint16)
         total = score[first].astype(np.float64)
         begun = np.searchsorted(sizes, np.arange(steps), "right")  # texts from here on have a word at this step
         for t in range(1, steps):
             k = begun[t]
+            at = first[k:] + t
             top = total[k:].argmax(axis=1)
-            best[t, k:] = top
+            best[at] = top
             jump = np.take_along_axis(total[k:], top[:, None], 1) - penalty
-            np.greater_equal(total[k:], jump, out=stay[t, k:])
-            total[k:] = np.maximum(total[k:], jump) + score[first[k:] + t]
+            stay[at] = total[k:] >= jump
+            total[k:] = np.maximum(total[k:], jump) + score[at]
         now = total.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             k = begun[t]
-            label[first[k:] + t] = now[k:]
+            at = first[k:] + t
+            label[at] = now[k:]
             if t:
-                now[k:] = np.where(stay[t, np.arange(k, len(first)), now[k:]], now[k:], best[t, k:])
+                now[k:] = np.where(stay[at, now[k:]], now[k:], best[at])
 
     def predict(self, texts: list[bytes], penalty: float = SWITCH_PENALTY) -> list[tuple[str, float]]:
-        """The language of most letters of each lower-cased text, and its part of the letters of words with a language."""
+        """Of lower-cased texts the language of most letters, and its part of the letters of words with a language.
+
+        Of a text without words in a learned script, the language whose trigrams are likeliest, with 0.
+        """
         words, label = self.spans(texts, penalty)
         n = len(self.languages)
-        has = np.bincount(words.row, words.n_letters, len(texts)) > 0
+        if not n:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         use = label >= 0
-        votes = np.bincount(words.row[use] * n + label[use], words.n_letters[use], len(texts) * n).reshape(len(texts), n) if n else np.zeros((len(texts), 1))
+        votes = np.bincount(words.row[use] * n + label[use], words.n_letters[use], len(texts) * n).reshape(len(texts), n)
         top, total = votes.argmax(axis=1), votes.sum(axis=1)
+        for k in np.flatnonzero(total == 0).tolist():
+            a, b = words.text_start[k], words.text_start[k + 1] - 1
+            top[k] = int(np.argmax([own[words.bucket[a : max(a, b - 1)]].sum() for own in self.scores]))
         part = votes[np.arange(len(texts)), top] / np.maximum(total, 1)
-        return [(UNDETERMINED, 0.0) if not h or not n else (self.languages[t], float(p)) for h, t, p in zip(has, top, part, strict=True)]
+        return [(self.languages[t], float(p)) for t, p in zip(top, part, strict=True)]
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Learn from the rows of docs with a text and a label. Counts come back by language and bucket, a bounded number."""
+    """Learn from the rows of docs with a text and a label. Counts come back by language and bucket, a bounded number.
+
+    Raises an error for more labels than TOO_MANY_LABELS. An empty table gives a model without languages.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter("_text is not null and _lang is not null")
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("_lang").count().limit(TOO_MANY_LABELS + 1).collect()
+    if len(counts) > TOO_MANY_LABELS:
+        raise ValueError(f"{lang_col} has more than {TOO_MANY_LABELS} labels")
     languages = sorted(r["_lang"] for r in counts)
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
@@ -208,24 +241,33 @@ def _inside(words: Words) -> np.ndarray:
     return np.repeat(words.start - 1, size) + at
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep_columns: bool = False) -> DataFrame:
     """One row per row of docs: the id, lang_pred, score (0 to 1: the part of the letters that lang_pred's spans hold).
 
-    `und` with score 0 if the text is null, empty or without a letter of a known script, or the model has no languages. Ids
-    may be null or repeated. An empty table gives an empty result. Other columns are not read.
+    keep_columns: all columns of docs, then _lang_pred and _score: texts move through the pass, and need no join afterwards.
+
+    `und` with score 0 if the text is null or without a letter (Unicode's property), or the model has no languages. A text whose
+    letters are all of scripts that the model hasn't seen gets the language of the likeliest trigrams, with score 0. Ids may be
+    null or repeated; rows are judged one by one. An empty table gives an empty result. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 found = model.predict(texts, penalty)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_id", "lang_pred", "score"]
-                )
-
-    rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+                found = [x if letters else (UNDETERMINED, 0.0) for x, letters in zip(found, part.column(1).to_pylist(), strict=True)]
+                lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in carried] + [lang, score], names)
+
+    # what is carried through: the id, or all columns
+    columns = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)] if keep_columns else [F.col(id_col).alias("_0")]
+    rows = docs.select(F.lower(F.col(text_col)).alias("_text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("_letters"), *columns)
+    carried = range(2, 2 + len(columns))
+    names = [f"_{k}" for k in range(len(columns))] + ["lang_pred", "score"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    own = docs.columns if keep_columns else [id_col]
+    return out.toDF(*own, *(("_lang_pred", "_score") if keep_columns else ("lang_pred", "score")))
 
 
 def language_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:

@@ -25,8 +25,12 @@ FIT_DOCS = 3000
 #: Hash buckets of byte trigrams, and bins of a statistic.
 BUCKETS, BINS = 1 << 11, 8
 
-#: What the label model takes for granted: a vote for bad is right in this part of cases or more.
-LEAST_PRECISION = 0.8
+#: The label model's prior, the probabilities of no vote, bad, good: on good documents, on bad ones, by the labeller that a kind of bad
+#: documents is named after; each for labellers that look for faults and for those that also vote for good.
+ON_GOOD, ON_BAD, ON_OWN = ([0.9985, 0.0005, 0.001], [0.10, 0.0005, 0.8995]), ([0.90, 0.099, 0.001], [0.10, 0.10, 0.80]), ([0.02, 0.97, 0.01], [0.02, 0.97, 0.01])
+
+#: The prior's part of good documents, and its weight, as a part of all rows.
+GOOD_PRIOR, PRIOR_WEIGHT = 0.8, 0.05
 
 #: Score from which on a document is kept.
 THRESHOLD = 0.5
@@ -44,12 +48,12 @@ LABELLERS = [
     ("capitals", NEVER, (0.35, 1.0)),  # A-Z among ASCII letters
     ("lone", NEVER, (0.10, 1.0)),  # words without a letter or digit
     ("marked", NEVER, (0.25, 1.0)),  # words that end in a symbol other than .,;:'"-()?
-    ("distinct", (0.35, 1.0), (0.0, 0.15)),  # distinct words among the words, or a third if there are more than 1000
+    ("distinct", (0.75, 1.0), (0.0, 0.58)),  # logarithm of the distinct words (and 1) by that of the words (and 1)
     ("word_bytes", (3.0, 14.0), (25.0, 1e9)),  # mean bytes of a word
     ("words", (20.0, 1e9), (0.0, 0.5)),  # words
 ]
 
-_EDGES = np.array([[0.001, 0.003, 0.01, 0.02, 0.04, 0.08, 0.2]] * 5 + [[0.05, 0.1, 0.15, 0.25, 0.35, 0.5, 0.7], [2, 3, 4, 6, 8, 12, 20], [1, 3, 10, 30, 100, 300, 1000]])
+_EDGES = np.array([[0.001, 0.003, 0.01, 0.02, 0.04, 0.08, 0.2]] * 5 + [[0.3, 0.45, 0.58, 0.68, 0.75, 0.85, 0.93], [2, 3, 4, 6, 8, 12, 20], [1, 3, 10, 30, 100, 300, 1000]])
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?"]] = True
@@ -86,7 +90,7 @@ def statistics(words: Words, texts: int) -> np.ndarray:
             per_text(_UPPER[data]) / np.maximum(per_text(_LETTER[data]), 1),
             per_word(solid[words.end] == solid[words.start]) / some,
             per_word(_SYMBOL[data[words.end - 1]]) / some,
-            np.where(n > 1000, np.maximum(distinct / some, np.minimum(distinct / 333, 1)), distinct / some),
+            np.log1p(distinct) / np.log1p(some),
             per_word(words.end - words.start) / some,
             n,
         ],
@@ -109,40 +113,60 @@ def patterns(found: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """good: part of good documents. rates: class (bad, good) x labeller x vote, the probability of the vote."""
+    """parts: of the classes among the documents: good ones, then for each labeller the bad ones of its kind.
+
+    rates: class x labeller x vote, the probability of the vote.
+    """
 
-    good: float
+    parts: np.ndarray
     rates: np.ndarray
 
+    @property
+    def good(self) -> float:
+        return float(self.parts[0])
+
+    def accuracies(self) -> np.ndarray:
+        """bad and good documents x labeller x vote: the probability of the vote."""
+        bad = np.einsum("c,clv->lv", self.parts[1:], self.rates[1:]) / max(self.parts[1:].sum(), 1e-12)
+        return np.stack((bad, self.rates[0]))
+
+    def classes(self, found: np.ndarray) -> np.ndarray:
+        """The probabilities of the classes of documents with these votes, a row each."""
+        logs = np.log(self.parts) + np.log(self.rates)[:, np.arange(found.shape[1])[None, :], found].sum(axis=2).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
     def posterior(self, found: np.ndarray) -> np.ndarray:
         """The probability that documents with these votes are good."""
-        each = np.log(self.rates)
-        each[:, :, 0] = 0  # no vote says nothing: most labellers look for one fault, and a document has few
-        logs = each[:, np.arange(found.shape[1])[None, :], found].sum(axis=2)
-        odds = np.log(self.good) - np.log(1 - self.good) + logs[1] - logs[0]
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-
-
-def fit_label_model(found: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """EM over distinct rows of votes and their counts. Starts from any vote for bad; rates are smoothed by one pseudo-count."""
-    n = found.shape[1]
-    p = np.where((found == 1).any(axis=1), 0.1, 0.95)
-    # the part of good documents stays at its start: as no vote counts for nothing, the likelihood doesn't hold it in place
-    good = float(np.clip((counts @ p + 1) / (counts.sum() + 2), 0.05, 0.95))
-    model = LabelModel(good, np.full((2, n, 3), 1 / 3))
+        return self.classes(found)[:, 0]
+
+
+def even_label_model() -> LabelModel:
+    """Of an empty table: no vote says anything, and half the documents are good."""
+    n = len(LABELLERS)
+    return LabelModel(np.r_[0.5, np.full(n, 0.5 / n)], np.full((n + 1, n, 3), 1 / 3))
+
+
+def fit_label_model(found: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
+    """EM over distinct rows of votes and their counts, with Dirichlet priors.
+
+    Given the class, labellers vote independently; no vote is an outcome like the others. Bad documents are of as many kinds
+    as there are labellers, as a document has few of the faults that are looked for. Parts and rates move freely. Priors weigh
+    a part of all rows, so the model is the same for a table and for copies of it.
+    """
+    n, both = len(LABELLERS), [int(good != NEVER) for _, good, _ in LABELLERS]
+    prior = np.array([[ON_GOOD[b] for b in both]] + [[(ON_OWN if k == own else ON_BAD)[b] for k, b in enumerate(both)] for own in range(n)])
+    weights = PRIOR_WEIGHT * np.r_[GOOD_PRIOR, np.full(n, (1 - GOOD_PRIOR) / n)]
+    share = counts / counts.sum()
+    votes_of = np.stack([found == v for v in range(3)], axis=2).astype(float)
+    model = LabelModel(weights / PRIOR_WEIGHT, prior)
+    p = model.classes(found)
     for _ in range(rounds):
-        rates = np.empty((2, n, 3))
-        for c, weight in enumerate((counts * (1 - p), counts * p)):
-            for v in range(3):
-                rates[c, :, v] = (weight @ (found == v) + 1.0) / (weight.sum() + 3.0)
-        # a labeller's votes for bad are right in LEAST_PRECISION of cases at least
-        often = (counts @ (found == 1) + 1) / (counts.sum() + 3)
-        rates[1, :, 1] = np.minimum(rates[1, :, 1], (1 - LEAST_PRECISION) * often / good)
-        rates[0, :, 1] = np.clip(np.maximum(rates[0, :, 1], LEAST_PRECISION * often / (1 - good)), None, 0.999)
-        rates[:, :, [0, 2]] *= ((1 - rates[:, :, 1]) / rates[:, :, [0, 2]].sum(axis=2))[:, :, None]  # probabilities again
-        rates[0, :, 2] = np.minimum(rates[0, :, 2], rates[1, :, 2])  # nor is a vote for good a sign of bad
-        model = LabelModel(good, rates)
-        before, p = p, model.posterior(found)
+        mass = share[:, None] * p
+        rates = np.einsum("rc,rlv->clv", mass, votes_of) + weights[:, None, None] * prior
+        parts = mass.sum(axis=0) + weights
+        model = LabelModel(parts / parts.sum(), rates / rates.sum(axis=2, keepdims=True))
+        before, p = p, model.classes(found)
         if np.abs(p - before).max() < 1e-9:
             break
     return model
@@ -170,9 +194,14 @@ class QualityModel:
         """Of each text the posterior of its votes and the scorer's probability that it is good."""
         words = Words(texts)
         stats = statistics(words, len(texts))
-        sums = np.concatenate(([0], np.cumsum(self.grams[_buckets(words)])))
-        a, b = words.text_start[:-1], words.text_start[1:] - 1
-        z = (sums[b] - sums[a]) / np.maximum(b - a, 1) + self.bins[_bins(stats)].sum(axis=1) + self.bias
+        # sums by text, so that a text's score doesn't depend on its neighbours
+        size = np.diff(words.text_start)
+        each = self.grams[_buckets(words)[words.text_start[0] : words.text_start[-1]]]
+        ends = np.cumsum(size)
+        each[ends - 1] = 0  # the space after each text, and the trigram that goes over it
+        each[np.maximum(ends - 2, 0)] = 0
+        sums = np.bincount(np.repeat(np.arange(len(texts)), size), each, len(texts))
+        z = sums / np.maximum(size - 2, 1) + self.bins[_bins(stats)].sum(axis=1) + self.bias
         return self.labels.posterior(votes(stats)), 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -182,19 +211,17 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(words.text_start, np.arange(len(words.data)), "right") - 1
     inside = (at >= 0) & (at < len(texts))
     row = at[inside]
-    keep = np.arange(len(words.data))[inside] < words.text_start[row + 1] - 1
+    keep = np.arange(len(words.data))[inside] < words.text_start[row + 1] - 2  # no trigram over the space after a text
     x = np.bincount(row[keep] * BUCKETS + _buckets(words)[inside][keep], minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
     return (x / np.maximum(x.sum(axis=1, keepdims=True), 1)).astype(np.float32), _bins(statistics(words, len(texts)))
 
 
-def train_scorer(texts: list[bytes], target: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def train_scorer(grams: np.ndarray, bin_of: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on soft labels, both classes of equal weight, by gradient steps with momentum."""
-    parts = [_features(texts[k : k + 200]) for k in range(0, len(texts), 200)]
-    grams = np.concatenate([g for g, _ in parts])
-    bins = np.zeros((len(texts), len(LABELLERS) * BINS), np.float32)
-    np.put_along_axis(bins, np.concatenate([b for _, b in parts]), 1, axis=1)
+    bins = np.zeros((len(grams), len(LABELLERS) * BINS), np.float32)
+    np.put_along_axis(bins, bin_of, 1, axis=1)
     scale = 1 / np.sqrt((grams**2).mean(axis=0) + 1e-8)
-    x = np.c_[grams * scale / np.sqrt(BUCKETS), bins, np.ones(len(texts), np.float32)].astype(np.float32)
+    x = np.c_[grams * scale / np.sqrt(BUCKETS), bins, np.ones(len(grams), np.float32)].astype(np.float32)
     weight = np.where(target >= 0.5, 0.5 / max(target.sum(), 1), 0.5 / max((1 - target).sum(), 1)).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     speed = np.zeros_like(w)
@@ -210,7 +237,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> QualityModel:
-    """Label model over the votes of all rows of docs, scorer on a sample. An empty table gives a model that says 0.5."""
+    """Label model over the votes of all rows of docs, scorer on a sample. An empty table gives a model that says 0.5.
+
+    The sample is of about fit_docs rows with a text, by hash of the id (all rows of a repeated id or none); whole texts count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,19 +251,29 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _rows(docs, id_col, text_col)
     counted = rows.mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     if not len(counted):
-        return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), np.zeros(BUCKETS), np.zeros(len(LABELLERS) * BINS), 0.0)
+        return QualityModel(even_label_model(), np.zeros(BUCKETS), np.zeros(len(LABELLERS) * BINS), 0.0)
     k = counted["pattern"].to_numpy(np.int64)
     found = k[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     labels = fit_label_model(found, counted["n"].to_numpy(float))
     rate = min(1.0, fit_docs / int(counted["n"].sum()))
-    # of a very long text the sample takes the middle: the scorer sees parts of trigrams only
-    middle = F.substr(F.col("_text"), F.greatest(F.lit(1), F.floor(F.length("_text") / 2 - 10_000)).cast("int"), F.lit(20_000))
-    chosen = rows.filter((unit_hash("_id") < rate) & F.col("_text").isNotNull()).select(F.when(F.length("_text") > 20_000, middle).otherwise(F.col("_text")).alias("_text"))
-    texts = [r["_text"].encode() for r in chosen.collect()]
-    if not texts:
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, "_text"):
+                for k in range(0, len(texts), 200):
+                    part = texts[k : k + 200]
+                    grams, bin_of = _features(part)
+                    soft = labels.posterior(votes(statistics(Words(part), len(part))))
+                    raw = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (grams, bin_of.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*raw, pa.array(soft)], ["grams", "bins", "soft"])
+
+    # features of whole texts: as many numbers for each document whatever its length
+    chosen = rows.filter((unit_hash("_id") < rate) & F.col("_text").isNotNull())
+    sample = chosen.mapInArrow(examples, "grams binary, bins binary, soft double").toPandas().sort_values(["grams", "bins"], kind="stable")
+    if not len(sample):
         return QualityModel(labels, np.zeros(BUCKETS), np.zeros(len(LABELLERS) * BINS), 0.0)
-    target = np.concatenate([labels.posterior(votes(statistics(Words(t := texts[k : k + 200]), len(t)))) for k in range(0, len(texts), 200)])
-    return QualityModel(labels, *train_scorer(texts, target))
+    grams, bin_of = (np.frombuffer(b"".join(sample[c]), t).reshape(len(sample), -1) for c, t in (("grams", np.float32), ("bins", np.int64)))
+    return QualityModel(labels, *train_scorer(grams, bin_of, sample["soft"].to_numpy()))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import Words, slices, unit_hash, write_table
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation; chosen by hash of the id.
+#: The lexicon's size is bounded by theirs: each term is in LEAST_DOCS of them or more.
 FIT_DOCS = 20_000
 
-#: Terms a lexicon has at most, the strongest; bounds the driver's memory and the broadcast.
-MAX_TERMS = 5_000
-
 #: A term is in so many toxic documents at least, and either in this part of them or, by Chernoff's bound, there by chance with odds of e to
 #: this power against.
 LEAST_DOCS, LEAST_PART, LEAST_EVIDENCE = 4, 1 / 100, 20.0
@@ -180,11 +178,12 @@ class ToxicityModel:
 
 def _words_of(text: Column) -> Column:
     trimmed = F.transform(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.btrim(w, F.lit(EDGES)))
-    return F.filter(F.array_distinct(trimmed), lambda w: F.length(w).between(3, 40))
+    return F.filter(F.array_distinct(trimmed), lambda w: F.length(w) > 0)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> ToxicityModel:
-    """Learn from docs that labels (the id and 0 or 1) has; rows without a text or label are left out, equal texts count once.
+    """Learn from docs that labels (the id and 0 or 1) has; rows without a text or label are left out, equal texts count once,
+    an id with contradictory labels counts as toxic.
 
     The labels are sampled before the join, to about fit_docs of each class: few enough to broadcast, so that no text but the
     sample's moves. Without toxic or without clean documents the lexicon is empty, and all scores are the same.
@@ -192,7 +191,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     marks = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).filter("_id is not null and _toxic is not null")
     counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
     rate = F.when(F.col("_toxic"), min(1.0, fit_docs / counts.get(True, 1))).otherwise(min(1.0, fit_docs / counts.get(False, 1)))
-    marks = marks.filter(unit_hash("_id") < rate).dropDuplicates(["_id"])
+    # an id with both labels counts as toxic
+    marks = marks.filter(unit_hash("_id") < rate).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text")).filter("_text is not null")
     rows = write_table(rows.join(F.broadcast(marks), "_id"), "labelled")
     once = rows.groupBy(F.xxhash64("_text").alias("_h")).agg(F.min("_id").alias("_id")).select("_id")
@@ -208,7 +208,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     rest = F.when(F.col("c") > 0, F.col("c") * F.log((1 - part) / (1 - share))).otherwise(0.0)
     evidence = F.col("t") * F.log(part / share) + rest
     strong = seen.filter((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & ((F.col("t") >= n_toxic * LEAST_PART) | (evidence >= LEAST_EVIDENCE))).withColumn("weight", F.log(ratio))
-    terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").limit(MAX_TERMS).collect()
+    terms = strong.orderBy(F.desc(F.col("t") * F.col("weight")), "w").collect()
     weights = {r["w"]: r["weight"] for r in terms}
     lexicon = Lexicon(weights)
     lexicon = Lexicon(weights, _innocent(rows, lexicon))
@@ -216,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
 
 
 def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words at one edit of a term that clean documents use and toxic ones not clearly more often; at most MAX_TERMS."""
+    """Words at one edit of a term that clean documents use and toxic ones not clearly more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +235,7 @@ def _innocent(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.bool_())], ["w", "toxic"])
 
     found = rows.select("_toxic", "_text").mapInArrow(run, "w string, toxic boolean").groupBy("w").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    kept = found.filter("c > 0 and c * 2 >= t").orderBy(F.desc("c"), "w").limit(MAX_TERMS).collect()
+    kept = found.filter("c > 0 and c * 2 >= t").select("w").collect()
     return frozenset(r["w"] for r in kept)
 
 

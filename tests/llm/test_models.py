@@ -240,3 +240,97 @@ def test_long_words_and_common_starts():
     words = sorted({"a" * n + "b" * m for n in range(30) for m in range(3)} | {"", "\0", "a\0"})
     want = [0] + [next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))) for x, y in zip(words, words[1:], strict=False)]
     assert sentencepiece_trie._common_starts(words) == want
+
+
+def test_letters_decide_about_und(spark, model):
+    rng = random.Random(3)
+    rows = [(1, "සිංහල"), (2, "१२३ ४५६"), (3, "٣٤٥ ।"), (4, "ꓡꓲꓢꓴ"), (5, "བོད"), (6, "。 ！"), (7, "১২৩ the house"), (8, "ᏣᎳᎩ the house and water"), (9, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (2, 3, 6, 9))
+    assert all(got[k][0] in model.languages and got[k][1] == 0.0 for k in (1, 4, 5)) and got[7] == got[8] == ("en", 1.0)
+    kept = language_id.identify_languages(spark.createDataFrame([(1, "the house", 0.5), (1, None, None)], "doc_id long, text string, score double"), model, keep_columns=True)
+    assert [tuple(r) for r in kept.collect()] == [(1, "the house", 0.5, "en", 1.0), (1, None, None, "und", 0.0)]
+    with pytest.raises(ValueError):
+        language_id.fit_language_model(spark.range(1100).selectExpr("id as doc_id", "'x' as text", "id as lang"))
+    assert sentence("en", 3, rng)
+
+
+def test_one_long_text_among_short_ones(model):
+    """A text of 4 MB with 255 short ones, labelled as if each stood alone, in memory by the words."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [sentence("en", 700_000, rng).encode()] + [sentence(rng.choice(["en", "de"]), rng.randrange(1, 30), rng).encode() for _ in range(255)]
+    alone = [model.predict([t])[0] for t in texts[1:]]
+    tracemalloc.start()
+    got = model.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [("en", 1.0), *alone] and most < 400e6
+
+
+def test_toxicity_scores_against_brute_force():
+    """Scores from every word's distance to every term."""
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0, "x": 1.5, "moron": 1.0, "größer": 1.0, "a" * 60: 2.5}, frozenset({"idiom", "maron"}))
+    own = toxicity.ToxicityModel(lexicon, np.array([1.0, 0.4, 0.7, 0.2, -3.0]))
+    words = ["idiot", "idiom", "idio", "(idiot!!!)", "scum", "scums", "x", "xx", "maron", "moro", "gröser", "a" * 59, '"scum"', "called", "plain", "words", "here", "...", "said"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(300)] + ["plain " * 50_000 + "idiot", ""]
+    for text, got in zip(texts, own.scores([t.encode() for t in texts]), strict=True):
+        found, sums = text.split(), dict.fromkeys(toxicity.FEATURES, 0.0)
+        for i, raw in enumerate(found):
+            w = raw.strip(toxicity.EDGES)
+            near = [(d, -v, t) for t, v in lexicon.weights.items() if w and abs(len(w) - len(t)) < 2 and ((d := distance(w, t)) == 0 or d == 1 and len(t) >= toxicity.FUZZY_LETTERS)]
+            if not near or min(near)[0] and w in lexicon.innocent:
+                continue
+            errors, minus, _ = min(near)
+            at = raw.index(w)
+            before, after = " ".join([*found[max(0, i - 6) : i], raw[:at]]), " ".join([raw[at + len(w) :], *found[i + 1 : i + 7]])
+            mentioned = any(x.strip(toxicity.EDGES) in toxicity.MENTIONS for x in before.split()[-2:])
+            quoted = sum(before.count(q) for q in toxicity.QUOTES) % 2 == 1 and any(q in after for q in toxicity.QUOTES) or mentioned
+            sums[("exact", "fuzzy")[errors] + "_quoted" * quoted] -= minus
+        z = sum(c * math.log1p(v) for c, v in zip(own.coefficients, sums.values(), strict=False)) + own.coefficients[-1]
+        assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-9), text[:300]
+
+
+def test_contradictory_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} w{k} " + ("badterm" if k < 20 else "clean")) for k in range(200)], "doc_id long, text string")
+    labels = [(k, int(k < 20)) for k in range(200)] + [(k, 0) for k in range(20)] * 2
+    for order in (labels, labels[::-1]):
+        found = toxicity.fit_toxicity(docs, spark.createDataFrame(order, "doc_id long, toxic int").repartition(3))
+        assert set(found.lexicon.weights) == {"badterm"}
+
+
+def test_label_model_recovers_simulated_labellers():
+    """Documents of known kinds: EM finds how labellers vote and the part of good documents, at any size, and equals EM by rows."""
+    rng = np.random.default_rng(5)
+    n, faults = 40_000, np.array([g == quality.NEVER for _, g, _ in quality.LABELLERS])
+    on_good, on_bad = np.where(faults[None, :, None], [[[0.995, 0.005, 0.0]], [[0.85, 0.15, 0.0]]], [[[0.15, 0.005, 0.845]], [[0.3, 0.1, 0.6]]])
+    for good in (0.55, 0.8):
+        kind = rng.integers(1, len(faults) + 1, n) * (rng.random(n) > good)  # 0: good
+        each = np.stack([on_good] + [np.where(np.arange(len(faults))[:, None] == k, [0.1, 0.9, 0.0], on_bad) for k in range(len(faults))])
+        rates, true = np.stack((each[1:].mean(axis=0), on_good)), kind == 0
+        found = (rng.random((n, len(faults), 1)) > each[kind].cumsum(axis=2)[:, :, :2]).sum(axis=2)
+        rows, counts = np.unique(found, axis=0, return_counts=True)
+        own = quality.fit_label_model(rows, counts.astype(float))
+        assert abs(own.good - good) < 0.05 and np.abs(own.accuracies() - rates).max() < 0.08
+        assert ((own.posterior(found) > 0.5) == true).mean() > 0.9
+        many = quality.fit_label_model(rows, counts * 1e6)
+        assert np.allclose(many.rates, own.rates, atol=1e-6)
+        by_rows = quality.fit_label_model(found[:2000], np.ones(2000))
+        grouped = quality.fit_label_model(*(lambda a, c: (a, c.astype(float)))(*np.unique(found[:2000], axis=0, return_counts=True)))
+        assert np.allclose(by_rows.rates, grouped.rates, atol=1e-6)
+
+
+def test_quality_of_odd_rows(spark):
+    """Extra columns of clashing names, repeated rows, a very long text, ties at the threshold."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    rows = [(k, " ".join(word() for _ in range(60)) if k % 3 else "%%% ### " * 40) for k in range(90)] + [(3, "%%% ### " * 40)] * 2 + [(200, " ".join(word() for _ in range(200_000)))]
+    docs = spark.createDataFrame([(k, t, 9.0, "x", True) for k, t in rows], "doc_id long, text string, score double, weak_label string, kept boolean")
+    own = quality.fit_quality(docs)
+    got = quality.score_quality(docs, own).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.score >= 0.5) for r in got) and {r.kept for r in got if r.doc_id == 200} == {True}
+    assert len({(r.score, r.kept) for r in got if r.doc_id == 3}) == 1
+    level = quality.QualityModel(own.labels, np.zeros(quality.BUCKETS), np.zeros(len(quality.LABELLERS) * quality.BINS), 0.0)
+    assert {(r.score, r.kept) for r in quality.score_quality(docs, level).collect()} == {(0.5, True)}

@@ -26,8 +26,41 @@ def test_pipeline(spark, tmp_path):
             assert ids == {r[0] for r in rows + copies} | {None}
         if name == "exact_dedup":
             assert ids == {r[0] for r in rows[5:] + copies} | {None}
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert {r[0] for r in rows[5:]} <= got | ids and 200 not in got and 201 not in got
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Rows of run() against plain Python: letters, the largest id of equal texts, the smallest of near copies, the library's pieces."""
+    import re
+
+    import sentencepiece
+    from inkveil.llm.near_dedup import shingles
+    from inkveil.llm.sentencepiece_trie import MODEL_PATH
+
+    rng = random.Random(31)
+    text = lambda lang: " ".join(rng.choice(WORDS[lang].split()) + str(rng.randrange(90)) for _ in range(70))
+    texts = {k: text("en" if k % 3 else "fr") for k in range(50)}
+    texts |= {100 + k: texts[k] for k in range(8)} | {110: texts[0], 200: None, 201: "", 202: "12 34", 203: "  \n"}
+    for k in range(10, 20):  # one word of 70 changed: five shingles of 66
+        words = texts[k].split()
+        words[30] = "another"
+        texts[300 + k] = " ".join(words)
+    rows = [(k, t, "en" if k % 3 else "fr", f"s{k % 2}", 1) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {k: t for k, t in texts.items() if t and re.search("[^\\W\\d_]", t)}
+    kept = {k: t for k, t in kept.items() if k == max(j for j in kept if kept[j] == t)}
+    sets, label = {k: shingles(t.encode()) for k, t in kept.items()}, {k: k for k in kept}
+    near = [(a, b) for a in kept for b in kept if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in near:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = {k: t for k, t in kept.items() if label[k] == k}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = {}
+    for r in got:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert r.ids == library.encode(kept[r.doc_id]) and r.n_pieces == len(r.ids)
+    assert times.keys() == kept.keys() and len(near) >= 10 and max(times.values()) <= 3
 
 
 def test_near_copies(spark):
