@@ -135,8 +135,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, n
         table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
         ids = [table.column(k).to_numpy() for k in range(keys)]
         turn = np.flatnonzero(np.any([np.diff(c) != 0 for c in ids], axis=0)) + 1
-        for a, b in zip(np.r_[0, turn[:-1]], turn, strict=True) if len(turn) else ():
-            yield {c: table.column(c).slice(a, b - a).to_numpy() for c in table.column_names}
+        if len(turn):
+            whole = {c: table.column(c).slice(0, turn[-1]).to_numpy() for c in table.column_names}
+            for a, b in zip([0, *turn[:-1].tolist()], turn.tolist(), strict=True):
+                yield {c: v[a:b] for c, v in whole.items()}
         rest = table.slice(turn[-1]) if len(turn) else table
     if rest is not None and len(rest):
         yield {c: rest.column(c).to_numpy() for c in rest.column_names}
