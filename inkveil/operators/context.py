@@ -64,7 +64,8 @@ ORG_BREAKS = "由与和或给被把以并为在及至向从对等第是:,;"
 ORG_LEADS = "本人 该公司 该司 该行 该店 该厂 该社 该院 该中心 其本 我方 你方 对方 本行 本院 本店 本厂 本社 本中心 号院 号楼 号室 号层 号店 号厂 号区".split()
 ORG_PARTIES = ("甲方", "乙方", "丙方", "供方", "需方", "卖方", "买方", "签约", "受托方", "委托方")
 
-#: Characters before an ending in which an organisation's name is looked for.
+#: Characters before an ending that are searched first for the beginning of an organisation's name; a name that fills them is
+#: searched for in the whole text before the ending.
 ORG_REACH = 100
 
 
@@ -201,7 +202,9 @@ def organisations(text: Column) -> Column:
     def make(x: Column) -> Column:
         end = x["start"] + F.length(x["m"])
         left = F.substring(text, F.greatest(end - ORG_REACH, F.lit(0)) + 1, F.least(end, F.lit(ORG_REACH)))
-        whole = F.regexp_extract(left, f"{_ORG_BODY}+$", 0)
+        near = F.regexp_extract(left, f"{_ORG_BODY}+$", 0)
+        far = F.regexp_extract(F.substring(text, F.lit(1), end), f"{_ORG_BODY}+$", 0)
+        whole = F.when((F.length(near) == ORG_REACH) & (end > ORG_REACH), far).otherwise(near)
         return let(F.struct(whole.alias("w"), F.btrim(whole, F.lit(" ·-&\"'")).alias("v"), end.alias("e"), x["m"].alias("x")), cut)
 
     def cut(p: Column) -> Column:

@@ -127,6 +127,10 @@ _NEAR = "substr(text, greatest(s - 30, 0) + 1, least(s, 30)) || '|' || substr(te
 _LINES = "unnest(string_split(text, chr(10)))"
 
 ORACLE_SQL: dict[str, str] = {
+    "csv_lines": """WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents),
+        u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+        m AS (SELECT doc_id, i, unnest(regexp_extract_all(line, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{2,}[.][A-Za-z]{2,24}')) AS value FROM u)
+        SELECT doc_id, '第 ' || i || ' 行' AS location, value, count(*) AS n FROM m GROUP BY ALL""",
     "blocks_from_documents": """WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents),
         e AS (SELECT doc_id, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM l)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS block_index, text, '第 ' || line || ' 行' AS location FROM e WHERE trim(text) <> ''""",

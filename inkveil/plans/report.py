@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import kwic
+from inkveil.registry import Settings
 
 # Names of severities, the columns of the CSV report.
 SEVERITY_LABELS = {"high": "高", "medium": "中", "low": "低"}
@@ -25,8 +26,8 @@ def occurrence_table(found: DataFrame, context_chars: int = 30) -> DataFrame:
 
 
 def by_type(found: DataFrame) -> DataFrame:
-    """Occurrences of each type over all documents; pre-aggregated before the shuffle."""
-    return candidate_table(found).groupBy("type_id").agg(F.sum("count").alias("occurrences"))
+    """Occurrences of each type over all documents, most frequent first; pre-aggregated before the shuffle."""
+    return candidate_table(found).groupBy("type_id").agg(F.sum("count").alias("occurrences")).orderBy(F.desc("occurrences"), "type_id")
 
 
 def by_severity(found: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def summary(found: DataFrame) -> DataFrame:
 def csv_report(found: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """The CSV report: one row per occurrence, reasons on a candidate's first row only.
 
-    blocks: start, end, location, page of blocks by doc_id; without it the location is empty.
+    blocks: start, end, location, page of blocks by doc_id (block_offsets), of the text that was analysed; without it, or for
+    a place in no block, the location is empty.
     """
     rows = occurrence_table(found)
     if blocks is not None:
@@ -52,7 +54,7 @@ def csv_report(found: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     severity = F.create_map(*[F.lit(x) for kv in SEVERITY_LABELS.items() for x in kv])[F.col("c.severity")]
     values: list[Column] = [
         F.col("c.cid"), F.col("c.type_id"), F.col("c.label"), F.col("c.category"), severity, F.col("c.value"), F.col("c.masked"), F.col("c.confidence"), F.col("c.count"),
-        F.col("location"), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("context"), F.when(F.col("nth") == 1, F.array_join("c.reasons", "；")).otherwise(""),
+        F.coalesce("location", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("context"), F.when(F.col("nth") == 1, F.array_join("c.reasons", "；")).otherwise(""),
     ]
     return rows.select("doc_id", *[v.alias(n) for v, n in zip(values, CSV_COLUMNS, strict=True)])
 
@@ -66,10 +68,14 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
 
 
 def in_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows (doc_id, start) with the block that each starts in: a range join by document, as an equality join and a filter."""
-    b = blocks.select(F.col("doc_id").alias("_doc"), "block_index", "location", "page", F.col("start").alias("block_start"), F.col("end").alias("block_end"))
+    """rows (doc_id, start) with the block that each starts in: a range join by document, as an equality join and a filter.
+
+    blocks and rows must be of one text: that of sources.text.as_read(), or documents_of() for files. A row that starts in no
+    block (or whose document has none) stays, with nulls.
+    """
+    b = blocks.select(F.col("doc_id").alias("_doc"), "block_index", "location", "page", "block_type", F.col("start").alias("block_start"), F.col("end").alias("block_end"))
     hit = (rows["doc_id"] == b["_doc"]) & (rows["start"] >= b["block_start"]) & (rows["start"] <= b["block_end"])
-    return rows.join(b, hit).drop("_doc")
+    return rows.join(b, hit, "left").drop("_doc")
 
 
 def top(found: DataFrame, n: int = 20) -> DataFrame:
@@ -87,26 +93,88 @@ def mapping_entities(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "type_id", "label", "number", "placeholder").agg(F.min_by("original", "start").alias("original"), F.count("*").alias("occurrences"))
 
 
-def report_json(found: DataFrame) -> DataFrame:
-    """The report of each document as JSON: doc_id and report."""
+def _totals(field: str) -> Column:
+    """A map of a field's values to the occurrences of candidates that have them, most frequent first."""
+    values = F.array_distinct(F.transform("candidates", lambda c: c[field]))
+
+    def total(v: Column) -> Column:
+        return F.aggregate(F.filter("candidates", lambda c: c[field] == v), F.lit(0), lambda a, c: a + c["count"])
+
+    ranked = F.array_sort(F.transform(values, lambda v, i: F.struct((-total(v)).alias("n"), i.alias("i"), v.alias("v"))))
+    return F.map_from_entries(F.transform(ranked, lambda x: F.struct(x["v"], -x["n"])))
+
+
+def _engine() -> Column:
+    return F.struct(F.lit("inkveil").alias("name"), F.lit("2").alias("version"), F.lit("offline").alias("mode"))
+
+
+def report_json(
+    found: DataFrame,
+    blocks: DataFrame | None = None,
+    settings: Settings | None = None,
+    warnings: DataFrame | None = None,
+    generated_at: str | None = None,
+) -> DataFrame:
+    """The report of each document as JSON: doc_id and report.
+
+    blocks: as in csv_report; without them occurrences have no block. warnings: doc_id, warnings. generated_at: a time stamp,
+    the same for all documents of a job; by default the time of the query. Documents without candidates have empty items.
+    """
+    settings = settings or Settings()
+    rows = occurrence_table(found)
+    if blocks is not None:
+        rows = in_block(rows, blocks)
+        local = F.when(F.col("block_index").isNotNull(), F.array(F.col("start") - F.col("block_start"), F.col("end") - F.col("block_start")))
+        sizes = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    else:
+        kinds = {"page": "int", "location": "string", "block_type": "string", "block_index": "int"}
+        rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+        local, sizes = F.lit(None).cast("array<int>"), None
+    place = F.struct(
+        "page", "location", "block_type", F.array("start", "end").alias("offset"), "block_index", local.alias("local_offset"),
+        F.lit(None).cast("array<double>").alias("bbox"), "context", "text",
+    )
+    each = rows.groupBy("doc_id", F.col("c.cid").alias("id")).agg(F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("nth", place.alias("o")))).alias("o"))
+    fields = ("label", "category", "severity", "value", "masked", "confidence", "count", "reasons")
+    item = F.struct("id", F.col("c.type_id").alias("type"), *[F.col(f"c.{f}") for f in fields], F.transform("o", lambda x: x["o"]).alias("occurrences"))
+    items = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     total = F.aggregate("candidates", F.lit(0), lambda a, c: a + c["count"])
-    item = lambda c: F.struct(c["cid"].alias("id"), c["type_id"].alias("type"), *[c[f].alias(f) for f in ("label", "category", "severity", "value", "masked", "confidence", "count", "reasons")], F.transform(c["occurrences"], lambda o: F.struct(F.array(o["raw_start"], o["raw_end"]).alias("offset"), o["text"].alias("text"))).alias("occurrences"))
+    rows = found.select("doc_id", "raw", "candidates").join(items, "doc_id", "left")
+    rows = rows.join(sizes, "doc_id", "left") if sizes is not None else rows.withColumn("blocks", F.lit(None).cast("long"))
+    rows = rows.join(warnings, "doc_id", "left") if warnings is not None else rows.withColumn("warnings", F.array().cast("array<string>"))
     body = F.struct(
         F.lit("contract-sensitive-candidates/v1").alias("schema"),
-        F.struct(F.length("raw").alias("chars"), F.sha2("raw", 256).alias("sha256")).alias("source"),
-        F.struct(F.size("candidates").alias("candidate_types"), total.alias("occurrences")).alias("summary"),
-        F.transform("candidates", item).alias("items"),
-    )
-    return found.select("doc_id", F.to_json(body).alias("report"))
-
-
-def mapping_json(items: DataFrame) -> DataFrame:
-    """The mapping of each document as JSON: doc_id and mapping, items in the order of the text."""
-    item = F.struct(
-        F.col("start"), F.col("end"), F.col("type_id").alias("type"), *[F.col(c) for c in ("label", "severity", "original", "entity_value", "placeholder", "masked", "confidence")]
-    )
+        _engine().alias("engine"),
+        (F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("generated_at"),
+        F.struct(F.sha2("raw", 256).alias("sha256"), "blocks", F.length("raw").alias("chars")).alias("source"),
+        F.struct(
+            F.lit(float(settings.min_confidence)).alias("min_confidence"), F.lit(settings.min_severity).alias("min_severity"),
+            F.array(*[F.lit(t) for t in sorted(set(settings.type_map()) - set(settings.active()))]).cast("array<string>").alias("disabled_types"),
+        ).alias("settings"),
+        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
+        F.struct(F.size("candidates").alias("candidate_types"), total.alias("occurrences"), _totals("type_id").alias("by_type"), _totals("severity").alias("by_severity")).alias("summary"),
+        F.coalesce("items", F.from_json(F.lit("[]"), items.schema["items"].dataType)).alias("items"),
+    )
+    return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def mapping_json(items: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """The mapping of each document as JSON: doc_id and mapping, items in the order of the text, entities by type and number.
+
+    blocks: as in csv_report; items then have block_index, block_location and page.
+    """
+    if blocks is not None:
+        items = in_block(items, blocks).withColumnRenamed("location", "block_location")
+    else:
+        kinds = {"page": "int", "block_index": "int", "block_location": "string"}
+        items = items.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    fields = ("label", "severity", "original", "entity_value", "placeholder", "masked", "confidence", "category", "page", "block_index", "block_location")
+    item = F.struct(F.col("start"), F.col("end"), F.col("type_id").alias("type"), *[F.col(c) for c in fields])
     grouped = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return grouped.select("doc_id", F.to_json(F.struct(F.lit(1).alias("version"), F.lit("contract-mapping/v1").alias("schema"), "items")).alias("mapping"))
+    entity = F.struct(F.col("type_id").alias("type"), "number", "label", "placeholder", "occurrences")
+    entities = mapping_entities(items).groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    body = F.struct(F.lit(1).alias("version"), F.lit("contract-mapping/v1").alias("schema"), _engine().alias("engine"), "entities", "items")
+    return grouped.join(entities, "doc_id").select("doc_id", F.to_json(body).alias("mapping"))
 
 
 MAPPING_SCHEMA = "version int, schema string, items array<struct<start:int,end:int,type:string,label:string,severity:string,original:string,entity_value:string,placeholder:string,masked:string,confidence:double>>"

@@ -17,7 +17,7 @@ from inkveil.operators import context, detect, entities, resolve, rewrite
 from inkveil.plans import report
 from inkveil.plans.analysis import analyse
 from inkveil.registry import RULES, Settings
-from inkveil.sources.text import blocks_from_documents, full_text
+from inkveil.sources.text import as_read, blocks_from_documents, full_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -308,7 +308,7 @@ def id_name_proximity(spark, sf_dir):
 
 @query
 def span_block_join(spark, sf_dir):
-    rows = contracts(spark, sf_dir)
+    rows = as_read(contracts(spark, sf_dir))
     blocks = report.block_offsets(blocks_from_documents(rows))
     spans = spans_of(rows, only("PHONE_MOBILE"), "PHONE_MOBILE").withColumnRenamed("span_start", "start")
     return report.in_block(spans, blocks).select("doc_id", "start", F.col("block_index").cast("long").alias("block_index"), "location")
@@ -317,7 +317,7 @@ def span_block_join(spark, sf_dir):
 @query
 def op_block_containment(spark, sf_dir):
     """For each document how many organisations lie wholly within one block, and how many don't."""
-    rows = contracts(spark, sf_dir)
+    rows = as_read(contracts(spark, sf_dir))
     blocks = report.block_offsets(blocks_from_documents(rows))
     spans = spans_of(rows, only("ORG_NAME"), "ORG_NAME").withColumnRenamed("span_start", "start")
     inside = F.col("span_end") <= F.col("block_end")
@@ -378,11 +378,20 @@ def report_summary(spark, sf_dir):
 
 @query
 def csv_report(spark, sf_dir):
-    rows = contracts(spark, sf_dir)
+    rows = as_read(contracts(spark, sf_dir))
     out = report.csv_report(analyse(rows), report.block_offsets(blocks_from_documents(rows)))
     return out.select("doc_id", F.col("类型").alias("type_id"), F.col("位置").alias("location"), F.col("上下文").alias("context"), F.col("严重度").alias("severity"), (F.col("判定依据") != "").alias("first"))
 
 
+@query
+def csv_lines(spark, sf_dir):
+    """Lines of the CSV report for e-mail addresses of whole documents, with blank lines between their lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = analyse(as_read(docs), only("EMAIL", "IPV4"))
+    out = report.csv_report(found, report.block_offsets(blocks_from_documents(docs)))
+    return out.filter(F.col("类型") == "EMAIL").groupBy("doc_id", F.col("位置").alias("location"), F.col("原文值").alias("value")).agg(F.count("*").alias("n"))
+
+
 @query
 def review_types(spark, sf_dir):
     return report.review_types(analysed(spark, sf_dir)).select("doc_id", "type_id", "label", "category", "severity", F.col("count").cast("long").alias("n"))

@@ -21,6 +21,11 @@ def full_text(text: Column) -> Column:
     return F.array_join(F.transform(lines(text), lambda x: x["text"]), "\n")
 
 
+def as_read(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the text that their blocks make: places found in it are those of plans.report.block_offsets(blocks_from_documents(docs))."""
+    return docs.withColumn(text_col, full_text(F.col(text_col)))
+
+
 def blocks_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank: doc_id, block_index, text, block_type, location, page. A null text has none."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines(F.col(text_col))).alias("block_index", "b")).filter("b.text is not null")
@@ -36,6 +41,25 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.xxhash64("path").alias("doc_id"), kind.alias("file_type"), F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("text"))
 
 
+#: Kinds of files that are read, by extension.
+KINDS = {"docx": "docx", "txt": "text", "md": "text", "markdown": "text"}
+
+
+def list_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Files below a path: path, doc_id (hash of the path), kind (docx or text), sha256, content, error.
+
+    Files of other kinds, old .doc and PDF too, have an error; strict: they raise it when they are read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[extension]
+    advice = F.when(extension == "doc", F.lit("save it as .docx first")).otherwise(F.lit("only .docx, .txt, .md and .markdown are read"))
+    error = F.when(kind.isNull(), F.concat(F.lit("can't read "), F.col("path"), F.lit(": "), advice))
+    if strict:
+        error = F.when(kind.isNull(), F.raise_error(error)).otherwise(F.lit(None).cast("string"))
+    return files.select("path", F.xxhash64("path").alias("doc_id"), kind.alias("kind"), F.sha2("content", 256).alias("sha256"), "content", error.alias("error"))
+
+
 def output_name(path: Column, suffix: str = "_脱敏") -> Column:
     """The name of a rewritten file: the suffix before the extension."""
     name = F.element_at(F.split(path, "/"), -1)
