@@ -75,12 +75,24 @@ def org_aliases(text: Column, spans: Column) -> Column:
     return let(every, first)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in at least a few partitions for each core, if a scan of their size has fewer: patterns cost far more than moving a small text.
+
+    Nothing moves once the input has as many full-sized splits as there are cores.
+    """
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs if size >= cores * split else docs.repartition(4 * cores)
+
+
 def detect(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, raw, norm, index (null where raw and norm have the same positions), spans in norm.
 
-    A null text has no spans. Other columns are dropped. No shuffle.
+    A null text has no spans. Other columns are dropped. No shuffle but of small inputs (spread).
     """
-    rows = bound(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")))
+    rows = bound(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"))))
     rows = bound(rows.withColumns({"norm": normalize(F.col("raw")), "index": norm_index(F.col("raw"))}))
     rows = bound(rows.withColumn("spans", found_spans(F.col("norm"), settings)))
     active = set(settings.active())

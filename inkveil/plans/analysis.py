@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 from inkveil.operators.detect import detect
@@ -9,6 +12,20 @@ from inkveil.operators.resolve import candidates, resolve
 from inkveil.registry import Settings
 
 
+def stored(found: DataFrame, tag: str = "found") -> DataFrame:
+    """found as a table in the folder of spark.checkpoint.dir, read back: for an analysis that several results are made of.
+
+    Off local mode the folder must be set, as executors don't share local ones.
+    """
+    spark = found.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(base or tempfile.mkdtemp(prefix='spark-stored-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def analyse(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, raw, norm, index, spans (all found), kept (disjoint), candidates (with numbers)."""
     settings = settings or Settings()

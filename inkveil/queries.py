@@ -15,7 +15,7 @@ from inkveil.functions import checks, masks, text
 from inkveil.functions.spans import let, rule_spans
 from inkveil.operators import context, detect, entities, resolve, rewrite
 from inkveil.plans import report
-from inkveil.plans.analysis import analyse
+from inkveil.plans.analysis import analyse, stored
 from inkveil.registry import RULES, Settings
 from inkveil.sources.text import as_read, blocks_from_documents, full_text
 
@@ -399,7 +399,7 @@ def review_types(spark, sf_dir):
 
 @query
 def report_json(spark, sf_dir):
-    return report.report_json(analysed(spark, sf_dir)).select("doc_id", F.get_json_object("report", "$.schema").alias("schema"), F.get_json_object("report", "$.summary.occurrences").cast("long").alias("occurrences"))
+    return report.report_json(stored(analysed(spark, sf_dir))).select("doc_id", F.get_json_object("report", "$.schema").alias("schema"), F.get_json_object("report", "$.summary.occurrences").cast("long").alias("occurrences"))
 
 
 @query
@@ -491,14 +491,14 @@ def redact_text(spark, sf_dir):
 
 @query
 def restore_text(spark, sf_dir):
-    found = analysed(spark, sf_dir)
+    found = stored(analysed(spark, sf_dir))
     return rewrite.restore(rewrite.redact(found), rewrite.mapping_items(found)).select("doc_id", "text", F.col("restored").cast("long").alias("restored"))
 
 
 @query
 def roundtrip_identity(spark, sf_dir):
     rows = contracts(spark, sf_dir)
-    found = analyse(rows)
+    found = stored(analyse(rows))
     back = rewrite.restore(rewrite.redact(found), rewrite.mapping_items(found)).withColumnRenamed("text", "restored_text")
     return rows.join(back, "doc_id").agg(F.count("*").alias("documents"), F.count_if(F.col("text") == F.col("restored_text")).alias("same"))
 
@@ -506,7 +506,7 @@ def roundtrip_identity(spark, sf_dir):
 @query
 def restore_missing(spark, sf_dir):
     """Placeholders that redacted texts lack once their last line is cut off."""
-    found = analysed(spark, sf_dir)
+    found = stored(analysed(spark, sf_dir))
     cut = rewrite.redact(found).withColumn("text", F.substring_index("text", "\n", 9))
     return rewrite.missing_placeholders(cut, rewrite.mapping_items(found))
 
@@ -528,7 +528,7 @@ def selection_types(spark, sf_dir):
 
 @query
 def selection_items(spark, sf_dir):
-    items = rewrite.mapping_items(analysed(spark, sf_dir))
+    items = rewrite.mapping_items(stored(analysed(spark, sf_dir)))
     chosen = items.filter("doc_id % 60 = 0 and type_id = 'PERSON_NAME'")
     return rewrite.select_items(items, chosen, strict=False).select("doc_id", "type_id", F.col("start").cast("long").alias("span_start"))
 
