@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 WORDS = {"en": "the of and house water think great going there", "fr": "le la et maison eau penser grand aller là"}
@@ -63,10 +65,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert times.keys() == kept.keys() and len(near) >= 10 and max(times.values()) <= 3
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("pairs_each", [2, 0])
+def test_near_copies(spark, monkeypatch, pairs_each):
     """One changed word of 100 or five of 300 (Jaccard about 0.9) are near copies, in small buckets and in large ones."""
+    from inkveil.llm import near_dedup
     from inkveil.llm.near_dedup import shingles
 
+    monkeypatch.setattr(near_dedup, "PAIRS_EACH", pairs_each)  # 0: large buckets go through turns
+    monkeypatch.setattr(near_dedup, "TURNS", 2)
     rng = random.Random(4)
     word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
 
