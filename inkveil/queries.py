@@ -15,7 +15,7 @@ from inkveil.functions import checks, masks, text
 from inkveil.functions.spans import let, rule_spans
 from inkveil.operators import context, detect, entities, resolve, rewrite
 from inkveil.plans import report
-from inkveil.plans.analysis import analyse, stored
+from inkveil.plans.analysis import analyse, shared_path, stored
 from inkveil.registry import RULES, Settings
 from inkveil.sources.text import as_read, blocks_from_documents, full_text
 
@@ -536,12 +536,9 @@ def selection_items(spark, sf_dir):
 @query
 def stream_detect(spark, sf_dir):
     """Candidates of documents that arrive as a stream of files, appended to Parquet and read back."""
-    import tempfile
-
     from inkveil.streaming import jobs
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    out = f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    out = shared_path(spark, "stream")
     path = f"{sf_dir.rstrip('/')}/documents.parquet"
     docs = jobs.stream_documents(spark, path if spark.read.parquet(path).inputFiles()[0].rstrip("/").split("/")[-1] != "documents.parquet" else f"{sf_dir.rstrip('/')}/documents*.parquet", spark.read.parquet(path).schema)
     st = Settings(only=frozenset({"EMAIL", "BANK_CARD"}), propagate=False)
