@@ -78,8 +78,10 @@ def org_aliases(text: Column, spans: Column) -> Column:
 def spread(docs: DataFrame) -> DataFrame:
     """docs in at least a few partitions for each core, if a scan of their size has fewer: patterns cost far more than moving a small text.
 
-    Nothing moves once the input has as many full-sized splits as there are cores.
+    Nothing moves once the input has as many full-sized splits as there are cores, nor in a stream.
     """
+    if docs.isStreaming:
+        return docs
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
