@@ -112,15 +112,15 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, l
 
 
 class Words:
-    """The words of several texts in one byte buffer: each text stands between single spaces.
+    """The words of several texts in one byte buffer: each text stands between single spaces. gaps: the bytes between words.
 
     data: the bytes, a space first and after each text. start, end: of each word. row: the text of each word.
     first: the index of each text's first word, and at last the number of words.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], gaps: np.ndarray = IS_SPACE):
         self.data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-        space = IS_SPACE[self.data]
+        space = gaps[self.data]
         self.start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         self.end = np.flatnonzero(~space[:-1] & space[1:]) + 1
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import embedding_dedup, exact_dedup, language_id, mixing, quality, sentencepiece_trie, simhash, substring_dedup, toxicity, warc_zip
+from inkveil.llm import embedding_dedup, exact_dedup, importance, language_id, license_scan, mixing, quality, sentencepiece_trie, simhash, spelling, substring_dedup, toxicity, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +64,71 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of each document, as numbers and labels."""
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the words of the benchmark; all documents have a row."""
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_embedding_dedup, op3_substring_dedup, op4_exact_dedup, op5_language_id,
-        op6_toxicity, op7_warc_zip, op8_simhash, op9_sentencepiece, op10_quality,
+        op6_toxicity, op7_warc_zip, op8_simhash, op9_sentencepiece, op10_quality, op11_license_scan, op12_importance, op13_spelling,
     )
 }
 
+# the checksums of words in SQL: the table of 256 entries by its rule, then one step for each byte
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(encode({0}))) // 2 + 1),
+            lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_importance": rf"""
+        WITH {_CRC_TABLE},
+        rows_ AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        target AS (SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        here AS (SELECT doc_id, unnest(ws) AS w FROM rows_),
+        words AS (SELECT w, {_CRC.format("w")} % 10000 AS bucket FROM (SELECT w FROM here UNION SELECT w FROM target) x, crc_table),
+        s AS (SELECT bucket, count(*) AS n FROM here JOIN words USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM target JOIN words USING (w) GROUP BY bucket),
+        gains AS (SELECT b AS bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                         / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+                  FROM (SELECT unnest(range(10000)) AS b) x LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b),
+        weights AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM here JOIN words USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+        scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                          coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+                   FROM rows_ LEFT JOIN weights USING (doc_id)),
+        places AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+        FROM places""",
+    "op13_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, {_LOWER.format("run")} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) x WHERE length(run) >= 7),
+        each AS (SELECT run, n, {_CRC.format("(doc_id || ':' || run)")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run) x, crc_table),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM (
+                    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM each) x
+                  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words) x),
+        pairs AS (SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+                  UNION SELECT a.word, b.word FROM words a JOIN cuts b ON a.word = b.rest UNION SELECT b.word, a.word FROM words a JOIN cuts b ON a.word = b.rest),
+        near AS (SELECT a AS word, n AS m, b AS other, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM pairs JOIN words ON b = word),
+        forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+                  FROM words w LEFT JOIN near x ON x.word = w.word AND place = 1),
+        follow AS (SELECT word, word AS root, form AS onward FROM forms UNION ALL SELECT w.word, f.word, f.form FROM follow w JOIN forms f ON w.onward = f.word)
+        SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM forms f JOIN follow w ON f.word = w.word AND onward IS NULL""",
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
