@@ -1,6 +1,6 @@
 """Spans of pattern matches as arrays of structs, built without leaving the row.
 
-A text is searched twice per pattern, for the matches and for what stands between; the lengths give the positions.
+A text is searched once per pattern: matches are put between marks, and the lengths of what stands between marks give the positions.
 """
 
 from __future__ import annotations
@@ -13,22 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import checks
-from inkveil.functions.text import after, before
+from inkveil.functions.arrays import PIECE, at, cut, let, none_of, prefix
 from inkveil.registry import Rule
 
 #: Type of a span in the normalised text. det_ord: the place of the rule that found it.
 SPAN = "struct<det_ord:int,type_id:string,start:int,end:int,confidence:double,reasons:array<string>,value:string>"
 NO_SPANS = f"array<{SPAN}>"
 
+#: Stands around matches; a code point that isn't a character, so that texts don't have it (those that do are searched twice).
+MARK = "\ufdd0"
+
 #: Characters around a match in which a word takes confidence off, and how much.
 ANTI_WINDOW, ANTI_PENALTY = 12, 0.25
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def bound(rows: DataFrame) -> DataFrame:
     """The same rows, with each column computed here once.
 
@@ -47,35 +45,44 @@ def span(det_ord: int, type_id: str, start: Column, end: Column, confidence: Col
     return F.struct(*fields, confidence.alias("confidence"), reasons.alias("reasons"), value.alias("value"))
 
 
+def _apart(marked: Column) -> Column:
+    """pieces() of a text whose matches stand between marks."""
+    odd = lambda parts, k: F.filter(parts, lambda _, i: i % 2 == k)
+    return let(F.split(marked, MARK, -1), lambda parts: F.struct(odd(parts, 1).alias("ms"), odd(parts, 0).alias("gs")))
+
+
 def pieces(text: Column, pattern: str | Column) -> Column:
-    """What a pattern matches (ms), and what stands before, between and after (gs)."""
+    """What a pattern matches (ms), and what stands before, between and after (gs). Matches aren't empty."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("ms"), F.split(text, pattern, -1).alias("gs"))
+    once = _apart(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")))
+    twice = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("ms"), F.split(text, pattern, -1).alias("gs"))
+    return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
 def placed(x: Column) -> Column:
     """pieces() as array<struct<start, m>>."""
     ms, gs = x["ms"], x["gs"]
-    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, i: Column) -> Column:
-        here = acc["to"] + F.length(F.get(gs, i))
-        return F.struct((here + F.length(F.get(ms, i))).alias("to"), F.concat(acc["at"], F.array(here)).alias("at"))
-
-    at = F.aggregate(F.sequence(F.lit(0), F.size(ms) - 1), start, step, lambda acc: acc["at"])
-    zipped = let(at, lambda a: F.transform(ms, lambda m, i: F.struct(F.get(a, i).alias("start"), m.alias("m"))))
-    return F.coalesce(F.when(F.size(ms) > 0, zipped), F.array().cast("array<struct<start:int,m:string>>"))
+    ends = prefix(F.transform(ms, lambda m, i: F.length(m) + F.length(F.get(gs, i))))
+    zipped = let(ends, lambda e: F.transform(ms, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), m.alias("m"))))
+    return F.coalesce(F.when(F.size(ms) > 0, zipped), none_of("struct<start:int,m:string>"))
 
 
 def matches(text: Column, pattern: str | Column, guard: Column | None = None) -> Column:
     """All matches from left to right as array<struct<start, m>>; empty where the guard is false or the text null."""
     found = let(pieces(text, pattern), placed)
-    empty = F.array().cast("array<struct<start:int,m:string>>")
-    return F.coalesce(F.when(guard, found) if guard is not None else found, empty)
+    return F.coalesce(F.when(guard, found) if guard is not None else found, none_of("struct<start:int,m:string>"))
+
+
+def made_of(found: Column, text: Column, make: Callable[[Column, Column], Column]) -> Column:
+    """make(match, pieces of the text) of each match, without nulls; the text is cut only where something was found."""
+    each = lambda f, parts: F.filter(F.transform(f, lambda x: make(x, parts)), lambda s: s.isNotNull())
+    return let(found, lambda f: let(F.when(F.size(f) > 0, cut(text)), lambda parts: each(f, parts)))
 
 
-def keyword_context(text: Column, start: Column, end: Column, n: int | Column) -> Column:
-    return F.concat(before(text, start, n), F.lit("|"), after(text, end, n))
+def keyword_context(parts: Column, start: Column, end: Column, n: int | Column) -> Column:
+    """n characters before and after a range of a text in pieces."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.concat(at(parts, start - n, n), F.lit("|"), at(parts, end, n))
 
 
 def rule_guard(text: Column, rule: Rule) -> Column:
@@ -128,29 +135,32 @@ def rule_spans(text: Column, rules: list[tuple[int, Rule]], labels: dict[str, st
     """
     if not rules:
         return none()
-    known = _parameters(rules, labels)
-    hits = F.array(*[F.when(rule_guard(text, r), F.struct(F.lit(i).alias("i"), pieces(text, r.pattern).alias("x"))) for i, (_, r) in enumerate(rules)])
-    hits = F.filter(hits, lambda h: h.isNotNull() & (F.size(h["x"]["ms"]) > 0))
-
-    def of_rule(h: Column) -> Column:
+    if long := [r.type_id for _, r in rules if r.window > PIECE]:
+        raise ValueError(f"window of more than {PIECE} characters: {long[0]}")
+    known, around = _parameters(rules, labels), F.lit(f"{MARK}$0{MARK}")
+    free = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\ufdd1")).otherwise(text)
+    marked = lambda t: F.array(*[F.when(rule_guard(t, r), F.struct(F.lit(i).alias("i"), F.regexp_replace(t, r.pattern, around).alias("x"))) for i, (_, r) in enumerate(rules)])  # noqa: E501, E731
+    hits = F.filter(let(free, marked), lambda h: F.contains(h["x"], F.lit(MARK)))
+
+    def of_rule(h: Column, parts: Column) -> Column:
         def scored_all(p: Column) -> Column:
-            out = F.filter(F.transform(placed(h["x"]), lambda m: make(p, m)), lambda s: s.isNotNull())
+            out = F.filter(F.transform(let(_apart(h["x"]), placed), lambda m: make(p, m, parts)), lambda s: s.isNotNull())
             return F.when(p["most"] > 0, F.slice(out, F.lit(1), p["most"])).otherwise(out)
 
         return let(F.get(known, h["i"]), scored_all)
 
-    def make(p: Column, x: Column) -> Column:
+    def make(p: Column, x: Column, parts: Column) -> Column:
         whole = F.ltrim(x["m"], F.lit(" \n"))
         value = F.rtrim(whole, F.lit(" \n"))
         value = F.when(p["strip"] != "", F.btrim(value, p["strip"])).otherwise(value)
         place = F.struct((x["start"] + F.length(x["m"]) - F.length(whole)).alias("start"), value.alias("value"))
-        return let(place, lambda q: scored(p, q["start"], q["value"]))
+        return let(place, lambda q: scored(p, q["start"], q["value"], parts))
 
-    def scored(p: Column, start: Column, value: Column) -> Column:
+    def scored(p: Column, start: Column, value: Column, parts: Column) -> Column:
         end = start + F.length(value)
 
         def first(words: Column, n: Column | int) -> Column:
-            found = let(keyword_context(text, start, end, n), lambda c: F.filter(words, lambda w: F.contains(c, w)))
+            found = let(keyword_context(parts, start, end, n), lambda c: F.filter(words, lambda w: F.contains(c, w)))
             return F.when(F.size(words) > 0, F.get(found, F.lit(0)))
 
         ok = F.when(p["validator"] == "", F.lit(True))
@@ -177,13 +187,10 @@ def rule_spans(text: Column, rules: list[tuple[int, Rule]], labels: dict[str, st
         )
         return F.when((value != "") & (c["kw"].isNotNull() | ~p["required"]), fields)
 
-    return F.flatten(F.transform(hits, of_rule))
+    # the text is cut only where something was found
+    each = lambda found: let(F.when(F.size(found) > 0, cut(text)), lambda parts: F.flatten(F.transform(found, lambda h: of_rule(h, parts))))
+    return let(hits, each)
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["end"] > b["start"]) & (a["start"] < b["end"])
-
-
-def covered(start: Column, end: Column, by: Column) -> Column:
-    """Whether one of the spans holds the whole range."""
-    return F.exists(by, lambda b: (b["start"] <= start) & (end <= b["end"]))

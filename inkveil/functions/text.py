@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkveil.functions.arrays import at, between
+
 # Characters that normalisation deletes, and dashes that it makes one.
 ZERO_WIDTH = "\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad\u2060"
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uff0d\u30fc"
@@ -74,6 +76,12 @@ def kwic(raw: Column, start: Column, end: Column, n: int = 30) -> Column:
     return F.concat(left, F.lit("【"), slice_of(raw, start, end), F.lit("】"), right)
 
 
+def kwic_at(parts: Column, raw: Column, start: Column, end: Column, n: int = 30) -> Column:
+    """kwic() of a raw text in pieces (arrays.cut); n is arrays.PIECE at most."""
+    left, right = (F.translate(x, "\n", " ") for x in (at(parts, start - n, n), at(parts, end, n)))
+    return F.concat(left, F.lit("【"), between(parts, raw, start, end), F.lit("】"), right)
+
+
 def first_word(text: Column, words: tuple[str, ...]) -> Column:
     """The first of words, in their order, that the text contains; null if none."""
     return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]) if words else F.lit(None).cast("string")

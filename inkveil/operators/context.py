@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import constant, keyword_context, let, matches, none, one_of, span
-from inkveil.functions.text import after, first_word
+from inkveil.functions.arrays import at, let
+from inkveil.functions.spans import constant, keyword_context, made_of, matches, none, one_of, span
+from inkveil.functions.text import first_word
 from inkveil.registry import ADDRESS_ORD, COMPOUND_SURNAMES, ORG_ORD, PERSON_ORD, Settings
 
 HAN = "一-鿿"
@@ -94,17 +95,17 @@ _NAME_END = rf"(?=·|{_any(NAME_TAILS)}|(?![{HAN}]))"
 def labelled_names(text: Column, settings: Settings) -> Column:
     """Names after a label: the longest of 2 to 4 characters that ends where a run of Han characters or a title does."""
 
-    def make(x: Column) -> Column:
+    def make(x: Column, parts: Column) -> Column:
         name = F.regexp_extract(x["m"], rf"^{_LABEL}([{HAN}]{{2,4}})$", 1)
-        return let(F.struct(name.alias("n"), (x["start"] + F.length(x["m"]) - F.length(name)).alias("s"), x["m"].alias("m")), scored)
+        return let(F.struct(name.alias("n"), (x["start"] + F.length(x["m"]) - F.length(name)).alias("s"), x["m"].alias("m")), lambda p: scored(p, parts))
 
-    def scored(p: Column) -> Column:
+    def scored(p: Column, parts: Column) -> Column:
         name, start = p["n"], p["s"]
         end = start + F.length(name)
         label = F.trim(F.substring(p["m"], F.lit(1), F.length(p["m"]) - F.length(name)))
         strict = label.rlike("[:=]")
-        cue = F.substring(text, start + 1, F.lit(40)).rlike(_any(NAME_CUES))
-        near = cue & after(text, end, 30).rlike(_any(ID_CUES))
+        cue = at(parts, start, 40).rlike(_any(NAME_CUES))
+        near = cue & at(parts, end, 30).rlike(_any(ID_CUES))
         conf = F.when(strict, F.lit(0.78)).otherwise(F.lit(0.78) - F.lit(0.08)) + F.when(near, F.lit(0.1)).otherwise(F.lit(0.0))
         conf = F.when(~strict & ~cue, F.least(conf, F.lit(0.45))).otherwise(conf)
         reasons = F.array_compact(
@@ -120,7 +121,7 @@ def labelled_names(text: Column, settings: Settings) -> Column:
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.least(conf, F.lit(0.97)), reasons, name))
 
     found = matches(text, rf"{_LABEL}[{HAN}]{{2,4}}{_NAME_END}", _has_han(text) & text.rlike(_any([*PARTIES, *ROLES])))
-    return F.filter(F.transform(found, make), lambda s: s.isNotNull())
+    return made_of(found, text, make)
 
 
 _LEFT = rf"(?:[，,。；;：:！？!?\n\s]|(?:{'|'.join(LEADS)}))"
@@ -130,23 +131,23 @@ _BODY = rf"(?:^|{_LEFT})([{HAN}]{{2,4}})(?={_any(ACTIONS)}|[，,。；;：:！
 def body_names(text: Column, settings: Settings) -> Column:
     """Names in running text: a surname between a border or verb and an action, or after 通知, 告知, 委托."""
 
-    def make(x: Column) -> Column:
+    def make(x: Column, parts: Column) -> Column:
         # only at the start of the text can a match be a name alone
         alone = (x["start"] == 0) & x["m"].rlike(f"^[{HAN}]{{2,4}}$")
         name = F.when(alone, x["m"]).otherwise(F.regexp_extract(x["m"], rf"^{_LEFT}([{HAN}]{{2,4}})$", 1))
-        return let(F.struct(name.alias("n"), (x["start"] + F.length(x["m"]) - F.length(name)).alias("s"), x["m"].alias("m")), scored)
+        return let(F.struct(name.alias("n"), (x["start"] + F.length(x["m"]) - F.length(name)).alias("s"), x["m"].alias("m")), lambda p: scored(p, parts))
 
-    def scored(p: Column) -> Column:
+    def scored(p: Column, parts: Column) -> Column:
         name, start = p["n"], p["s"]
         end = start + F.length(name)
         led = F.substring(p["m"], F.lit(1), F.length(p["m"]) - F.length(name)).rlike("(?:通知|告知|委托)$")
-        acts = after(text, end, 4).rlike(f"^(?:{_any(ACTIONS)})")
+        acts = at(parts, end, 4).rlike(f"^(?:{_any(ACTIONS)})")
         bad = name.rlike(_any([*NAME_STOPWORDS, *ROLE_WORDS])) | one_of(name, [*PARTIES, *ROLES, *ORG_STOPWORDS])
         keep = (name != "") & ~bad & _has_surname(name, settings) & (acts | led)
         reasons = F.array(F.lit("正文姓名候选：姓氏与动作/称谓语境匹配，需人工复核"))
         return F.when(keep, span(PERSON_ORD, "PERSON_NAME", start, end, F.lit(0.72), reasons, name))
 
-    return F.filter(F.transform(matches(text, _BODY, _has_han(text)), make), lambda s: s.isNotNull())
+    return made_of(matches(text, _BODY, _has_han(text)), text, make)
 
 
 def address_parts(value: Column) -> Column:
@@ -199,30 +200,30 @@ _ORG_BODY = rf"[{HAN}A-Za-z0-9（）()·&.\-'\"&&[^{ORG_BREAKS}（）\"']]"
 def organisations(text: Column) -> Column:
     """Names that end like an organisation's, back to the last character that can't be in one."""
 
-    def make(x: Column) -> Column:
+    def make(x: Column, parts: Column) -> Column:
         end = x["start"] + F.length(x["m"])
-        left = F.substring(text, F.greatest(end - ORG_REACH, F.lit(0)) + 1, F.least(end, F.lit(ORG_REACH)))
+        left = at(parts, end - ORG_REACH, ORG_REACH)
         near = F.regexp_extract(left, f"{_ORG_BODY}+$", 0)
         far = F.regexp_extract(F.substring(text, F.lit(1), end), f"{_ORG_BODY}+$", 0)
         whole = F.when((F.length(near) == ORG_REACH) & (end > ORG_REACH), far).otherwise(near)
-        return let(F.struct(whole.alias("w"), F.btrim(whole, F.lit(" ·-&\"'")).alias("v"), end.alias("e"), x["m"].alias("x")), cut)
+        return let(F.struct(whole.alias("w"), F.btrim(whole, F.lit(" ·-&\"'")).alias("v"), end.alias("e"), x["m"].alias("x")), lambda p: trimmed(p, parts))
 
-    def cut(p: Column) -> Column:
+    def trimmed(p: Column, parts: Column) -> Column:
         v = p["v"]
         for lead in (f"(?:{'|'.join(ORG_LEADS)})(?=.{{4}})", r"\d+\s*号(?=.{4})", "号(?=[^0-9])(?=.{4})", "[本该其某贵](?=.{4})"):
             v = F.regexp_replace(v, f"^{lead}", "")
-        return let(F.struct(v.alias("v"), (p["e"] - F.length(p["w"]) + F.length(p["v"]) - F.length(v)).alias("s"), p["e"].alias("e"), p["x"].alias("x"), p["v"].alias("o")), scored)
+        return let(F.struct(v.alias("v"), (p["e"] - F.length(p["w"]) + F.length(p["v"]) - F.length(v)).alias("s"), p["e"].alias("e"), p["x"].alias("x"), p["v"].alias("o")), lambda q: scored(q, parts))
 
-    def scored(p: Column) -> Column:
+    def scored(p: Column, parts: Column) -> Column:
         v, suffix = p["v"], p["x"]
-        party = first_word(keyword_context(text, p["s"], p["e"], 30), ORG_PARTIES).isNotNull()
+        party = first_word(keyword_context(parts, p["s"], p["e"], 30), ORG_PARTIES).isNotNull()
         conf = F.when(one_of(suffix, ORG_STRONG), F.lit(0.88)).otherwise(F.lit(0.58)) + F.when(party, F.lit(0.06)).otherwise(F.lit(0.0))
         reasons = F.array_compact(F.array(F.concat(F.lit("含组织机构后缀「"), suffix, F.lit("」")), F.when(party, F.lit("位于合同主体上下文"))))
         keep = (F.length(p["o"]) >= 5) & (F.length(v) >= 5) & ~one_of(v, ORG_STOPWORDS) & ~one_of(p["o"], ORG_STOPWORDS) & F.endswith(v, suffix)
         return F.when(keep, span(ORG_ORD, "ORG_NAME", p["s"], p["e"], F.least(conf, F.lit(0.95)), reasons, v))
 
     endings = _quoted([*ORG_STRONG, *ORG_WEAK])
-    return F.filter(F.transform(matches(text, endings, _has_han(text) & text.rlike(endings)), make), lambda s: s.isNotNull())
+    return made_of(matches(text, endings, _has_han(text) & text.rlike(endings)), text, make)
 
 
 def context_spans(text: Column, settings: Settings) -> list[Column]:

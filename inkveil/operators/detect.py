@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import bound, covered, let, matches, none, rule_spans, span
+from inkveil.functions.arrays import at, before, cover, covered, cut, let, none_of, prefix, runs
+from inkveil.functions.spans import MARK, bound, none, rule_spans, span
 from inkveil.functions.text import norm_index, norm_key, normalize
 from inkveil.operators.context import context_spans
 from inkveil.operators.entities import org_core
 from inkveil.registry import ALIAS_ORD, NAME_COPY_ORD, Settings
 
 
+@cache
+def _of_norm(what: Callable[..., Column], *of: Settings) -> Column:
+    """An expression over the columns norm and spans, built once for each Settings: building it takes longer than planning it."""
+    return what(F.col("norm"), *of) if of else what(F.col("norm"), F.col("spans"))
+
+
 def found_spans(text: Column, settings: Settings) -> Column:
     """Spans of rules and context detectors of active types, in the order of the detectors."""
     labels = {t: m.label for t, m in settings.type_map().items()}
@@ -25,16 +36,42 @@ def confirmed_names(spans: Column) -> Column:
     return F.array_distinct(F.transform(sure, lambda s: s["value"]))
 
 
+def dictionary(text: Column, words: Column) -> Column:
+    """All places of words in the text, overlapping ones too, as array<struct<start, m>>, by place; words: array, not empty ones.
+
+    One alternation finds the places at which any word starts in one pass; which words start there is looked up by their lengths.
+    """
+
+    def search(ws: Column) -> Column:
+        first = F.array_join(F.array_distinct(F.transform(ws, lambda w: F.substring(w, 1, 1))), "")
+        each = F.array_join(F.transform(ws, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
+        pattern = F.concat(F.lit("(?=[\\Q"), first, F.lit("\\E])(?=(?:"), each, F.lit("))"))
+        marked = F.split(F.regexp_replace(F.translate(text, MARK, "\ufdd1"), pattern, F.lit(MARK)), MARK, -1)
+        starts = let(marked, lambda parts: prefix(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))))
+        known = F.struct(F.array_distinct(F.transform(ws, lambda w: F.length(w))).alias("sizes"), F.array_sort(ws).alias("words"), starts.alias("starts"))
+        return let(known, lambda k: let(F.when(F.size(k["starts"]) > 0, cut(text)), lambda parts: F.flatten(F.transform(k["starts"], lambda at_: here(k, parts, at_)))))
+
+    def here(k: Column, parts: Column, start: Column) -> Column:
+        tried = F.array_distinct(F.transform(k["sizes"], lambda n: at(parts, start, n)))
+        real = F.filter(tried, lambda w: F.coalesce(F.get(k["words"], before(k["words"], w)) == w, F.lit(False)))
+        return F.transform(real, lambda w: F.struct(start.alias("start"), w.alias("m")))
+
+    return F.coalesce(let(F.array_distinct(words), lambda ws: F.when(F.size(ws) > 0, search(ws))), none_of("struct<start:int,m:string>"))
+
+
 def name_copies(text: Column, spans: Column) -> Column:
-    """Further places of confirmed names, other than within a span; unsure names don't stand in the way."""
+    """Further places of confirmed names, other than within a span; unsure names don't stand in the way. In the order of the text."""
     blockers = F.filter(spans, lambda s: ~((s["type_id"] == "PERSON_NAME") & (s["confidence"] < 0.6)))
 
-    def places(name: Column) -> Column:
-        free = F.filter(matches(text, name), lambda m: ~covered(m["start"], m["start"] + F.length(name), blockers))
-        reason = F.array(F.concat(F.lit("与已确认人名「"), name, F.lit("」一致的另一处出现")))
-        return F.transform(free, lambda m: span(NAME_COPY_ORD, "PERSON_NAME", m["start"], m["start"] + F.length(name), F.lit(0.72), reason, name))
+    def free(found: Column) -> Column:
+        apart = lambda by: F.filter(found, lambda m: ~covered(m["start"], m["start"] + F.length(m["m"]), by))
+        return F.when(F.size(found) > 0, let(cover(blockers), apart)).otherwise(found)
+
+    def copy(m: Column) -> Column:
+        reason = F.array(F.concat(F.lit("与已确认人名「"), m["m"], F.lit("」一致的另一处出现")))
+        return span(NAME_COPY_ORD, "PERSON_NAME", m["start"], m["start"] + F.length(m["m"]), F.lit(0.72), reason, m["m"])
 
-    return F.flatten(F.transform(confirmed_names(spans), places))
+    return F.transform(let(dictionary(text, confirmed_names(spans)), free), copy)
 
 
 # Fixed value: how a contract defines a short name.
@@ -42,11 +79,14 @@ _SHORT = r"[（(]\s*(?:以下|下)?\s*(?:简称|称)\s*[:：]?\s*[「“\"'‘]?
 
 
 def org_aliases(text: Column, spans: Column) -> Column:
-    """Short names of found organisations: defined within 40 characters after one, or its core, with 公司 too if that is long."""
+    """Short names of found organisations: defined within 40 characters after one, or its core, with 公司 too if that is long.
+
+    Of several reasons for a name the first counts. Spans come in the order of the names, then of the text.
+    """
     orgs = F.filter(spans, lambda s: (s["type_id"] == "ORG_NAME") & (F.length(s["value"]) >= 5))
 
-    def names(o: Column) -> Column:
-        tail = F.substring(text, o["end"] + 1, F.lit(40))
+    def names(o: Column, parts: Column) -> Column:
+        tail = at(parts, o["end"], 40)
         alt = lambda name, conf, why: F.struct(name.alias("name"), F.lit(conf).alias("conf"), F.lit(why).alias("why"), o["value"].alias("of"))
         defined = F.transform(F.regexp_extract_all(tail, F.lit(_SHORT), F.lit(1)), lambda n: alt(n, 0.9, "显式简称定义"))
         key = norm_key(o["value"])
@@ -57,22 +97,33 @@ def org_aliases(text: Column, spans: Column) -> Column:
 
         return F.filter(F.concat(defined, let(org_core(key), cores)), lambda a: (a["name"] != "") & (norm_key(a["name"]) != key))
 
-    def places(a: Column) -> Column:
-        n = F.length(a["name"])
+    def once(every: Column) -> Column:
+        keyed = F.transform(every, lambda a, i: F.struct(a["name"].alias("name"), i.alias("i"), a.alias("a")))
+        return F.transform(runs(F.array_sort(keyed), lambda a, b: a["name"] != b["name"]), lambda r: F.get(r, F.lit(0)))
+
+    def search(alts: Column, parts: Column) -> Column:
+        known = F.struct(alts.alias("alts"), F.transform(alts, lambda a: a["name"]).alias("names"), cover(spans).alias("by"))
+        return let(known, lambda k: found(k, parts))
+
+    def found(k: Column, parts: Column) -> Column:
         word = "^[A-Za-z0-9]"
 
         def free(m: Column) -> Column:
-            left, right = F.substring(text, m["start"], F.lit(1)), F.substring(text, m["start"] + n + 1, F.lit(1))
-            whole = ((m["start"] == 0) | ~left.rlike(word)) & ~right.rlike(word)
-            return whole & ~covered(m["start"], m["start"] + n, spans)
+            end = m["start"] + F.length(m["m"])
+            return ~at(parts, m["start"] - 1, 1).rlike(word) & ~at(parts, end, 1).rlike(word) & ~covered(m["start"], end, k["by"])
 
-        reason = F.array(F.concat(F.lit("与「"), a["of"], F.lit("」同指的"), a["why"]))
-        found = F.filter(matches(text, F.concat(F.lit("\\Q"), a["name"], F.lit("\\E"))), free)
-        return F.transform(found, lambda m: span(ALIAS_ORD, "ORG_NAME", m["start"], m["start"] + n, a["conf"], reason, a["name"]))
+        def alias(x: Column) -> Column:
+            a, m = x["a"], x["m"]
+            reason = F.array(F.concat(F.lit("与「"), a["of"], F.lit("」同指的"), a["why"]))
+            return span(ALIAS_ORD, "ORG_NAME", m["start"], m["start"] + F.length(m["m"]), a["conf"], reason, m["m"])
 
-    every = F.flatten(F.transform(F.flatten(F.transform(orgs, names)), places))
-    first = lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"])))
-    return let(every, first)
+        # the names are sorted, so each hit's reason is found by halves
+        hits = F.filter(dictionary(text, k["names"]), free)
+        of = F.transform(hits, lambda m: let(F.get(k["alts"], before(k["names"], m["m"])), lambda a: F.struct(a["i"].alias("i"), m["start"].alias("start"), a["a"].alias("a"), m.alias("m"))))
+        return F.transform(F.array_sort(of), alias)
+
+    each = lambda o: let(F.when(F.size(o) > 0, cut(text)), lambda parts: let(once(F.flatten(F.transform(o, lambda x: names(x, parts)))), lambda alts: F.when(F.size(alts) > 0, search(alts, parts))))  # noqa: E501, E731
+    return F.coalesce(let(orgs, each), none())
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -83,9 +134,12 @@ def spread(docs: DataFrame) -> DataFrame:
     if docs.isStreaming:
         return docs
     spark = docs.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        cores = spark.sparkContext.defaultParallelism
+    except (AttributeError, PySparkException):  # a remote session has no plan statistics: the scan's own splits stay
+        return docs
     return docs if size >= cores * split else docs.repartition(4 * cores)
 
 
@@ -96,12 +150,12 @@ def detect(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
     """
     rows = bound(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"))))
     rows = bound(rows.withColumns({"norm": normalize(F.col("raw")), "index": norm_index(F.col("raw"))}))
-    rows = bound(rows.withColumn("spans", found_spans(F.col("norm"), settings)))
+    rows = bound(rows.withColumn("spans", _of_norm(found_spans, settings)))
     active = set(settings.active())
     if settings.propagate and "PERSON_NAME" in active:
-        rows = bound(rows.withColumn("spans", F.concat("spans", name_copies(F.col("norm"), F.col("spans")))))
+        rows = bound(rows.withColumn("spans", F.concat("spans", _of_norm(name_copies))))
     if settings.propagate and "ORG_NAME" in active:
-        rows = bound(rows.withColumn("spans", F.concat("spans", org_aliases(F.col("norm"), F.col("spans")))))
+        rows = bound(rows.withColumn("spans", F.concat("spans", _of_norm(org_aliases))))
     return rows
 
 

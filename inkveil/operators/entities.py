@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import let, one_of
+from inkveil.functions.arrays import before, let, runs
+from inkveil.functions.spans import one_of
 
 # Regions before organisations' names.
 REGIONS = (
@@ -81,27 +82,28 @@ def org_groups(orgs: Column) -> Column:
 
 
 def entity_numbers(items: Column) -> Column:
-    """Numbers of array<struct<type_id, key, first>> of one document, as array<struct<type_id, key, number>>.
+    """Numbers of array<struct<type_id, key, first>> of one document, as array<struct<type_id, key, number>> in the same order.
 
     Within a type entities count from 1 by their first position; organisations that are the same share a number.
     """
     orgs = F.transform(F.array_sort(F.transform(F.filter(items, lambda i: i["type_id"] == "ORG_NAME"), lambda i: F.struct(i["first"], i["key"]))), lambda i: F.struct(i["key"].alias("key"), i["first"].alias("first")))
 
-    def numbered(groups: Column) -> Column:
-        def root(i: Column) -> Column:
-            own = F.get(F.filter(groups, lambda g: F.array_contains(g["keys"], i["key"])), F.lit(0))["first"]
-            return F.when(i["type_id"] == "ORG_NAME", own).otherwise(i["first"])
+    def numbered(known: Column) -> Column:
+        def rooted(i: Column, n: Column) -> Column:
+            org = F.get(known["roots"], before(known["keys"], i["key"]))
+            return F.struct(i["type_id"].alias("type_id"), F.when(i["type_id"] == "ORG_NAME", org).otherwise(i["first"]).alias("root"), n.alias("n"), i["key"].alias("key"))
 
-        rooted = F.transform(items, lambda i: F.struct(i["type_id"].alias("type_id"), i["key"].alias("key"), root(i).alias("root")))
+        def number(entity: Column, k: Column) -> Column:
+            return F.transform(entity, lambda i: F.struct(i["n"].alias("n"), i["type_id"].alias("type_id"), i["key"].alias("key"), (k + 1).alias("number")))
 
-        def number(all_: Column) -> Column:
-            # spans of one type don't overlap, so equal first positions are the same entity
-            rank = lambda i: F.size(F.array_distinct(F.transform(F.filter(all_, lambda j: (j["type_id"] == i["type_id"]) & (j["root"] <= i["root"])), lambda j: j["root"])))
-            return F.transform(all_, lambda i: F.struct(i["type_id"].alias("type_id"), i["key"].alias("key"), rank(i).alias("number")))
+        # spans of one type don't overlap, so equal first positions are the same entity
+        of_type = runs(F.array_sort(F.transform(items, rooted)), lambda a, b: a["type_id"] != b["type_id"])
+        every = F.flatten(F.transform(of_type, lambda t: F.flatten(F.transform(runs(t, lambda a, b: a["root"] != b["root"]), number))))
+        return F.transform(F.array_sort(every), lambda i: F.struct(i["type_id"].alias("type_id"), i["key"].alias("key"), i["number"].alias("number")))
 
-        return let(rooted, number)
-
-    return let(org_groups(orgs), numbered)
+    roots = F.flatten(F.transform(org_groups(orgs), lambda g: F.transform(g["keys"], lambda k: F.struct(k.alias("key"), g["first"].alias("root")))))
+    by_key = lambda r: F.struct(F.transform(r, lambda x: x["key"]).alias("keys"), F.transform(r, lambda x: x["root"]).alias("roots"))
+    return let(F.array_sort(roots), lambda r: let(by_key(r), numbered))
 
 
 def placeholder(label: Column, number: Column) -> Column:

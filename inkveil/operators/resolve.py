@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.checks import is_hotline, is_placeholder
 from inkveil.functions.masks import mask
-from inkveil.functions.spans import NO_SPANS, bound, constant, let, one_of, overlaps
-from inkveil.functions.text import norm_key, raw_end, raw_start, slice_of
+from inkveil.functions.arrays import before, between, cut, let, near, none_of, places, runs, slices_at
+from inkveil.functions.spans import NO_SPANS, bound, constant, one_of
+from inkveil.functions.text import norm_key, raw_end, raw_start
 from inkveil.operators.entities import entity_numbers, placeholder
 from inkveil.registry import SEVERITIES, Settings
 
@@ -32,12 +33,12 @@ def severity_rank(type_id: Column, settings: Settings) -> Column:
 def with_raw_places(spans: Column, raw: Column, index: Column) -> Column:
     """Spans with raw_start, raw_end, and value as it stands in the raw text."""
 
-    def move(s: Column) -> Column:
+    def move(s: Column, parts: Column) -> Column:
         a, b = raw_start(index, s["start"], raw), raw_end(index, s["end"], raw)
         names = ("det_ord", "type_id", "start", "end", "confidence", "reasons")
-        return F.struct(*[s[c].alias(c) for c in names], slice_of(raw, a, b).alias("value"), a.alias("raw_start"), b.alias("raw_end"))
+        return F.struct(*[s[c].alias(c) for c in names], between(parts, raw, a, b).alias("value"), a.alias("raw_start"), b.alias("raw_end"))
 
-    return F.transform(spans, move)
+    return let(F.when(F.size(spans) > 0, cut(raw)), lambda parts: F.transform(spans, lambda s: move(s, parts)))
 
 
 def wanted(s: Column, settings: Settings) -> Column:
@@ -56,8 +57,41 @@ def in_order(spans: Column, settings: Settings) -> Column:
 
 
 def without_overlaps(ordered: Column, kind: str) -> Column:
-    """Of spans in order those that overlap none taken before. kind: the type of the array."""
-    return F.aggregate(ordered, F.array().cast(kind), lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
+    """Of spans in order those that overlap none taken before, in order. kind: the type of the array; spans aren't empty.
+
+    By start the spans fall into clusters: one ends where as many spans have ended as have started. Spans of different clusters don't
+    overlap. In a cluster of two the first in order stays; in a larger one those taken are kept sorted, and a search by halves finds the only one
+    that can overlap the next. The time grows with n log n, and within a cluster with the size of what it keeps.
+    """
+    item = f"struct<i:int,s:{kind.removeprefix('array<').removesuffix('>')}>"
+
+    def greedy(cluster: Column) -> Column:
+        start = F.struct(none_of(item).alias("kept"), none_of("int").alias("starts"), none_of("int").alias("ends"))
+
+        def step(acc: Column, x: Column) -> Column:
+            a, b = x["s"]["start"], x["s"]["end"]
+
+            def put(n: Column) -> Column:
+                insert = lambda v, one: F.concat(F.slice(v, F.lit(1), n), F.array(one), F.slice(v, n + 1, F.size(v)))
+                taken = F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), insert(acc["starts"], a).alias("starts"), insert(acc["ends"], b).alias("ends"))
+                return F.when(F.coalesce(F.get(acc["ends"], n - 1) > a, F.lit(False)), acc).otherwise(taken)
+
+            return let(before(acc["starts"], b), put)
+
+        return F.aggregate(F.array_sort(cluster), start, step, lambda acc: acc["kept"])
+
+    def in_clusters(by_start: Column) -> Column:
+        def cut_at(ends: Column) -> Column:
+            heads = F.filter(places(F.size(ends)), lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(by_start, i)["start"]))
+            of_two = lambda c: F.array(F.when(F.get(c, F.lit(0))["i"] < F.get(c, F.lit(1))["i"], F.get(c, F.lit(0))).otherwise(F.get(c, F.lit(1))))
+            ordered_ = F.transform(by_start, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))
+            taken = F.transform(slices_at(ordered_, heads), lambda c: F.when(F.size(c) == 1, c).when(F.size(c) == 2, of_two(c)).otherwise(greedy(c)))
+            return F.transform(F.array_sort(F.flatten(taken)), lambda x: x["s"])
+
+        return let(F.array_sort(F.transform(by_start, lambda x: x["s"]["end"])), cut_at)
+
+    keyed = F.transform(ordered, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")))
+    return F.when(F.size(ordered) < 2, ordered).otherwise(let(F.array_sort(keyed), in_clusters))
 
 
 RAW_SPANS = NO_SPANS.replace("value:string>", "value:string,raw_start:int,raw_end:int>")
@@ -79,40 +113,38 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
     confidence, reasons, number and placeholder of the entity, occurrences (raw_start, raw_end, text), count.
     """
     meta = settings.type_map()
-    keyed = resolved.withColumn("keyed", F.transform("kept", lambda s: F.struct(s.alias("s"), norm_key(s["value"]).alias("key"))))
+    keyed = F.transform("kept", lambda s, i: F.struct(s["type_id"].alias("type_id"), norm_key(s["value"]).alias("key"), i.alias("i"), s.alias("s")))
     ids = F.transform(F.filter("kept", lambda s: s["type_id"].isin("ID_CARD", "ID_CARD_15")), lambda s: s["raw_start"])
-    keyed = bound(keyed.withColumn("id_places", ids))
-    groups = F.array_distinct(F.transform("keyed", lambda k: F.struct(k["s"]["type_id"].alias("type_id"), k["key"].alias("key"))))
-
-    def group(g: Column, order: Column) -> Column:
-        mine = F.filter("keyed", lambda k: (k["s"]["type_id"] == g["type_id"]) & (k["key"] == g["key"]))
-        return let(mine, lambda m: summed(g, m, order))
+    rows = bound(resolved.withColumns({"keyed": F.array_sort(keyed), "id_places": F.array_sort(ids)}))
 
-    def summed(g: Column, m: Column, order: Column) -> Column:
+    def group(m: Column) -> Column:
+        first = F.get(m, F.lit(0))
         starts = F.transform(m, lambda k: k["s"]["raw_start"])
-        near = (g["type_id"] == "PERSON_NAME") & F.exists(starts, lambda a: F.exists("id_places", lambda b: F.abs(a - b) <= NEAR))
+        beside = (first["type_id"] == "PERSON_NAME") & F.exists(starts, lambda a: near(F.col("id_places"), a, NEAR))
         top = F.round(F.array_max(F.transform(m, lambda k: k["s"]["confidence"])), 3)
         reasons = F.array_distinct(F.flatten(F.transform(m, lambda k: k["s"]["reasons"])))
         return F.struct(
-            g["type_id"].alias("type_id"), g["key"].alias("key"), F.get(m, F.lit(0))["s"]["value"].alias("value"),
-            F.when(near, F.round(F.least(top + F.lit(NEAR_BOOST), F.lit(0.99)), 3)).otherwise(top).alias("confidence"),
-            F.when(near, F.concat(reasons, F.array(F.lit("邻近身份证号，佐证为自然人")))).otherwise(reasons).alias("reasons"),
+            first["i"].alias("at"), first["type_id"].alias("type_id"), first["key"].alias("key"), first["s"]["value"].alias("value"),
+            F.when(beside, F.round(F.least(top + F.lit(NEAR_BOOST), F.lit(0.99)), 3)).otherwise(top).alias("confidence"),
+            F.when(beside, F.concat(reasons, F.array(F.lit("邻近身份证号，佐证为自然人")))).otherwise(reasons).alias("reasons"),
             F.transform(m, lambda k: F.struct(k["s"]["raw_start"].alias("raw_start"), k["s"]["raw_end"].alias("raw_end"), k["s"]["value"].alias("text"))).alias("occurrences"),
-            F.array_min(starts).alias("first"), order.alias("ord"),
+            F.array_min(starts).alias("first"),
         )
 
-    keyed = bound(bound(keyed.withColumn("groups", groups)).withColumn("groups", F.transform("groups", group)))
-    keyed = keyed.withColumn("numbers", entity_numbers(F.transform("groups", lambda g: F.struct(g["type_id"].alias("type_id"), g["key"].alias("key"), g["first"].alias("first")))))
-    keyed = bound(keyed)
+    alike = runs(F.col("keyed"), lambda a, b: (a["type_id"] != b["type_id"]) | (a["key"] != b["key"]))
+    # groups in the order of their first spans
+    rows = bound(rows.withColumn("groups", F.array_sort(F.transform(alike, group))).drop("keyed", "id_places"))
+    numbers = entity_numbers(F.transform("groups", lambda g: F.struct(g["type_id"].alias("type_id"), g["key"].alias("key"), g["first"].alias("first"))))
+    keyed = bound(rows.withColumn("numbers", numbers))
     label = lambda t: _lookup(t, {k: m.label for k, m in meta.items()}, "")
     severity = lambda t: _lookup(t, {k: m.severity for k, m in meta.items()}, "low")
 
-    def ranked(g: Column) -> Column:
-        return F.struct((-severity_rank(g["type_id"], settings)).alias("a"), (-g["confidence"]).alias("b"), (-F.size(g["occurrences"])).alias("c"), g["ord"].alias("d"), g.alias("g"))
+    def ranked(g: Column, i: Column) -> Column:
+        return F.struct((-severity_rank(g["type_id"], settings)).alias("a"), (-g["confidence"]).alias("b"), (-F.size(g["occurrences"])).alias("c"), i.alias("d"), g.alias("g"))
 
     def whole(k: Column, i: Column) -> Column:
         g = k["g"]
-        number = F.get(F.filter("numbers", lambda n: (n["type_id"] == g["type_id"]) & (n["key"] == g["key"])), F.lit(0))["number"]
+        number = F.get("numbers", k["d"])["number"]
         fields = ("type_id", "key", "value", "confidence", "reasons", "occurrences")
         return F.struct(
             (i + 1).alias("cid"), *[g[c].alias(c) for c in fields], label(g["type_id"]).alias("label"), severity(g["type_id"]).alias("severity"),
@@ -121,7 +153,7 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
         )
 
     out = F.transform(F.array_sort(F.transform("groups", ranked)), whole)
-    return bound(keyed.withColumn("candidates", out).drop("keyed", "groups", "numbers", "id_places"))
+    return bound(keyed.withColumn("candidates", out).drop("groups", "numbers"))
 
 
 def exclude_allowed(spans: DataFrame, allowed: DataFrame) -> DataFrame:

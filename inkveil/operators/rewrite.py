@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.spans import let, matches
-from inkveil.functions.text import slice_of
+from inkveil.functions.arrays import between, cut, let
+from inkveil.functions.spans import matches
 from inkveil.operators.entities import PLACEHOLDER
 
 
@@ -19,17 +19,17 @@ def splice(text: Column, ops: Column) -> Column:
 
     An op whose value isn't what stands at its place is left out. Returns struct<text, applied, skipped>.
     """
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("applied"))
 
-    def step(acc: Column, o: Column) -> Column:
-        done = F.struct(F.concat(acc["out"], slice_of(text, acc["at"], o["start"]), o["replacement"]).alias("out"), o["end"].alias("at"), (acc["applied"] + 1).alias("applied"))
-        return F.when(slice_of(text, o["start"], o["end"]) == o["value"], done).otherwise(acc)
+    def spliced(good: Column, parts: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(good, i)["end"], F.lit(0))
+        each = F.transform(good, lambda o, i: F.concat(between(parts, text, end(i - 1), o["start"]), o["replacement"]))
+        whole = F.array_join(F.concat(each, F.array(F.substring(text, end(F.size(good) - 1) + 1, F.length(text)))), "")
+        return F.struct(whole.alias("text"), F.size(good).alias("applied"), (F.size(ops) - F.size(good)).alias("skipped"))
 
-    def finish(acc: Column) -> Column:
-        whole = F.concat(acc["out"], slice_of(text, acc["at"], F.length(text)))
-        return F.struct(whole.alias("text"), acc["applied"].alias("applied"), (F.size(ops) - acc["applied"]).alias("skipped"))
-
-    return F.aggregate(ops, start, step, finish)
+    fits = lambda parts: F.filter(ops, lambda o: between(parts, text, o["start"], o["end"]) == o["value"])
+    none = F.struct(text.alias("text"), F.lit(0).alias("applied"), F.lit(0).alias("skipped"))
+    done = let(cut(text), lambda parts: let(fits(parts), lambda good: spliced(good, parts)))
+    return F.when(text.isNotNull() & (F.size(ops) > 0), done).otherwise(none)
 
 
 def ops_of(candidates: Column, replacement: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import kwic
+from inkveil.functions.arrays import cut, let
+from inkveil.functions.text import kwic_at
 from inkveil.registry import Settings
 
 # Names of severities, the columns of the CSV report.
@@ -20,9 +21,14 @@ def candidate_table(found: DataFrame) -> DataFrame:
 
 def occurrence_table(found: DataFrame, context_chars: int = 30) -> DataFrame:
     """One row per occurrence, with its context; nth counts a candidate's occurrences from 1 in the order taken."""
-    rows = found.select("doc_id", "raw", F.explode("candidates").alias("c")).select("doc_id", "raw", "c", F.posexplode("c.occurrences").alias("i", "o"))
-    context = kwic(F.col("raw"), F.col("o.raw_start"), F.col("o.raw_end"), context_chars)
-    return rows.select("doc_id", "c", (F.col("i") + 1).alias("nth"), F.col("o.raw_start").alias("start"), F.col("o.raw_end").alias("end"), F.col("o.text").alias("text"), context.alias("context"))
+
+    def told(c: Column, parts: Column) -> Column:
+        seen = lambda o: F.struct(o["raw_start"].alias("start"), o["raw_end"].alias("end"), o["text"].alias("text"), kwic_at(parts, F.col("raw"), o["raw_start"], o["raw_end"], context_chars).alias("context"))  # noqa: E501, E731
+        return F.struct(c.alias("c"), F.transform(c["occurrences"], seen).alias("o"))
+
+    each = let(F.when(F.size("candidates") > 0, cut(F.col("raw"))), lambda parts: F.transform("candidates", lambda c: told(c, parts)))
+    rows = found.select("doc_id", F.inline(each)).select("doc_id", "c", F.posexplode("o").alias("i", "o"))
+    return rows.select("doc_id", "c", (F.col("i") + 1).alias("nth"), "o.start", "o.end", "o.text", "o.context")
 
 
 def by_type(found: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from inkveil.fixtures import CONTRACTS, VALUES
 from inkveil.functions import checks, masks, text
-from inkveil.functions.spans import let, rule_spans
+from inkveil.functions.arrays import let
+from inkveil.functions.spans import bound, rule_spans
 from inkveil.operators import context, detect, entities, resolve, rewrite
 from inkveil.plans import report
 from inkveil.plans.analysis import analyse, shared_path, stored
@@ -327,15 +328,17 @@ def op_block_containment(spark, sf_dir):
 @query
 def propagate_names(spark, sf_dir):
     """Copies of labelled names: here the detectors of running text are off, so their places are found as copies."""
-    rows = contracts(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t"))
-    found = rows.select("doc_id", F.inline(let(context.labelled_names(F.col("t"), Settings()), lambda s: detect.name_copies(F.col("t"), s))))
+    rows = bound(contracts(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t")))
+    rows = bound(rows.withColumn("s", context.labelled_names(F.col("t"), Settings())))
+    found = rows.select("doc_id", F.inline(detect.name_copies(F.col("t"), F.col("s"))))
     return found.select("doc_id", F.col("start").cast("long").alias("span_start"), "value", "confidence")
 
 
 @query
 def propagate_org_alias(spark, sf_dir):
-    rows = contracts(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t"))
-    found = rows.select("doc_id", F.inline(let(context.organisations(F.col("t")), lambda s: detect.org_aliases(F.col("t"), s))))
+    rows = bound(contracts(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t")))
+    rows = bound(rows.withColumn("s", context.organisations(F.col("t"))))
+    found = rows.select("doc_id", F.inline(detect.org_aliases(F.col("t"), F.col("s"))))
     return found.select("doc_id", F.col("start").cast("long").alias("span_start"), "value", "confidence")
 
 
