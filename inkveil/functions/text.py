@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,6 @@ _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 #: translate() arguments: characters beyond the second string's end are deleted.
 FROM, TO = _WIDE + DASHES + "\u3000\t\r" + ZERO_WIDTH, _NARROW + "-" * len(DASHES) + "   "
 
-_KEY_FROM = _WIDE + "\uff0d\u3000"
-_KEY_TO = _NARROW + "- "
-
 
 def normalize(raw: Column) -> Column:
     """Full-width ASCII to ASCII, dashes to one, tabs and returns to spaces, zero-width characters deleted."""
@@ -58,12 +57,27 @@ def after(text: Column, end: Column, n: int | Column) -> Column:
     return F.substring(text, end + 1, _count(n))
 
 
-def norm_key(value: Column) -> Column:
-    """What makes two values the same: full-width to ASCII, without spaces, dashes, underscores and round brackets, upper case.
+def nfkc(value: Column) -> Column:
+    """The compatibility composition of a text, by the Unicode library that Spark has for its collations; ASCII texts don't reach it.
 
-    Full-width forms are mapped one by one; other compatibility characters (circled digits, ligatures) stay as they are.
+    Spark takes calls of Java methods as not deterministic, so a join needs the result as a column first.
     """
-    return F.upper(F.regexp_replace(F.translate(value, _KEY_FROM, _KEY_TO), r"[\s\-—_()（）\u0085   -     ]", ""))
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
+    return F.when(F.octet_length(value) > F.char_length(value), composed).otherwise(value)
+
+
+# Fixed value: what doesn't count in keys, beside white space.
+_KEY_GONE = "-—_()（）"
+
+
+def norm_key(value: Column) -> Column:
+    """What makes two values the same: compatibility forms composed, without white space, dashes, underscores and round brackets, upper case."""
+    return F.upper(F.regexp_replace(nfkc(value), rf"[\s\x1c-\x1f\x85\u1680\u2028\u2029{_KEY_GONE.replace('-', '')}\-]", ""))
+
+
+def key_of(value: str) -> str:
+    """norm_key() of one value, on the driver. Three letters have an upper case in Spark's newer Unicode only."""
+    return "".join(c for c in unicodedata.normalize("NFKC", value) if not c.isspace() and c not in _KEY_GONE).upper()
 
 
 def digits(value: Column) -> Column:

@@ -9,7 +9,7 @@ from inkveil.functions.checks import is_hotline, is_placeholder
 from inkveil.functions.masks import mask
 from inkveil.functions.arrays import before, between, cut, let, near, none_of, places, runs, slices_at
 from inkveil.functions.spans import NO_SPANS, bound, constant, one_of
-from inkveil.functions.text import norm_key, raw_end, raw_start
+from inkveil.functions.text import key_of, norm_key, raw_end, raw_start
 from inkveil.operators.entities import entity_numbers, placeholder
 from inkveil.registry import SEVERITIES, Settings
 
@@ -44,7 +44,7 @@ def with_raw_places(spans: Column, raw: Column, index: Column) -> Column:
 def wanted(s: Column, settings: Settings) -> Column:
     """Whether a span stands the filters before overlaps: active type, no made-up value, not allowed, sure enough."""
     made_up = (s["type_id"] != "AMOUNT") & is_placeholder(s["value"]) & ~((s["type_id"] == "PHONE_LANDLINE") & is_hotline(s["value"]))
-    allowed = F.exists(constant(sorted(settings.allowlist), "array<string>"), lambda a: norm_key(a) == norm_key(s["value"])) if settings.allowlist else F.lit(False)
+    allowed = F.array_contains(constant(sorted(map(key_of, settings.allowlist)), "array<string>"), norm_key(s["value"])) if settings.allowlist else F.lit(False)
     return one_of(s["type_id"], settings.active()) & ~made_up & ~allowed & (s["confidence"] >= settings.min_confidence)
 
 
@@ -159,4 +159,4 @@ def candidates(resolved: DataFrame, settings: Settings) -> DataFrame:
 def exclude_allowed(spans: DataFrame, allowed: DataFrame) -> DataFrame:
     """Spans (with value) whose key isn't that of a row of allowed (value); for lists too long for Settings."""
     keys = allowed.select(norm_key(F.col("value")).alias("_key")).distinct()
-    return spans.join(keys, norm_key(spans["value"]) == keys["_key"], "left_anti")
+    return spans.withColumn("_key", norm_key(F.col("value"))).join(keys, "_key", "left_anti").drop("_key")

@@ -51,13 +51,13 @@ kept AS (
     UNION ALL SELECT doc_id, k, text, 'AMOUNT', instr(text, '合同金额：') + 4, amount, 0.78, 2, 50, 14, '匹配 合同金额 模式；格式匹配' FROM c
     UNION ALL SELECT doc_id, k, text, 'DATE', instr(text, '签署日期：') + 4, date_text, 0.62, 1, 30, 17, '匹配 日期 模式；格式匹配' FROM c),
 clean AS (SELECT * FROM kept WHERE type_id = 'AMOUNT' OR length(regexp_replace(value, '[^0-9]', '', 'g')) < 6 OR len(list_distinct(string_split(regexp_replace(value, '[^0-9]', '', 'g'), ''))) > 2),
-placed AS (SELECT *, s + length(value) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY prio DESC, conf DESC, length(value) DESC, det, s) AS ord FROM clean),
-ids AS (SELECT doc_id, s AS id_s FROM kept WHERE type_id = 'ID_CARD'),
+placed AS (SELECT *, s + length(value) AS e, upper(regexp_replace(value, '[ _()-]', '', 'g')) AS key, row_number() OVER (PARTITION BY doc_id ORDER BY prio DESC, conf DESC, length(value) DESC, det, s) AS ord FROM clean),
+ids AS (SELECT doc_id, instr(text, '身份证号：') + 4 AS id_s FROM c),
 groups AS (
-    SELECT doc_id, type_id, arg_min(value, ord) AS value, count(*) AS n, min(s) AS first, min(ord) AS ord, any_value(sev) AS sev,
+    SELECT doc_id, type_id, key, arg_min(value, ord) AS value, count(*) AS n, min(s) AS first, min(ord) AS ord, any_value(sev) AS sev,
         CASE WHEN type_id = 'PERSON_NAME' AND bool_or(abs(s - id_s) <= 60) THEN round(least(max(conf) + 0.08, 0.99), 3) ELSE max(conf) END AS conf,
         list(reasons ORDER BY ord) AS reason_list, type_id = 'PERSON_NAME' AND bool_or(abs(s - id_s) <= 60) AS near
-    FROM placed JOIN ids USING (doc_id) GROUP BY doc_id, type_id, upper(regexp_replace(value, '[ _()-]', '', 'g'))),
+    FROM placed JOIN ids USING (doc_id) GROUP BY doc_id, type_id, key),
 rooted AS (SELECT *, CASE WHEN type_id = 'ORG_NAME' AND length(value) = 4 THEN 3 ELSE first END AS root FROM groups),
 cands AS (
     SELECT *, dense_rank() OVER (PARTITION BY doc_id, type_id ORDER BY root) AS number, row_number() OVER (PARTITION BY doc_id ORDER BY sev DESC, conf DESC, n DESC, ord) AS cid,
@@ -71,7 +71,7 @@ cands AS (
         CASE sev WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
     FROM rooted),
 items AS (SELECT p.*, q.value AS entity_value, q.masked, q.number, q.cid, q.label, q.category, q.severity, q.conf AS cand_conf, '[' || q.label || '#' || q.number || ']' AS placeholder
-    FROM placed p JOIN cands q ON p.doc_id = q.doc_id AND p.type_id = q.type_id AND upper(regexp_replace(p.value, '[ _()-]', '', 'g')) = upper(regexp_replace(q.value, '[ _()-]', '', 'g'))),
+    FROM placed p JOIN cands q ON p.doc_id = q.doc_id AND p.type_id = q.type_id AND p.key = q.key),
 """
 
 
@@ -220,7 +220,7 @@ ORACLE_SQL: dict[str, str] = {
     "org_variants": _c("SELECT doc_id, array_to_string(list_sort([fullname, substr(fullname, 3), substr(fullname, 1, length(fullname) - 4), shortname || '科技']), '|') AS variants FROM c"),
     "org_same_entity": _c("SELECT doc_id, true AS same_short, false AS same_other FROM c"),
     "org_components": _c("SELECT doc_id, 2 AS groups FROM c"),
-    "entity_numbers": _a("SELECT doc_id, type_id, upper(regexp_replace(value, '[ _()-]', '', 'g')) AS key, number, '[' || label || '#' || number || ']' AS placeholder FROM cands"),
+    "entity_numbers": _a("SELECT doc_id, type_id, key, number, '[' || label || '#' || number || ']' AS placeholder FROM cands"),
     "mapping_items": _a("SELECT doc_id, type_id, value AS original, entity_value, placeholder, masked, s AS span_start, e AS span_end FROM items"),
     "mapping_entities": _a("SELECT doc_id, type_id, number, placeholder, arg_min(value, s) AS original, count(*) AS occurrences FROM items GROUP BY doc_id, type_id, number, placeholder"),
     "entity_summary": _a("SELECT type_id, count(*) AS entities, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, type_id, number, count(*) AS n FROM items GROUP BY ALL) GROUP BY type_id"),
@@ -230,7 +230,8 @@ ORACLE_SQL: dict[str, str] = {
     "redact_text": _spliced("placeholder") + " SELECT doc_id, text, n AS applied, 0 AS skipped FROM done",
     "restore_text": _a("SELECT doc_id, any_value(text) AS text, count(*) AS restored FROM placed GROUP BY doc_id"),
     "roundtrip_identity": _c("SELECT count(*) AS documents, count(*) AS same FROM c"),
-    "restore_missing": _a("SELECT doc_id, placeholder FROM items WHERE type_id = 'ADDRESS'"),
+    # each contract has one address, in its last line
+    "restore_missing": _c("SELECT doc_id, '[住址/通信地址#1]' AS placeholder FROM c"),
     "drift_guard": _a("SELECT doc_id, count(*) FILTER (k % 3 <> 0) AS applied, count(*) FILTER (k % 3 = 0) AS skipped FROM placed WHERE type_id IN ('PHONE_MOBILE', 'DATE') GROUP BY doc_id"),
     "selection_types": _spliced("placeholder", "type_id IN ('PHONE_MOBILE', 'PERSON_NAME')") + " SELECT doc_id, text FROM done",
     "selection_items": _a("SELECT doc_id, type_id, s AS span_start FROM items WHERE doc_id % 60 = 0 AND type_id = 'PERSON_NAME'"),

@@ -55,3 +55,19 @@ def test_org_names(spark):
 def test_placeholder_text(spark):
     row = spark.createDataFrame([(" [a#12] ",), ("x[a#1]",), (None,)], "v string").select(*entities.parse_placeholder(F.col("v"))).collect()
     assert [tuple(r) for r in row] == [("a", 12), (None, None), (None, None)]
+
+
+def test_nfkc_and_keys(spark):
+    import unicodedata
+
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    more = ["ｶﾞ", "ẹ́", "가", "ﬁ①㈱", "Ｐａｒｔｙ　（Ａ）—１_x", "ß", "áb̀"]
+    values = ["".join(known[k : k + 1]) for k in range(len(known))] + more
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v string")
+    got = {r.k: r for r in rows.select("k", text.nfkc(F.col("v")).alias("n"), text.norm_key(F.col("v")).alias("key")).collect()}
+    assert not [hex(ord(v[0])) for k, v in enumerate(values) if got[k].n != unicodedata.normalize("NFKC", v)]
+    gone = set("-—_()（）")
+    want = lambda v: "".join(c for c in unicodedata.normalize("NFKC", v) if not c.isspace() and c not in gone).upper()
+    assert {v for k, v in enumerate(values) if got[k].key != want(v)} <= {chr(0x19B), chr(0x264), chr(0x10791)}  # upper cases of Unicode 16
+    assert all(text.key_of(v) == want(v) for v in more)
+    assert one(spark, None, text.norm_key) is None
