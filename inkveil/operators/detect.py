@@ -14,6 +14,7 @@ from inkveil.functions.spans import MARK, bound, none, rule_spans, span
 from inkveil.functions.text import norm_index, norm_key, normalize
 from inkveil.operators.context import context_spans
 from inkveil.operators.entities import org_core
+from inkveil.operators.plugins import with_plugins
 from inkveil.registry import ALIAS_ORD, NAME_COPY_ORD, Settings
 
 
@@ -146,11 +147,13 @@ def spread(docs: DataFrame) -> DataFrame:
 def detect(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, raw, norm, index (null where raw and norm have the same positions), spans in norm.
 
-    A null text has no spans. Other columns are dropped. No shuffle but of small inputs (spread).
+    A null text has no spans. With detectors of users also failures (operators.plugins). Other columns are dropped. No shuffle but of small inputs (spread).
     """
     rows = bound(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"))))
     rows = bound(rows.withColumns({"norm": normalize(F.col("raw")), "index": norm_index(F.col("raw"))}))
     rows = bound(rows.withColumn("spans", _of_norm(found_spans, settings)))
+    if settings.detectors:
+        rows = bound(with_plugins(rows, settings))
     active = set(settings.active())
     if settings.propagate and "PERSON_NAME" in active:
         rows = bound(rows.withColumn("spans", F.concat("spans", _of_norm(name_copies))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    """One job's settings. types, rules: by default the built-in ones. only: the types to look for, None for all enabled."""
+    """One job's settings. types, rules: by default the built-in ones. only: the types to look for, None for all enabled.
+
+    detectors: objects of users as in operators.plugins.
+    """
 
     min_confidence: float = 0.5
     min_severity: str = "low"
@@ -63,6 +67,7 @@ class Settings:
     extra_rules: tuple[Rule, ...] = ()
     surnames: str = ""
     fix_case_no: bool = False
+    detectors: tuple[Any, ...] = ()
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "types", self.types or TYPES)
@@ -72,6 +77,8 @@ class Settings:
         known = {t.type_id: t for t in self.types}
         for r in self.extra_rules:
             known.setdefault(r.type_id, TypeMeta(r.type_id, r.type_id, "自定义", "medium", 2, 2, priority=50))
+        for d in self.detectors:
+            known.setdefault(d.type_id, TypeMeta(d.type_id, getattr(d, "label", d.type_id), "自定义", getattr(d, "severity", "medium"), 2, 2, priority=50))
         return known
 
     def active(self) -> list[str]:
@@ -187,4 +194,4 @@ RULES = (
 )
 
 #: Places of the context detectors in the order that decides ties; after all rules, extra ones too.
-PERSON_ORD, ADDRESS_ORD, ORG_ORD, NAME_COPY_ORD, ALIAS_ORD = 1001, 1002, 1003, 1004, 1005
+PERSON_ORD, ADDRESS_ORD, ORG_ORD, NAME_COPY_ORD, ALIAS_ORD, PLUGIN_ORD = 1001, 1002, 1003, 1004, 1005, 2000
