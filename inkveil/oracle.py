@@ -126,7 +126,25 @@ _WORDS = "['密码','口令','密钥','secret','SECRET','token','TOKEN','api_key
 _NEAR = "substr(text, greatest(s - 30, 0) + 1, least(s, 30)) || '|' || substr(text, s + length(m) + 1, 30)"
 _LINES = "unnest(string_split(text, chr(10)))"
 
+# words of documents laid out as in queries.laid_out, by place (n), with the number of their line: a fold over each page's words
+_LAID = """WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents),
+    each_ AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM cut),
+    words AS (SELECT doc_id, i // 60 + 1 AS page, CASE WHEN i % 5 = 0 THEN '合同' ELSE w END AS w, ((i % 60) * 7919 % 60)::DOUBLE * 10 AS x0, ((i % 60) // 8 * 70 + (i % 60) * 5 % 7 * 9)::DOUBLE / 10 AS top FROM each_),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0) AS n FROM words),
+    lines AS (SELECT doc_id, page, n, top AS anchor, 1 AS line FROM placed WHERE n = 1
+        UNION ALL SELECT p.doc_id, p.page, p.n, CASE WHEN abs(p.top - l.anchor) <= 3.0::DOUBLE THEN l.anchor ELSE p.top END, CASE WHEN abs(p.top - l.anchor) <= 3.0::DOUBLE THEN l.line ELSE l.line + 1 END
+        FROM lines l JOIN placed p ON p.doc_id = l.doc_id AND p.page = l.page AND p.n = l.n + 1)"""
+_PAGES = _LAID + """,
+    led AS (SELECT p.*, line, lag(line) OVER q AS line_before, lag(w) OVER q AS w_before FROM placed p JOIN lines l USING (doc_id, page, n) WINDOW q AS (PARTITION BY doc_id, page ORDER BY n)),
+    joined AS (SELECT *, CASE WHEN n = 1 THEN '' WHEN line <> line_before THEN chr(10) WHEN regexp_matches(w_before, '[\\x{4e00}-\\x{9fff}]$') OR regexp_matches(w, '^[\\x{4e00}-\\x{9fff}]') THEN '' ELSE ' ' END AS lead FROM led)"""
+_EMAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{2,}[.][A-Za-z]{2,24}"
+
 ORACLE_SQL: dict[str, str] = {
+    "layout_lines": _PAGES + " SELECT doc_id, page, string_agg(lead || w, '' ORDER BY n) AS text FROM joined GROUP BY doc_id, page",
+    "report_boxes": _LAID.split(",\n    placed")[0] + f" SELECT doc_id, page, unnest(regexp_extract_all(w, '{_EMAIL}')) AS text, x0, top, x0 + 9 AS x1, top + 6 AS bottom FROM words",
+    "plugin_detectors": _runs("documents", "A-Za-z") + f""", mails AS (SELECT r.doc_id, r.s, r.m FROM ({_runs("documents", "A-Za-z0-9._%+@-").replace("[A-Za-z0-9._%+@-]+", _EMAIL)} SELECT * FROM runs) r)
+        SELECT doc_id, 'span' AS what, s AS span_start, m AS value FROM runs r WHERE length(m) >= 14 AND NOT EXISTS (SELECT 1 FROM mails x WHERE x.doc_id = r.doc_id AND x.s < r.s + length(r.m) AND x.s + length(x.m) > r.s)
+        UNION ALL SELECT doc_id, 'failure', NULL, 'odd texts: ValueError: odd' FROM documents WHERE length(text) % 2 = 1""",
     "csv_lines": """WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents),
         u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
         m AS (SELECT doc_id, i, unnest(regexp_extract_all(line, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{2,}[.][A-Za-z]{2,24}')) AS value FROM u)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.arrays import cut, let
+from inkveil.functions.boxes import box_of
 from inkveil.functions.text import kwic_at
 from inkveil.registry import Settings
 
@@ -77,9 +78,10 @@ def in_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """rows (doc_id, start) with the block that each starts in: a range join by document, as an equality join and a filter.
 
     blocks and rows must be of one text: that of sources.text.as_read(), or documents_of() for files. A row that starts in no
-    block (or whose document has none) stays, with nulls.
+    block (or whose document has none) stays, with nulls. Blocks of pages (sources.layout) give their word_boxes too.
     """
-    b = blocks.select(F.col("doc_id").alias("_doc"), "block_index", "location", "page", "block_type", F.col("start").alias("block_start"), F.col("end").alias("block_end"))
+    more = ["word_boxes"] if "word_boxes" in blocks.columns else []
+    b = blocks.select(F.col("doc_id").alias("_doc"), "block_index", "location", "page", "block_type", F.col("start").alias("block_start"), F.col("end").alias("block_end"), *more)
     hit = (rows["doc_id"] == b["_doc"]) & (rows["start"] >= b["block_start"]) & (rows["start"] <= b["block_end"])
     return rows.join(b, hit, "left").drop("_doc")
 
@@ -123,13 +125,16 @@ def report_json(
 ) -> DataFrame:
     """The report of each document as JSON: doc_id and report.
 
-    blocks: as in csv_report; without them occurrences have no block. warnings: doc_id, warnings. generated_at: a time stamp,
+    blocks: as in csv_report; without them occurrences have no block; with word_boxes they have the box around their words. warnings: doc_id, warnings. generated_at: a time stamp,
     the same for all documents of a job; by default the time of the query. Documents without candidates have empty items.
     """
     settings = settings or Settings()
-    rows = occurrence_table(found)
+    rows, box = occurrence_table(found), F.lit(None).cast("array<double>")
     if blocks is not None:
         rows = in_block(rows, blocks)
+        if "word_boxes" in rows.columns:
+            rows = rows.withColumn("bbox", box_of(F.col("word_boxes"), F.col("start") - F.col("block_start"), F.col("end") - F.col("block_start"))).drop("word_boxes")
+            box = F.col("bbox")
         local = F.when(F.col("block_index").isNotNull(), F.array(F.col("start") - F.col("block_start"), F.col("end") - F.col("block_start")))
         sizes = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
     else:
@@ -138,7 +143,7 @@ def report_json(
         local, sizes = F.lit(None).cast("array<int>"), None
     place = F.struct(
         "page", "location", "block_type", F.array("start", "end").alias("offset"), "block_index", local.alias("local_offset"),
-        F.lit(None).cast("array<double>").alias("bbox"), "context", "text",
+        box.alias("bbox"), "context", "text",
     )
     each = rows.groupBy("doc_id", F.col("c.cid").alias("id")).agg(F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("nth", place.alias("o")))).alias("o"))
     fields = ("label", "category", "severity", "value", "masked", "confidence", "count", "reasons")

@@ -5,19 +5,22 @@ Chinese text comes from `contracts`, a view computed from orders; Latin text fro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.fixtures import CONTRACTS, VALUES
-from inkveil.functions import checks, masks, text
+from inkveil.functions import boxes, checks, masks, text
 from inkveil.functions.arrays import let
 from inkveil.functions.spans import bound, rule_spans
-from inkveil.operators import context, detect, entities, resolve, rewrite
-from inkveil.plans import report
+from inkveil.operators import context, detect, entities, plugins, resolve, rewrite
+from inkveil.plans import report, review
 from inkveil.plans.analysis import analyse, shared_path, stored
 from inkveil.registry import RULES, Settings
+from inkveil.sources import layout
+from inkveil.sources.docx import documents_of
 from inkveil.sources.text import as_read, blocks_from_documents, full_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,10 +153,36 @@ def placeholder_parse(spark, sf_dir):
 def bbox_for_range(spark, sf_dir):
     """The box around the words of a line that a range meets; words and boxes are made from the customer's name."""
     words = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((i * 6).alias("start"), (i * 6 + 5).alias("end"), (i * 10.0).alias("x0"), (i + 1.0).alias("top"), (i * 10.0 + 9).alias("x1"), (i + 12.0).alias("bottom")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 20).cast("int").alias("a"), words.alias("words"))
-    hit = F.filter("words", lambda w: (w["end"] > F.col("a")) & (w["start"] < F.col("a") + 8))
-    pick = lambda f, k: f(F.transform(hit, lambda w: w[k]))
-    return rows.select("c_custkey", pick(F.array_min, "x0").alias("x0"), pick(F.array_min, "top").alias("top"), pick(F.array_max, "x1").alias("x1"), pick(F.array_max, "bottom").alias("bottom"))
+    at = (F.col("c_custkey") % 20).cast("int")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", boxes.box_of(words, at, at + 8).alias("b"))
+    return rows.select("c_custkey", *[F.col("b")[k].alias(c) for k, c in enumerate(("x0", "top", "x1", "bottom"))])
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents on pages of 60, in crooked lines and any order; each fifth is a word of a script without spaces."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).alias("i", "w"))
+    j = F.col("i") % 60
+    x0 = ((j * 7919) % 60).cast("double") * 10
+    top = (F.floor(j / 8) * 70 + (j * 5 % 7) * 9).cast("double") / 10
+    return words.select(
+        "doc_id", (F.floor(F.col("i") / 60) + 1).cast("int").alias("page"), F.when(F.col("i") % 5 == 0, F.lit("合同")).otherwise(F.col("w")).alias("text"),
+        x0.alias("x0"), top.alias("top"), (x0 + 9).alias("x1"), (top + 6).alias("bottom"),
+    )
+
+
+@query
+def layout_lines(spark, sf_dir):
+    """Texts of pages, by lines of words near each other in height."""
+    return layout.page_blocks(laid_out(spark, sf_dir)).select("doc_id", F.col("page").cast("long").alias("page"), "text")
+
+
+@query
+def report_boxes(spark, sf_dir):
+    """Boxes of e-mail addresses on laid-out pages, from the JSON report."""
+    pages = report.block_offsets(stored(layout.page_blocks(laid_out(spark, sf_dir)), "pages"))
+    found = analyse(documents_of(pages), only("EMAIL"))
+    rows = review.read_reports(report.report_json(found, pages))
+    return rows.select("doc_id", F.col("page").cast("long").alias("page"), "text", *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x0", "top", "x1", "bottom"))])
 
 
 # detectors
@@ -259,6 +288,36 @@ def detect_documents(spark, sf_dir):
     return report.candidate_table(found).groupBy("type_id").agg(F.count("*").alias("candidates"), F.sum("count").alias("occurrences"))
 
 
+class LongWords:
+    """A user's detector: words of 14 letters and more."""
+
+    type_id = "LONG_WORD"
+
+    def run(self, text):
+        return [(m.start(), m.end(), 0.8) for m in re.finditer("[A-Za-z]{14,}", text)]
+
+
+class OddTexts:
+    """A user's detector that fails on texts of odd length."""
+
+    type_id, name = "ODD", "odd texts"
+
+    def run(self, text):
+        if len(text) % 2:
+            raise ValueError("odd")
+        return []
+
+
+@query
+def plugin_detectors(spark, sf_dir):
+    """Places that a user's detector found and that no address overlaps; a second detector's failures are rows of their own."""
+    st = Settings(only=frozenset({"EMAIL", "LONG_WORD", "ODD"}), propagate=False, detectors=(LongWords(), OddTexts()))
+    found = stored(resolve.resolve(detect.detect(_documents(spark, sf_dir), st), st).select("doc_id", "kept", "failures"))
+    spans = _kept(found).filter("type_id = 'LONG_WORD'").select("doc_id", F.lit("span").alias("what"), "span_start", "value")
+    failed = plugins.failures(found).select("doc_id", F.lit("failure").alias("what"), F.lit(None).cast("long").alias("span_start"), F.concat_ws(": ", "detector", "error").alias("value"))
+    return spans.unionByName(failed)
+
+
 # discrimination
 
 
@@ -301,7 +360,7 @@ def allowlist_filter(spark, sf_dir):
 @query
 def id_name_proximity(spark, sf_dir):
     """People within 60 characters of an identity number: a band join within each document."""
-    kept = _kept(resolve.resolve(detect.detect(contracts(spark, sf_dir), Settings()), Settings()))
+    kept = stored(_kept(resolve.resolve(detect.detect(contracts(spark, sf_dir), Settings()), Settings())), "kept")
     ids = kept.filter("type_id = 'ID_CARD'").select(F.col("doc_id").alias("d"), F.col("span_start").alias("id_start"))
     near = (F.col("doc_id") == F.col("d")) & (F.abs(F.col("span_start") - F.col("id_start")) <= resolve.NEAR)
     return kept.filter("type_id = 'PERSON_NAME'").join(ids, near, "left_semi").select("doc_id", "span_start", "value")
