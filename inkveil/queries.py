@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.fixtures import CONTRACTS, VALUES
@@ -22,6 +22,7 @@ from inkveil.registry import RULES, Settings
 from inkveil.sources import layout
 from inkveil.sources.docx import documents_of
 from inkveil.sources.text import as_read, blocks_from_documents, full_text
+from inkveil.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -598,12 +599,49 @@ def selection_items(spark, sf_dir):
 @query
 def stream_detect(spark, sf_dir):
     """Candidates of documents that arrive as a stream of files, appended to Parquet and read back."""
-    from inkveil.streaming import jobs
-
-    out = shared_path(spark, "stream")
-    path = f"{sf_dir.rstrip('/')}/documents.parquet"
-    docs = jobs.stream_documents(spark, path if spark.read.parquet(path).inputFiles()[0].rstrip("/").split("/")[-1] != "documents.parquet" else f"{sf_dir.rstrip('/')}/documents*.parquet", spark.read.parquet(path).schema)
+    out, path = shared_path(spark, "stream"), f"{sf_dir.rstrip('/')}/documents.parquet"
+    # a stream reads folders, or files by a pattern
+    docs = jobs.stream_documents(spark, path[:-1] + "[t]", spark.read.parquet(path).schema)
     st = Settings(only=frozenset({"EMAIL", "BANK_CARD"}), propagate=False)
     items = jobs.stream_items(docs.select("doc_id", "text"), st).select("doc_id", "type_id", "value", "masked", "count")
     jobs.write_items(items, f"{out}/items", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(items.schema).parquet(f"{out}/items").select("doc_id", "type_id", "value", "masked", F.col("count").cast("long").alias("n"))
+
+
+@query
+def stream_files(spark, sf_dir):
+    """Addresses in files that arrive twice under different names, in two runs of a stream: each content counts once.
+
+    The files hold all documents, in 64 texts by doc_id.
+    """
+    out = shared_path(spark, "inbox")
+    lines = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    lines = lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text")
+    for name in ("first", "again"):
+        lines.write.partitionBy("part").option("compression", "none").text(f"{out}/inbox/{name}")
+        jobs.analyse_files(jobs.stream_files(spark, f"{out}/inbox"), f"{out}/found", f"{out}/checkpoint", Settings(only=frozenset({"EMAIL"}), propagate=False)).awaitTermination()
+    found = spark.read.parquet(f"{out}/found/items")
+    return found.select(F.explode("occurrences").alias("o")).groupBy(F.col("o.text").alias("value")).agg(F.count("*").alias("n"))
+
+
+def _event_hits() -> Column:
+    """Whether an event's properties have a number of three digits or more."""
+    return F.col("props").rlike("[0-9]{3}")
+
+
+@query
+def event_windows(spark, sf_dir):
+    """Events and those whose properties have long numbers, by day and type; the SQL counts the same table."""
+    rows = jobs.window_counts(table(spark, sf_dir, "events"), found=_event_hits())
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "hits")
+
+
+@query
+def event_windows_stream(spark, sf_dir):
+    """The same as a stream with a watermark: windows that it has passed by the end of the stream, all events of which came in time."""
+    out, path = shared_path(spark, "windows"), f"{sf_dir.rstrip('/')}/events.parquet"
+    rows = jobs.stream_documents(spark, path[:-1] + "[t]", spark.read.parquet(path).schema, files_per_batch=1)
+    counted = jobs.window_counts(rows, found=_event_hits())
+    jobs.write_items(counted, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    done = spark.read.schema(counted.schema).parquet(f"{out}/counts")
+    return done.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", "hits")
