@@ -66,6 +66,19 @@ def unit_hash(*columns: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11)) / F.lit(float(1 << 53))
 
 
+def bounded_sample(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most n rows, the same in every run: those of the least hashes of columns. Rows that are equal in them count once, and so can't fill the sample.
+
+    Hashes alone are shuffled, summed up in each task first; rows move only if they are chosen.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*columns))
+    least = hashed.select("_hash").distinct().orderBy("_hash").limit(n).agg(F.max("_hash")).first()[0]
+    if least is None:
+        return rows.limit(0)
+    chosen = hashed.filter(F.col("_hash") <= least).groupBy("_hash").agg(*[F.first(c).alias(c) for c in rows.columns])
+    return chosen.drop("_hash")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Links (a long, b long) to (node, component): the smallest node that links reach.
 
@@ -98,14 +111,14 @@ def _checksum(edges: DataFrame) -> tuple[int, int | None]:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in runs of rows with about SLICE_BYTES of text, and their UTF-8 texts (null: empty)."""
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch in runs of rows with about so many bytes of text, and their UTF-8 texts (null: empty)."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.array([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
     ends = np.cumsum(sizes + 64)
     start = 0
     while start < len(sizes):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
         texts = column.slice(start, stop - start).cast(pa.binary()).to_pylist()
         yield batch.slice(start, stop - start), [x or b"" for x in texts]
         start = stop

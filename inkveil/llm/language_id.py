@@ -30,6 +30,9 @@ TOO_MANY_LABELS = 1000
 #: Words times languages that one pass labels; bounds a task's memory.
 CELLS = 1 << 22
 
+#: Text bytes of one pass: about sixty bytes of memory for each.
+SLICE_BYTES = 1 << 20
+
 #: Log-odds that a switch of language between two words costs.
 SWITCH_PENALTY = 8.0
 
@@ -197,7 +200,9 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     rows = rows.filter("_text is not null and _lang is not null")
-    counts = rows.groupBy("_lang").count().limit(TOO_MANY_LABELS + 1).collect()
+    # rows with equal ids and texts count once, so that they can't fill the sample
+    hashed = rows.withColumn("_hash", F.xxhash64("_id", "_text"))
+    counts = hashed.select("_lang", "_hash").distinct().groupBy("_lang").count().limit(TOO_MANY_LABELS + 1).collect()
     if len(counts) > TOO_MANY_LABELS:
         raise ValueError(f"{lang_col} has more than {TOO_MANY_LABELS} labels")
     languages = sorted(r["_lang"] for r in counts)
@@ -205,14 +210,14 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
     rates = {r["_lang"]: min(1.0, fit_docs / r["count"]) for r in counts}
     rate = F.create_map(*[x for lang, p in rates.items() for x in (F.lit(lang), F.lit(p))])[F.col("_lang")]
-    chosen = rows.filter(unit_hash("_id") < F.coalesce(rate, F.lit(0.0))).select("_lang", F.lower("_text").alias("_text"))
+    chosen = hashed.filter(unit_hash("_id", "_text") < F.coalesce(rate, F.lit(0.0))).groupBy("_lang", "_hash").agg(F.lower(F.first("_text")).alias("_text")).drop("_hash")
     index = {lang: k for k, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(index), BUCKETS), np.int64)
         scripts = np.zeros((len(index), len(SCRIPTS)), np.int64)
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", SLICE_BYTES):
                 words = LetterWords(texts)
                 lang = np.array([index[x] for x in part.column(0).to_pylist()], np.int64)
                 at = _inside(words)
@@ -253,7 +258,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", SLICE_BYTES):
                 found = model.predict(texts, penalty)
                 found = [x if letters else (UNDETERMINED, 0.0) for x, letters in zip(found, part.column(1).to_pylist(), strict=True)]
                 lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
@@ -275,7 +280,7 @@ def language_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", SLICE_BYTES):
                 words, label = model.spans(texts, penalty)
                 use = np.flatnonzero(label >= 0)
                 row, lab = words.row[use], label[use]
