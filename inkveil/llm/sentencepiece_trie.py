@@ -35,7 +35,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Characters of the words whose pieces a task remembers in each of two generations: when the younger is full it becomes the
 #: older one, and words used again move to the younger.
-MEMORY = 4_000_000
+MEMORY = 2_000_000
 
 #: Pairs of pieces that a task remembers.
 PAIRS = 800_000
