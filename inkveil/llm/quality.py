@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Words, slices, unit_hash
+from inkveil.llm.common import Words, bounded_sample, slices
 from inkveil.llm.substring_dedup import word_hashes
 
 #: Documents that the scorer is trained on, at most in expectation; chosen by hash of the id.
@@ -239,7 +239,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> QualityModel:
     """Label model over the votes of all rows of docs, scorer on a sample. An empty table gives a model that says 0.5.
 
-    The sample is of about fit_docs rows with a text, by hash of the id (all rows of a repeated id or none); whole texts count.
+    The sample is of fit_docs rows with a text at most, by hash of id and text; rows with equal ids and texts, null ids too, count once in it.
+    Whole texts count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +256,6 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k = counted["pattern"].to_numpy(np.int64)
     found = k[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     labels = fit_label_model(found, counted["n"].to_numpy(float))
-    rate = min(1.0, fit_docs / int(counted["n"].sum()))
-
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, "_text"):
@@ -268,7 +267,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([*raw, pa.array(soft)], ["grams", "bins", "soft"])
 
     # features of whole texts: as many numbers for each document whatever its length
-    chosen = rows.filter((unit_hash("_id") < rate) & F.col("_text").isNotNull())
+    chosen = bounded_sample(rows.filter("_text is not null"), fit_docs, "_id", "_text")
     sample = chosen.mapInArrow(examples, "grams binary, bins binary, soft double").toPandas().sort_values(["grams", "bins"], kind="stable")
     if not len(sample):
         return QualityModel(labels, np.zeros(BUCKETS), np.zeros(len(LABELLERS) * BINS), 0.0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Words, slices, unit_hash, write_table
+from inkveil.llm.common import Words, bounded_sample, slices, unit_hash, write_table
 
 #: Labelled documents of each class that the model is fitted on, at most in expectation; chosen by hash of the id.
 #: The lexicon's size is bounded by theirs: each term is in LEAST_DOCS of them or more.
@@ -186,7 +186,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     an id with contradictory labels counts as toxic.
 
     The labels are sampled before the join, to about fit_docs of each class: few enough to broadcast, so that no text but the
-    sample's moves. Without toxic or without clean documents the lexicon is empty, and all scores are the same.
+    sample's moves; of ids with many texts 2 fit_docs rows at most. Without toxic or without clean documents the lexicon is empty, and all scores are the same.
     """
     marks = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).filter("_id is not null and _toxic is not null")
     counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
@@ -194,7 +194,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", t
     # an id with both labels counts as toxic
     marks = marks.filter(unit_hash("_id") < rate).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text")).filter("_text is not null")
-    rows = write_table(rows.join(F.broadcast(marks), "_id"), "labelled")
+    # an id may have many texts
+    rows = write_table(bounded_sample(rows.join(F.broadcast(marks), "_id"), 2 * fit_docs, "_id", "_text"), "labelled")
     once = rows.groupBy(F.xxhash64("_text").alias("_h")).agg(F.min("_id").alias("_id")).select("_id")
     rows = write_table(rows.join(F.broadcast(once), "_id", "left_semi"), "labelled").select("_toxic", "_text")
     sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
