@@ -294,7 +294,8 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least
     """The passages of words a and b along a chain: first and past-last word in a, the same in b, equal words.
 
     The equal runs of the chain's segments join where the gap between them costs DROP at most; the ends are extended. Of
-    joined runs that are not equal enough, those that are long enough by themselves remain.
+    joined runs that are not equal enough, those that are long enough by themselves remain. Where none is found so, as in short passages with
+    changed words near their ends, the most equal stretch of least_words along the chain counts, if it is equal enough.
     """
     joined: list[list[tuple[int, int, int]]] = []
     equal: list[int] = []
@@ -324,7 +325,47 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least
             out.append(found)
         else:
             out += [(x, x + n, y, y + n, n) for x, y, n in parts if n >= least_words]
-    return out
+    return out or _best_stretch(a, b, chain, least_words, least_equal)
+
+
+def _best_stretch(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least_words: int, least_equal: float) -> list[tuple[int, int, int, int, int]]:
+    """The most equal stretch of least_words words in both texts along a chain and up to so many words before and after it, if it is equal enough."""
+    (sx, sy, _), (ex, ey, en) = chain[0], chain[-1]
+    back, ahead = min(least_words, sx, sy), min(least_words, len(a) - ex - en, len(b) - ey - en)
+    # the path's steps: words that it takes from both texts, and whether they are equal
+    same, dx, dy = [], [], []
+
+    def diagonal(x: int, y: int, n: int) -> None:
+        same.append(a[x : x + n] == b[y : y + n])
+        dx.append(np.ones(n, np.int64))
+        dy.append(np.ones(n, np.int64))
+
+    diagonal(sx - back, sy - back, back)
+    for k, (x, y, n) in enumerate(chain):
+        diagonal(x, y, n)
+        if k + 1 < len(chain):
+            gx, gy = chain[k + 1][0] - x - n, chain[k + 1][1] - y - n
+            if gx == gy:
+                diagonal(x + n, y + n, gx)
+            else:
+                size = max(gx, gy)
+                same.append(np.arange(size) < _gap(a[x + n : x + n + gx], b[y + n : y + n + gy])[0])
+                dx.append((np.arange(size) < gx).astype(np.int64))
+                dy.append((np.arange(size) < gy).astype(np.int64))
+    diagonal(ex + en, ey + en, ahead)
+    equal, x, y = (np.concatenate(([0], np.cumsum(np.concatenate(v)))) for v in (same, dx, dy))
+    if min(x[-1], y[-1]) < least_words:
+        return []
+    start = np.arange(len(x))
+    stop = np.maximum(np.searchsorted(x, x + least_words), np.searchsorted(y, y + least_words))
+    start, stop = start[stop < len(x)], stop[stop < len(x)]
+    part = (equal[stop] - equal[start]) / np.maximum(x[stop] - x[start], y[stop] - y[start])
+    k = int(part.argmax())
+    if part[k] < least_equal:
+        return []
+    i, j = start[k], stop[k]
+    x, y = x + sx - back, y + sy - back
+    return [(int(x[i]), int(x[j]), int(y[i]), int(y[j]), int(equal[j] - equal[i]))]
 
 
 def _gap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
