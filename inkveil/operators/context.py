@@ -13,43 +13,57 @@ from inkveil.registry import ADDRESS_ORD, COMPOUND_SURNAMES, ORG_ORD, PERSON_ORD
 HAN = "一-鿿"
 
 # Words before names. Parties need a colon, the others don't.
-PARTIES = "甲方 乙方 丙方 丁方 戊方 被上诉人 被申请人 上诉人 原告 被告 第三人".split()
+PARTIES = ("甲方", "乙方", "丙方", "丁方", "戊方", "被上诉人", "被申请人", "上诉人", "原告", "被告", "第三人")
 ROLES = (
-    "法定代表人 法人代表 法人 负责人 联系人 授权代表 签约代表 经办人 承办人 签字 签名 署名 姓名 受托人 委托人 代理人 当事人 开户名 户名 账户名 收款人 付款人 "
-    "借款人 出借人 保证人 抵押人 质权人 员工 劳动者 乙方代表 甲方代表 项目负责人 技术负责人 项目经理 设计师 工程师 顾问 证人 申请人 "
-    "产品负责人 业务负责人 商务负责人 财务负责人 内容负责人 运营负责人 客户负责人 客户经理 法务负责人 法务合规 艺人商务 舆情值班 "
-    "角色 人员 代表 主持人 主播 艺人 代言人 嘉宾 对接人 接口人 资源方"
-).split()
+    "法定代表人", "法人代表", "法人", "负责人", "联系人", "授权代表", "签约代表", "经办人", "承办人", "签字", "签名", "署名", "姓名", "受托人",
+    "委托人", "代理人", "当事人", "开户名", "户名", "账户名", "收款人", "付款人", "借款人", "出借人", "保证人", "抵押人", "质权人", "员工", "劳动者",
+    "乙方代表", "甲方代表", "项目负责人", "技术负责人", "项目经理", "设计师", "工程师", "顾问", "证人", "申请人", "产品负责人", "业务负责人",
+    "商务负责人", "财务负责人", "内容负责人", "运营负责人", "客户负责人", "客户经理", "法务负责人", "法务合规", "艺人商务", "舆情值班", "角色",
+    "人员", "代表", "主持人", "主播", "艺人", "代言人", "嘉宾", "对接人", "接口人", "资源方",
+)
 NAME_STOPWORDS = (
-    "商务 商业 权利 义务 解除 终止 权限 确认 签署 签订 生效 失效 变更 转让 授权 委托 代理 保证 抵押 质押 违约 赔偿 损失 费用 价款 金额 付款 收款 结算 "
-    "开始 结束 截止 起算 计算 通知 送达 披露 保密 书面 口头 电子 网络 线上 线下 现场 当面 甲方 乙方 丙方 双方 各方 对方 第三方 本人 "
-    "公司 企业 单位 部门 小组 团队 中心 合同 协议 附件 附录 清单 确认单 变更单 双确认 方式签署 商业合作 合法权益 商业秘密 个人信息 "
-    "不可抗力 适用法律 争议解决 仲裁条款 艺人商务 舆情值班 法务合规 中国大陆 中华人民共和国"
-).split()
+    "商务", "商业", "权利", "义务", "解除", "终止", "权限", "确认", "签署", "签订", "生效", "失效", "变更", "转让", "授权", "委托", "代理", "保证",
+    "抵押", "质押", "违约", "赔偿", "损失", "费用", "价款", "金额", "付款", "收款", "结算", "开始", "结束", "截止", "起算", "计算", "通知", "送达",
+    "披露", "保密", "书面", "口头", "电子", "网络", "线上", "线下", "现场", "当面", "甲方", "乙方", "丙方", "双方", "各方", "对方", "第三方", "本人",
+    "公司", "企业", "单位", "部门", "小组", "团队", "中心", "合同", "协议", "附件", "附录", "清单", "确认单", "变更单", "双确认", "方式签署",
+    "商业合作", "合法权益", "商业秘密", "个人信息", "不可抗力", "适用法律", "争议解决", "仲裁条款", "艺人商务", "舆情值班", "法务合规", "中国大陆",
+    "中华人民共和国",
+)
 ROLE_WORDS = (
-    "经理 总监 主管 主任 秘书 助理 专员 代表 工程师 设计师 顾问 律师 会计 出纳 监理 施工 项目 负责 联系 经办 承办 签字 签名 署名 姓名 当事 受托 委托 代理 保证 "
-    "抵押 质权 员工 劳动 证人 申请 甲方 乙方 丙方 双方 公司 单位 部门 小组 团队 中心 科室 应于 应在 应当 应向 应为 已将 将于 并于 需于 应自 应就"
-).split()
-NAME_TAILS = "先生 女士 小姐 同志 老师 教授 医生 律师 的 等 与 和 及".split()
+    "经理", "总监", "主管", "主任", "秘书", "助理", "专员", "代表", "工程师", "设计师", "顾问", "律师", "会计", "出纳", "监理", "施工", "项目",
+    "负责", "联系", "经办", "承办", "签字", "签名", "署名", "姓名", "当事", "受托", "委托", "代理", "保证", "抵押", "质权", "员工", "劳动", "证人",
+    "申请", "甲方", "乙方", "丙方", "双方", "公司", "单位", "部门", "小组", "团队", "中心", "科室", "应于", "应在", "应当", "应向", "应为", "已将",
+    "将于", "并于", "需于", "应自", "应就",
+)
+NAME_TAILS = ("先生", "女士", "小姐", "同志", "老师", "教授", "医生", "律师", "的", "等", "与", "和", "及")
 NAME_CUES = (
-    "身份证 证件号 联系电话 手机号 电话 邮箱 住址 联系方式 先生 女士 工号 员工 护照 项目 产品 商务 内容 法务 财务 运营 客户 艺人 代言 对接 联系 渠道 企业微信 舆情值班"
-).split()
-ID_CUES = "身份证 证件号 手机号 联系电话 住址 联系方式".split()
+    "身份证", "证件号", "联系电话", "手机号", "电话", "邮箱", "住址", "联系方式", "先生", "女士", "工号", "员工", "护照", "项目", "产品", "商务",
+    "内容", "法务", "财务", "运营", "客户", "艺人", "代言", "对接", "联系", "渠道", "企业微信", "舆情值班",
+)
+ID_CUES = ("身份证", "证件号", "手机号", "联系电话", "住址", "联系方式")
 ACTIONS = (
-    "向 与 和 及 于 将 已 曾 应当 支付 收到 收取 转账 借款 签订 签署 提出 主张 表示 认为 要求 同意 拒绝 承认 否认 陈述 辩称 诉称 提交 提供 出具 负责 委托 购买 "
-    "交付 返还 归还 承担 赔偿 随后 先生 女士 律师"
-).split()
-LEADS = "向 与 和 及 由 经 通知 告知 要求 委托".split()
+    "向", "与", "和", "及", "于", "将", "已", "曾", "应当", "支付", "收到", "收取", "转账", "借款", "签订", "签署", "提出", "主张", "表示", "认为",
+    "要求", "同意", "拒绝", "承认", "否认", "陈述", "辩称", "诉称", "提交", "提供", "出具", "负责", "委托", "购买", "交付", "返还", "归还", "承担",
+    "赔偿", "随后", "先生", "女士", "律师",
+)
+LEADS = ("向", "与", "和", "及", "由", "经", "通知", "告知", "要求", "委托")
 ORG_STOPWORDS = (
-    "甲方 乙方 丙方 丁方 戊方 双方 各方 单方 对方 第三方 本公司 贵公司 该公司 子公司 母公司 总公司 借款人 出租人 承租人 出卖人 买受人 发包人 承包人 委托人 受托人 "
-    "保证人 债权人 债务人 甲方公司 乙方公司 开户银行 收款银行 付款银行 开户行 银行账号 仲裁委员会 人民法院"
-).split()
+    "甲方", "乙方", "丙方", "丁方", "戊方", "双方", "各方", "单方", "对方", "第三方", "本公司", "贵公司", "该公司", "子公司", "母公司", "总公司",
+    "借款人", "出租人", "承租人", "出卖人", "买受人", "发包人", "承包人", "委托人", "受托人", "保证人", "债权人", "债务人", "甲方公司", "乙方公司",
+    "开户银行", "收款银行", "付款银行", "开户行", "银行账号", "仲裁委员会", "人民法院",
+)
 
 # Words before addresses, fields that end one, parts of one.
-ADDRESS_LABELS = "通讯地址 通信地址 联系地址 详细地址 送达地址 注册地址 住所地 住所 住址 地址 经营场所 所在地 注册地 办公地址 邮寄地址".split()
+ADDRESS_LABELS = (
+    "通讯地址", "通信地址", "联系地址", "详细地址", "送达地址", "注册地址", "住所地", "住所", "住址", "地址", "经营场所", "所在地", "注册地",
+    "办公地址", "邮寄地址",
+)
 ADDRESS_STOPS = "，。；、,;；\n\t（）()【】[]：:"
-ADDRESS_FIELDS = "邮编 邮政编码 电话 手机 邮箱 电子邮箱 传真 联系人 开户 账号 帐号 税号 网址 法定代表人".split()
-ADDRESS_PARTS = "省 自治区 市 区 县 旗 镇 乡 村 路 街 道 巷 弄 号 栋 幢 楼 单元 室 层 号楼 大院 园区".split()
+ADDRESS_FIELDS = ("邮编", "邮政编码", "电话", "手机", "邮箱", "电子邮箱", "传真", "联系人", "开户", "账号", "帐号", "税号", "网址", "法定代表人")
+ADDRESS_PARTS = (
+    "省", "自治区", "市", "区", "县", "旗", "镇", "乡", "村", "路", "街", "道", "巷", "弄", "号", "栋", "幢", "楼", "单元", "室", "层", "号楼",
+    "大院", "园区",
+)
 BARE_ADDRESS = (
     rf"[{HAN}]{{2,7}}(?:省|自治区)[{HAN}]{{2,10}}(?:市|自治州|地区|盟)[{HAN}]{{2,20}}?(?:[{HAN}]{{1,12}}(?:区|县|市|旗))?"
     rf"[{HAN}0-9]{{2,30}}?(?:路|街|道|巷|弄|大道|园区|工业区)[{HAN}0-9\-]{{0,20}}?(?:号|栋|幢|号楼|室|层)"
@@ -57,12 +71,16 @@ BARE_ADDRESS = (
 
 # Endings of organisations' names, what may not be in one, what is cut off before one.
 ORG_STRONG = (
-    "股份有限公司 有限责任公司 有限公司 集团有限公司 （有限合伙） (有限合伙) 有限合伙 股份合作公司 集团公司 总公司 分公司 子公司 律师事务所 会计师事务所 税务师事务所 研究院 设计院 勘察院 "
-    "大学 学院 医院 银行 信用社 合作社 基金会 商会 行业协会 支行 分行 营业部"
-).split()
-ORG_WEAK = "事务所 中心 研究院 实验室 集团 协会 学会 管委会 办事处 工作室".split()
+    "股份有限公司", "有限责任公司", "有限公司", "集团有限公司", "（有限合伙）", "(有限合伙)", "有限合伙", "股份合作公司", "集团公司", "总公司",
+    "分公司", "子公司", "律师事务所", "会计师事务所", "税务师事务所", "研究院", "设计院", "勘察院", "大学", "学院", "医院", "银行", "信用社",
+    "合作社", "基金会", "商会", "行业协会", "支行", "分行", "营业部",
+)
+ORG_WEAK = ("事务所", "中心", "研究院", "实验室", "集团", "协会", "学会", "管委会", "办事处", "工作室")
 ORG_BREAKS = "由与和或给被把以并为在及至向从对等第是:,;"
-ORG_LEADS = "本人 该公司 该司 该行 该店 该厂 该社 该院 该中心 其本 我方 你方 对方 本行 本院 本店 本厂 本社 本中心 号院 号楼 号室 号层 号店 号厂 号区".split()
+ORG_LEADS = (
+    "本人", "该公司", "该司", "该行", "该店", "该厂", "该社", "该院", "该中心", "其本", "我方", "你方", "对方", "本行", "本院", "本店", "本厂",
+    "本社", "本中心", "号院", "号楼", "号室", "号层", "号店", "号厂", "号区",
+)
 ORG_PARTIES = ("甲方", "乙方", "丙方", "供方", "需方", "卖方", "买方", "签约", "受托方", "委托方")
 
 #: Characters before an ending that are searched first for the beginning of an organisation's name; a name that fills them is

@@ -10,11 +10,13 @@ from inkveil.functions.spans import one_of
 
 # Regions before organisations' names.
 REGIONS = (
-    "中华人民共和国 中国 中华 全国 北京 上海 天津 重庆 广东 广西 深圳 广州 珠海 东莞 佛山 中山 惠州 江苏 南京 苏州 无锡 常州 南通 徐州 扬州 昆山 "
-    "浙江 杭州 宁波 温州 嘉兴 绍兴 金华 台州 义乌 山东 济南 青岛 烟台 潍坊 临沂 福建 福州 厦门 泉州 漳州 湖南 长沙 湖北 武汉 河南 郑州 洛阳 "
-    "河北 石家庄 唐山 四川 成都 绵阳 陕西 西安 安徽 合肥 江西 南昌 山西 太原 辽宁 沈阳 大连 吉林 长春 黑龙江 哈尔滨 云南 昆明 贵州 贵阳 南宁 "
-    "海南 海口 甘肃 兰州 青海 西宁 宁夏 银川 新疆 乌鲁木齐 内蒙古 呼和浩特 西藏 拉萨"
-).split()
+    "中华人民共和国", "中国", "中华", "全国", "北京", "上海", "天津", "重庆", "广东", "广西", "深圳", "广州", "珠海", "东莞", "佛山", "中山", "惠州",
+    "江苏", "南京", "苏州", "无锡", "常州", "南通", "徐州", "扬州", "昆山", "浙江", "杭州", "宁波", "温州", "嘉兴", "绍兴", "金华", "台州", "义乌",
+    "山东", "济南", "青岛", "烟台", "潍坊", "临沂", "福建", "福州", "厦门", "泉州", "漳州", "湖南", "长沙", "湖北", "武汉", "河南", "郑州", "洛阳",
+    "河北", "石家庄", "唐山", "四川", "成都", "绵阳", "陕西", "西安", "安徽", "合肥", "江西", "南昌", "山西", "太原", "辽宁", "沈阳", "大连", "吉林",
+    "长春", "黑龙江", "哈尔滨", "云南", "昆明", "贵州", "贵阳", "南宁", "海南", "海口", "甘肃", "兰州", "青海", "西宁", "宁夏", "银川", "新疆",
+    "乌鲁木齐", "内蒙古", "呼和浩特", "西藏", "拉萨",
+)
 
 #: Characters that a core has at least, and times that a name is stripped.
 CORE_CHARS, ROUNDS = 3, 3

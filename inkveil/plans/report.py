@@ -12,7 +12,7 @@ from inkveil.registry import Settings
 
 # Names of severities, the columns of the CSV report.
 SEVERITY_LABELS = {"high": "高", "medium": "中", "low": "低"}
-CSV_COLUMNS = "序号 类型 类型名称 归类 严重度 原文值 脱敏预览 置信度 出现次数 位置 页码 上下文 判定依据".split()
+CSV_COLUMNS = ("序号", "类型", "类型名称", "归类", "严重度", "原文值", "脱敏预览", "置信度", "出现次数", "位置", "页码", "上下文", "判定依据")
 
 
 def candidate_table(found: DataFrame) -> DataFrame:

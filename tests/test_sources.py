@@ -83,3 +83,43 @@ def test_views_cover_every_order(spark):
     for view in (CONTRACTS, VALUES):
         got = spark.sql(view.replace("FROM orders", "FROM {orders}"), orders=orders).select("doc_id").collect()
         assert sorted(r.doc_id for r in got) == list(range(1, 43))
+
+
+def test_rule_tables():
+    from inkveil.sources import rules
+
+    table = """
+| # | id | c | s | label | m | p | on | re |
+|---|:--|--|--|--|--|--|--|--|
+| 1 | NEW | 其他 | 高 | 一二三四五六七八九十一二三四五六 | x | keep_head=1；keep_tail=0; mask=none; other; =3 | 是 | a\\|b\\d |
+|2|URL||medium|u|x|replacement=[x]|否|
+| 3 | LEFT | x | 低 | no pattern | x | | 是 |
+| 4 | short | x |
+|  | EMPTY | x | 低 | l | m | | 是 | z |
+```
+| 5 | DATE | x | 高 | fenced | m | | 否 |
+```
+| 6 | DATE | x | ? | d | m | keep_tail=4;mask=passport | ✓ |
+"""
+    rows = {r.type_id: r for r in rules.table_rows(table)}
+    assert rows.keys() == {"NEW", "URL", "LEFT", "DATE"}
+    assert rows["NEW"] == rules.RuleRow("1", "NEW", "其他", "high", "一二三四五六七八九十一二三四", {"keep_head": 1, "keep_tail": 0}, True, "a|b\\d")
+    st = rules.with_rule_table(Settings(), table)
+    types, before = st.type_map(), Settings().type_map()
+    assert [(r.type_id, r.pattern, r.conf_ok, r.boost) for r in st.extra_rules] == [("NEW", "a|b\\d", 0.7, 0.1)] and "LEFT" not in types
+    assert (types["URL"].severity, types["URL"].enabled, types["URL"].replacement, types["URL"].mask) == ("medium", False, "[x]", None)
+    assert (types["DATE"].severity, types["DATE"].keep_tail, types["DATE"].mask, types["DATE"].enabled) == (before["DATE"].severity, 4, "passport", True)
+    assert rules.cells_of("|a|b \\| c||") == ["a", "b | c"] and rules.cells_of("| a || b |") == ["a", "", "b"]
+
+
+def test_settings_in_json():
+    from inkveil.sources.rules import settings_from_json
+
+    base = Settings(min_confidence=0.3, only=frozenset({"URL"}), allowlist=frozenset({"x"}))
+    same = settings_from_json("{}", base)
+    assert (same.min_confidence, same.only, same.allowlist) == (0.3, {"URL"}, {"x"})
+    st = settings_from_json('{"min_confidence": 1, "only": [], "disabled": ["DATE"], "custom_rules": [{"type_id": "A", "pattern": "a", "priority": 7, "keep_head": "1", "keywords": ["k"]}, {"type_id": "URL", "pattern": "u"}]}')
+    assert st.min_confidence == 1.0 and st.only is None and st.disabled == {"DATE"} and len(st.extra_rules) == 2
+    meta, rule = st.type_map()["A"], st.extra_rules[0]
+    assert (meta.label, meta.category, meta.severity, meta.keep_head, meta.keep_tail, meta.priority) == ("A", "自定义", "medium", 1, 2, 7)
+    assert (rule.conf_ok, rule.conf_weak, rule.keywords, rule.boost, rule.require_keyword) == (0.7, 0.4, ("k",), 0.15, False)
