@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.arrays import between, cut, let
 from inkveil.functions.spans import matches
 from inkveil.operators.entities import PLACEHOLDER
+from inkveil.sources.stored import stored
 
 
 class SelectionError(ValueError):
@@ -63,7 +64,11 @@ def mapping_items(found: DataFrame) -> DataFrame:
 
 
 def select_items(items: DataFrame, selection: DataFrame, strict: bool = True) -> DataFrame:
-    """Items whose (doc_id, type_id, start, end) a row of selection has. strict: raise SelectionError for one that none has."""
+    """Items whose (doc_id, type_id, start, end) a row of selection has. strict: raise SelectionError for one that none has.
+
+    The check needs the items before the result: strict stores them, so that what they come from runs once.
+    """
+    items = stored(items, "items") if strict else items
     keys = ["doc_id", "type_id", "start", "end"]
     chosen = selection.select(*keys).distinct()
     if strict and (lost := chosen.join(items, keys, "left_anti").limit(1).collect()):

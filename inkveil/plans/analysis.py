@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from inkveil.operators.detect import detect
 from inkveil.operators.resolve import candidates, resolve
 from inkveil.registry import Settings
+from inkveil.sources.stored import shared_path, stored
 
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. Off local mode that must be set, as executors don't share local folders."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(found: DataFrame, tag: str = "found") -> DataFrame:
-    """found as a table in the shared folder, read back: for an analysis that several results are made of."""
-    path = shared_path(found.sparkSession, tag)
-    found.write.parquet(path)
-    return found.sparkSession.read.schema(found.schema).parquet(path)
+__all__ = ["analyse", "shared_path", "stored"]
 
 
 def analyse(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
