@@ -36,11 +36,11 @@ def test_prefixes_share_a_key():
     sets = [near_dedup.shingles(t) for t in texts]
     _, every = near_dedup.shingle_hashes(texts)
     for frequent in (np.zeros(0, np.uint64), np.unique(every)[::3]):
-        row, m, i, cap, keys = near_dedup.prefixes(texts, frequent, np.arange(1, len(frequent) + 1))
+        row, m, cap, often, keys = near_dedup.prefixes(texts, frequent, np.arange(1, len(frequent) + 1))
         own = {r: {} for r in range(len(texts))}
-        for r, n, at, c, k in zip(row, m, i, cap, keys, strict=True):
-            assert n == len(sets[r])
-            own[r][k] = (at, c)
+        for r, n, c, o, k in zip(row, m, cap, often, keys, strict=True):
+            assert n == len(sets[r]) and o == (np.uint64(int(k) % 2**64) in frequent)
+            own[r][k] = (len(own[r]), c)
         near = 0
         for a in range(len(texts)):
             for b in range(a):
