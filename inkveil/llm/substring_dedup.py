@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,12 @@ LEAST_WORDS, LEAST_EQUAL = 50, 0.8
 #: Words between two seeds of a chain at most, and the cost of each.
 LARGEST_GAP, GAP_COST = 64, 0.05
 
+#: Bytes of a word up to which it is hashed together with others.
+LONG_WORD = 64
+
+#: Masks of the first bytes of eight, by their number.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 #: Words of a tile.
 TILE = 256
 
@@ -57,14 +64,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word, from its bytes eight at a time; of words over LONG_WORD bytes by xxHash."""
     if not len(words.start):
         return np.zeros(0, np.uint64)
     size = words.end - words.start
-    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    byte = words.data[np.repeat(words.start, size) + offset].astype(np.uint64)
-    each = _mix(byte << np.uint64(40) | offset.astype(np.uint64))
-    return _mix(np.add.reduceat(each, np.cumsum(size) - size))
+    padded = np.concatenate((words.data, np.zeros(7, np.uint8)))
+    # the eight bytes from each byte on; of the last ones of a word those after it count as zero
+    eights = np.ndarray(len(words.data), np.dtype("<u8"), padded, strides=(1,))
+    out = _mix((eights[words.start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(56)))
+    for at in range(8, LONG_WORD, 8):
+        rest = np.flatnonzero(size > at)
+        if not len(rest):
+            break
+        more = eights[words.start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
+        out[rest] = _mix(out[rest] * np.uint64(0x100000001B3) + more)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(words.data[words.start[k] : words.end[k]].tobytes())
+    return out
 
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
