@@ -85,3 +85,18 @@ SELECT doc_id, k, j, lead_text, val_text, lead_text || val_text || tail_text AS
     CASE k % 3 WHEN 0 THEN '400-800-8888' WHEN 1 THEN '800 800 8888' ELSE {_MOBILE} END AS hotline,
     'ＡＢ－' || CAST(k AS STRING) || ' c_(d)（e）—f' AS wide
 FROM form"""
+
+
+_WIDE = "translate({}, '0123456789', '０１２３４５６７８９')"
+_ADDRESS_OF = "CASE WHEN {0} % 5 = 0 THEN 'u' || date_text || '@host' || CAST({0} % 7 AS STRING) || '.example.com' ELSE 'User.' || CAST({0} AS STRING) || '@mail.example.org' END"
+
+#: doc_id, k and text: values in full-width digits, with characters of no width inside, within longer numbers and within addresses; blank lines and
+#: several kinds of line ends. Neither this view nor its SQL says where they stand: both search.
+MESSY = f"""
+WITH c AS ({CONTRACTS})
+SELECT doc_id, k, '联系人：' || a || '\u3000' || '电话：' || CASE WHEN k % 2 = 0 THEN {_WIDE.format("mobile")} ELSE mobile END || chr(13) || chr(10) || chr(13) || chr(10)
+    || '备用 ' || mobile || CASE WHEN k % 3 = 0 THEN '7' WHEN k % 3 = 1 THEN '、13912345678' ELSE '' END || chr(10) || '   ' || chr(10)
+    || '证件 ' || CASE WHEN k % 4 = 0 THEN substr(id18, 1, 7) || '\u200b' || substr(id18, 8) WHEN k % 4 = 1 THEN {_WIDE.format("id18")} WHEN k % 4 = 2 THEN id18 || '0' ELSE id18 END || chr(13)
+    || '签于' || date_text || '，自 ' || CAST(1990 + k % 40 AS STRING) || ' 年 ' || CAST(k % 12 + 1 AS STRING) || ' 月 ' || CAST(k % 28 + 1 AS STRING) || ' 日起' || chr(10) || chr(10)
+    || '邮箱 ' || {_ADDRESS_OF.format("k")} || '，另 ' || {_ADDRESS_OF.format("o")} || '。' || CASE WHEN k % 6 = 0 THEN '\ufeff' || mobile ELSE '' END AS text
+FROM c"""

@@ -6,7 +6,7 @@ patterns without look-around: by maximal runs of the characters that a look-arou
 
 from __future__ import annotations
 
-from inkveil.fixtures import CONTRACTS, FORMS, VALUES
+from inkveil.fixtures import CONTRACTS, FORMS, MESSY, VALUES
 
 _NORM_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c != 0xFF0D) + "‐‑‒–—―−－ー"
 _NORM_TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if c != 0xFF0D) + "-" * 9
@@ -139,7 +139,42 @@ _PAGES = _LAID + """,
     joined AS (SELECT *, CASE WHEN n = 1 THEN '' WHEN line <> line_before THEN chr(10) WHEN regexp_matches(w_before, '[\\x{4e00}-\\x{9fff}]$') OR regexp_matches(w, '^[\\x{4e00}-\\x{9fff}]') THEN '' ELSE ' ' END AS lead FROM led)"""
 _EMAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{2,}[.][A-Za-z]{2,24}"
 
+_DATE = "(?:19|20)[0-9]{2}[ ]?[年./-][ ]?[0-9]{1,2}[ ]?[月./-][ ]?[0-9]{1,2}[ ]?日?"
+_ID_FORM = "[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]"
+_ZERO_WIDTH = "[\\x{200b}-\\x{200f}\\x{feff}\\x{ad}\\x{2060}]"
+
+
+def _found(texts: str) -> str:
+    """CTEs that end in `found` (key, type_id, s, m): values in texts (key, raw), by their places in the normalised text, overlaps settled.
+
+    Numbers are maximal runs of digits, so that no look-around is needed; an address wins over what it holds.
+    """
+    shapes = {"digits": "[0-9]+(?:[Xx][0-9]*)?", "mails": _EMAIL, "dates": _DATE}
+    parts = [f"{name} AS (SELECT key, norm, regexp_extract_all(norm, '{shape}') AS ms, string_split_regex(norm, '{shape}') AS gs FROM t)" for name, shape in shapes.items()]
+    places = [
+        f"""{name}_at AS (SELECT key, m, (sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s
+            FROM (SELECT key, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM {name}) x WINDOW w AS (PARTITION BY key ORDER BY i))"""
+        for name in shapes
+    ]
+    ok = "substr('10X98765432', ({}) % 11 + 1, 1) = upper(substr(m, 18, 1))".format(" + ".join(f"try_cast(substr(m, {i}, 1) AS INT) * {w}" for i, w in enumerate([7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2], 1)))
+    few = "len(list_distinct(string_split(regexp_replace(m, '[^0-9]', '', 'g'), ''))) <= 2"
+    return f"""WITH src AS ({texts}), t AS (SELECT key, {_norm("raw")} AS norm FROM src), {", ".join(parts)}, {", ".join(places)},
+    every AS (SELECT key, 'EMAIL' AS type_id, s, m FROM mails_at UNION ALL SELECT key, 'DATE', s, m FROM dates_at
+        UNION ALL SELECT key, 'PHONE_MOBILE', s, m FROM digits_at WHERE regexp_full_match(m, '1[3-9][0-9]{{9}}')
+        UNION ALL SELECT key, 'ID_CARD', s, m FROM digits_at WHERE regexp_full_match(m, '{_ID_FORM}') AND {ok}),
+    clean AS (SELECT * FROM every WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) < 6 OR NOT {few}),
+    found AS (SELECT * FROM clean c WHERE type_id = 'EMAIL' OR NOT EXISTS (SELECT 1 FROM mails_at x WHERE x.key = c.key AND x.s < c.s + length(c.m) AND x.s + length(x.m) > c.s))"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    # places in the raw text: of each character that has a width
+    "messy_values": _found(f"SELECT doc_id AS key, text AS raw FROM ({MESSY}) x") + f""",
+        wide AS (SELECT key, raw, list_filter(range(length(raw)), lambda i: NOT regexp_matches(substr(raw, i + 1, 1), '{_ZERO_WIDTH}')) AS at_ FROM src),
+        raw_at AS (SELECT f.key, type_id, raw, at_[s + 1] AS a, at_[s + length(m)] + 1 AS b FROM found f JOIN wide USING (key))
+        SELECT key AS doc_id, type_id, a AS span_start, b AS span_end, substr(raw, a + 1, b - a) AS value FROM raw_at""",
+    "messy_lines": _found(f"""SELECT doc_id || '/' || i AS key, line AS raw FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+            SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r]') AS ls FROM ({MESSY}) x) y) z""")
+    + " SELECT type_id, '第 ' || split_part(key, '/', 2) || ' 行' AS location, count(*) AS n, sum(length(m))::BIGINT AS chars FROM found GROUP BY ALL",
     "stream_files": f"SELECT m AS value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM documents) x GROUP BY m",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, count(*) FILTER (regexp_matches(props, '[0-9]{3}')) AS hits FROM events GROUP BY ALL",
     # a day is given out if it ended two days or more before the last event

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.fixtures import CONTRACTS, VALUES
+from inkveil.fixtures import CONTRACTS, MESSY, VALUES
 from inkveil.functions import boxes, checks, masks, text
 from inkveil.functions.arrays import let
 from inkveil.functions.spans import bound, rule_spans
@@ -446,6 +446,28 @@ def csv_report(spark, sf_dir):
     return out.select("doc_id", F.col("类型").alias("type_id"), F.col("位置").alias("location"), F.col("上下文").alias("context"), F.col("严重度").alias("severity"), (F.col("判定依据") != "").alias("first"))
 
 
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: values in odd forms, between odd line ends."""
+    return spark.sql(MESSY.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")).select("doc_id", "text")
+
+
+_MESSY_TYPES = ("PHONE_MOBILE", "ID_CARD", "DATE", "EMAIL")
+
+
+@query
+def messy_values(spark, sf_dir):
+    """Values that remain after overlaps, where they stand in the raw text; the SQL searches the same text."""
+    return _kept(resolve.resolve(detect.detect(messy(spark, sf_dir), only(*_MESSY_TYPES)), only(*_MESSY_TYPES)))
+
+
+@query
+def messy_lines(spark, sf_dir):
+    """The same by line, counted over all documents, with blank lines and several kinds of line ends."""
+    rows = messy(spark, sf_dir)
+    out = report.csv_report(analyse(as_read(rows), only(*_MESSY_TYPES)), report.block_offsets(blocks_from_documents(rows)))
+    return out.groupBy(F.col("类型").alias("type_id"), F.col("位置").alias("location")).agg(F.count("*").alias("n"), F.sum(F.length(text.normalize(F.col("原文值")))).alias("chars"))
+
+
 @query
 def csv_lines(spark, sf_dir):
     """Lines of the CSV report for e-mail addresses of whole documents, with blank lines between their lines."""
