@@ -42,16 +42,16 @@ def exact_dedup(
     best = {"smallest": F.min, "largest": F.max}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.monotonically_increasing_id().alias("_row")).withColumn("_hash", F.xxhash64("_text"))
 
     counts = rows.groupBy("_hash").agg(F.count("*").alias("_n"))
     total = docs.count()
     hot = counts.filter(F.col("_n") > max(8, total // HOT)).select("_hash", "_n")
     salted = rows.join(F.broadcast(hot), "_hash", "left").withColumn("_prefix", F.substring("_text", 1, PREFIX))
-    # a hot text's rows are dealt over so many salts that each holds about 1/HOT of all rows
+    # a hot text's rows are dealt over so many salts that each holds about 1/HOT of all rows; by row, as ids may be null or repeated
     parts = F.ceil(F.col("_n") / F.lit(max(8, total // HOT)))
     salted = salted.withColumn(
-        "_salt", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), parts)).cast("long")
+        "_salt", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), parts)).cast("long")
     )
     placed = salted.repartitionByRange("_prefix", "_hash", "_salt")
     same = Window.partitionBy("_prefix", "_hash", "_salt", "_text")

@@ -27,6 +27,9 @@ HALVINGS_A_PASS = 5
 #: Tokens of a block, as a target.
 BLOCK_TOKENS = 50_000
 
+#: Documents of a block, about, where they have fewer tokens than a block.
+BLOCK_DOCUMENTS = 50_000
+
 
 def token_count(text: Column) -> Column:
     """Words between ASCII spaces; 0 for null."""
@@ -114,7 +117,7 @@ def mixture(
         F.col(id_col).alias("_id"), F.coalesce(known, F.lit("null")).alias("_source"), token_count(F.col(text_col)).alias("_tokens")
     )
     rows = write_table(rows, "tokens")
-    sources = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0")
+    sources = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("documents")).filter("tokens > 0")
     sources = write_table(sources.withColumnRenamed("_source", "source"), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     wanted = None if cover else budget or total
@@ -127,7 +130,7 @@ def mixture(
     quota = F.ceil(weight * F.lit(tokens_wanted) - 1e-6).cast("long") if cover else F.floor(weight * F.lit(tokens_wanted) + 1e-6).cast("long")
     plan = sources.select(
         F.col("source").alias("_source"), weight.alias("weight"), (quota / F.col("tokens")).cast("long").alias("_epochs"),
-        (quota % F.col("tokens")).alias("_rest"), F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("long").alias("_blocks"),
+        (quota % F.col("tokens")).alias("_rest"), F.ceil(F.greatest(F.col("tokens") / F.lit(block_tokens), F.col("documents") / F.lit(BLOCK_DOCUMENTS))).cast("long").alias("_blocks"),
     )
     plan = write_table(plan, "mixture")
 

@@ -139,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE rows_ AS (
             SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS s,
                    coalesce(length(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS tokens FROM documents),
-        sources AS (SELECT s, sum(tokens)::BIGINT AS tokens FROM rows_ GROUP BY s HAVING sum(tokens) > 0),
+        sources AS (SELECT s, sum(tokens)::BIGINT AS tokens, count(*) AS documents FROM rows_ GROUP BY s HAVING sum(tokens) > 0),
         shares AS (SELECT list(tokens / total::DOUBLE) AS p, total FROM sources, (SELECT sum(tokens)::BIGINT AS total FROM sources) GROUP BY total),
         halving(k, lo, hi) AS (
             SELECT 0, 0::BIGINT, 1048576::BIGINT
@@ -151,9 +151,9 @@ ORACLE_SQL: dict[str, str] = {
                     FROM (SELECT k, lo, hi, (lo + hi) // 2 AS mid FROM halving WHERE hi - lo > 1) h, shares))),
         whole AS (SELECT list_sum(list_transform(p, lambda x: -x * ln(x))) >= 0.98 * ln(len(p)) - 1e-12 AS met FROM shares),
         best AS (SELECT CASE WHEN (SELECT met FROM whole) THEN 1.0::DOUBLE ELSE max(lo) / 1048576.0::DOUBLE END AS alpha, (SELECT total FROM shares) AS total FROM halving),
-        weights AS (SELECT s, tokens, alpha, total, pow(tokens / total::DOUBLE, alpha) / sum(pow(tokens / total::DOUBLE, alpha)) OVER () AS weight FROM sources, best),
+        weights AS (SELECT s, tokens, documents, alpha, total, pow(tokens / total::DOUBLE, alpha) / sum(pow(tokens / total::DOUBLE, alpha)) OVER () AS weight FROM sources, best),
         plan AS (SELECT s, weight, floor(weight * total + 1e-6)::BIGINT // tokens AS epochs, floor(weight * total + 1e-6)::BIGINT % tokens AS rest,
-                        ceil(tokens / 50000.0)::BIGINT AS blocks FROM weights),
+                        ceil(greatest(tokens, documents) / 50000.0)::BIGINT AS blocks FROM weights),
         dealt AS (SELECT r.doc_id, r.source, r.s, r.tokens, p.weight, p.epochs, p.rest, md5('0/' || r.s || '/' || r.doc_id) AS name,
                          ('0x' || substr(md5('0/' || r.s || '/' || r.doc_id), 1, 8))::BIGINT % p.blocks AS block
                   FROM rows_ r LEFT JOIN plan p USING (s)),

@@ -58,6 +58,13 @@ def test_exact(spark, keep):
     assert exact_dedup.exact_dedup(docs(spark, []), keep=keep).count() == 0
 
 
+def test_hot_texts_of_repeated_ids_are_dealt_out(spark):
+    """A text that a third of the rows have, all with one id or none: its rows go to many salts, and results are as for one group."""
+    rows = [(None if k % 2 else 7, "hot") for k in range(400)] + [(1000 + k, f"t{k}") for k in range(800)]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).filter("text_sha256 = sha2('hot', 256)").collect()
+    assert len(got) == 400 and {(r.keep_id, r.group_size, r.kept) for r in got} == {(7, 400, True), (7, 400, False)}
+
+
 def test_masks_cover_every_pair_of_bits():
     masks = simhash.table_masks()
     for a, b in itertools.combinations(range(64), 2):
