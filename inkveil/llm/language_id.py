@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,23 +257,29 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     null or repeated; rows are judged one by one. An empty table gives an empty result. Other columns are not read.
     """
 
+    # what is carried through: the id, or all columns, the text among them, which then is sent once
+    carried = docs.columns if keep_columns else [id_col]
+    names = [f"_{k}" for k in range(len(carried))]
+    letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("_letters")
+    text = [] if keep_columns else [F.lower(F.col(text_col)).alias("_text")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carried, names, strict=True)], letters, *text)
+    of_text = names[carried.index(text_col)] if keep_columns else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "_text", SLICE_BYTES):
+            for part, texts in slices(batch, of_text, SLICE_BYTES):
+                if keep_columns:
+                    lower = pc.utf8_lower(part.column(names.index(of_text))).cast(pa.binary())
+                    texts = [x or b"" for x in lower.to_pylist()]
                 found = model.predict(texts, penalty)
-                found = [x if letters else (UNDETERMINED, 0.0) for x, letters in zip(found, part.column(1).to_pylist(), strict=True)]
+                found = [x if letters else (UNDETERMINED, 0.0) for x, letters in zip(found, part.column(len(names)).to_pylist(), strict=True)]
                 lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in carried] + [lang, score], names)
-
-    # what is carried through: the id, or all columns
-    columns = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)] if keep_columns else [F.col(id_col).alias("_0")]
-    rows = docs.select(F.lower(F.col(text_col)).alias("_text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("_letters"), *columns)
-    carried = range(2, 2 + len(columns))
-    names = [f"_{k}" for k in range(len(columns))] + ["lang_pred", "score"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], lang, score], [*names, "lang_pred", "score"])
+            pa.default_memory_pool().release_unused()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    own = docs.columns if keep_columns else [id_col]
-    return out.toDF(*own, *(("_lang_pred", "_score") if keep_columns else ("lang_pred", "score")))
+    return out.toDF(*carried, *(("_lang_pred", "_score") if keep_columns else ("lang_pred", "score")))
 
 
 def language_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
