@@ -39,6 +39,9 @@ LEAST_WORDS, LEAST_EQUAL = 50, 0.8
 #: Words between two seeds of a chain at most, and the cost of each.
 LARGEST_GAP, GAP_COST = 64, 0.05
 
+#: Text bytes of one pass.
+SLICE_BYTES = 1 << 20
+
 #: Bytes of a word up to which it is hashed together with others.
 LONG_WORD = 64
 
@@ -68,15 +71,20 @@ def word_hashes(words: Words) -> np.ndarray:
     if not len(words.start):
         return np.zeros(0, np.uint64)
     size = words.end - words.start
-    padded = np.concatenate((words.data, np.zeros(7, np.uint8)))
-    # the eight bytes from each byte on; of the last ones of a word those after it count as zero
-    eights = np.ndarray(len(words.data), np.dtype("<u8"), padded, strides=(1,))
-    out = _mix((eights[words.start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(56)))
+    eights = np.concatenate((words.data, np.zeros(24 - len(words.data) % 8, np.uint8))).view("<u8")
+
+    def load(at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, from the two aligned eights that hold them."""
+        k, bits = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return eights[k] >> bits | eights[k + 1] << np.uint64(1) << (np.uint64(63) - bits)
+
+    # of the last bytes of a word those after it count as zero
+    out = _mix((load(words.start) & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(56)))
     for at in range(8, LONG_WORD, 8):
         rest = np.flatnonzero(size > at)
         if not len(rest):
             break
-        more = eights[words.start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
+        more = load(words.start[rest] + at) & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
         out[rest] = _mix(out[rest] * np.uint64(0x100000001B3) + more)
     for k in np.flatnonzero(size > LONG_WORD).tolist():
         out[k] = xxhash.xxh64_intdigest(words.data[words.start[k] : words.end[k]].tobytes())
@@ -105,7 +113,7 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _seed_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE_BYTES):
                 row, at, hashes = seeds(texts)
                 gap = pa.array(np.zeros(len(at), np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), gap, pa.array(hashes)], ["doc", "pos", "gap", "key"])
@@ -439,7 +447,7 @@ def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE_BYTES):
                 words = Words(texts)
                 hashes = word_hashes(words)
                 doc, tile, raw, ends, pos, key = [], [], [], [0], [], []
