@@ -220,9 +220,10 @@ def organisations(text: Column) -> Column:
 
     def make(x: Column, parts: Column) -> Column:
         end = x["start"] + F.length(x["m"])
-        left = at(parts, end - ORG_REACH, ORG_REACH)
-        near = F.regexp_extract(left, f"{_ORG_BODY}+$", 0)
-        far = F.regexp_extract(F.substring(text, F.lit(1), end), f"{_ORG_BODY}+$", 0)
+        # backwards, a name begins at once; forwards, each place before it would be tried
+        back = lambda left: F.reverse(F.regexp_extract(F.reverse(left), f"^{_ORG_BODY}+", 0))
+        near = back(at(parts, end - ORG_REACH, ORG_REACH))
+        far = back(F.substring(text, F.lit(1), end))
         whole = F.when((F.length(near) == ORG_REACH) & (end > ORG_REACH), far).otherwise(near)
         return let(F.struct(whole.alias("w"), F.btrim(whole, F.lit(" ·-&\"'")).alias("v"), end.alias("e"), x["m"].alias("x")), lambda p: trimmed(p, parts))
 
