@@ -78,3 +78,29 @@ def test_cover(spark):
     hit = arrays.let(arrays.cover(F.col("v")), lambda by: F.transform("q", lambda q: arrays.covered(q["start"], q["end"], by)))
     for r in rows.select("k", hit.alias("h")).collect():
         assert r.h == [any(s <= a and b <= e for s, e in lists[r.k]) for a, b in asked]
+
+
+def test_dictionary_of_many_names(spark):
+    """All places of 200 words, of words within words and overlapping ones, in one text; words with signs of patterns too."""
+    from inkveil.operators.detect import dictionary
+
+    rng = random.Random(5)
+    names = [rng.choice("赵钱孙李王") + rng.choice("一二三四五六七八九十") + rng.choice(["", "上", "中", "下"]) for _ in range(200)] + ["王一", "王一上", "一上王", ".*", "a|b", "[", "😀x", "E"]
+    text = "".join(rng.choice([*names, "，", "甲方", "aaa|b", " "]) for _ in range(3000)) + "aaaa" + spans.MARK + "王一上王"
+    rows = spark.createDataFrame([(1, text, names), (2, text, []), (3, None, names), (4, "", names), (5, "aaaa", ["aa", "a"])], "k int, t string, w array<string>")
+    got = {r.k: [tuple(x) for x in r.d] for r in rows.select("k", dictionary(F.col("t"), F.col("w")).alias("d")).collect()}
+    want = sorted({(i, w) for w in names for i in range(len(text)) if text.startswith(w, i)})
+    assert sorted(got[1]) == want and [s for s, _ in got[1]] == sorted(s for s, _ in got[1])
+    assert got[2] == got[3] == got[4] == [] and sorted(got[5]) == [(0, "a"), (0, "aa"), (1, "a"), (1, "aa"), (2, "a"), (2, "aa"), (3, "a")]
+
+
+def test_a_text_of_many_hits(spark):
+    """8,000 addresses in one text, and names copied 2,000 times: all are found, where they stand."""
+    from inkveil.plans.analysis import analyse
+    from inkveil.registry import Settings
+
+    text = "法定代表人：张三\n" + "，".join(f"mail{k}@host{k % 50}.example.com" for k in range(8000)) + "张三，" * 2000
+    row = analyse(spark.createDataFrame([(1, text)], "doc_id long, text string"), Settings(only=frozenset({"EMAIL", "PERSON_NAME"}))).select("raw", "kept", F.size("candidates").alias("n")).first()
+    assert all(row.raw[s.raw_start : s.raw_end] == s.value for s in row.kept)
+    real = [d for k in range(8000) if len(d := f"{k}{k % 50}") < 6 or len(set(d)) > 2]  # the others look made up
+    assert sum(s.type_id == "EMAIL" for s in row.kept) == len(real) > 7000 and sum(s.value == "张三" for s in row.kept) == 2001 and row.n > 7000
