@@ -164,3 +164,21 @@ def test_bad_files_cost_their_row_only(spark, tmp_path):
     assert listed == {"a.txt": ("text", True), "b.doc": (None, False)}
     with pytest.raises(Exception, match="docx first"):
         list_files(spark, str(tmp_path)).select("error").collect()
+
+
+def _broadcasts(df):
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_and_mappings_are_not_broadcast(spark):
+    """The optimiser takes both for small: at 0.1 GB the driver had no room for them."""
+    docs = spark.createDataFrame([(1, "电话：13800138001\n\n邮箱 a.b@mail.org"), (2, None)], "doc_id long, text string")
+    settings = Settings(only=frozenset({"PHONE_MOBILE", "EMAIL"}), propagate=False)
+    blocks = report.block_offsets(blocks_from_documents(docs))
+    found = analyse(as_read(docs), settings)
+    lines = report.csv_report(found, blocks)
+    assert sorted((r["类型"], r["位置"]) for r in lines.collect()) == [("EMAIL", "第 3 行"), ("PHONE_MOBILE", "第 1 行")] and not _broadcasts(lines)
+    items = rewrite.mapping_items(found)
+    lost = rewrite.unmapped_placeholders(rewrite.redact(found), items.filter("type_id = 'EMAIL'"))
+    assert [r.placeholder for r in lost.collect()] == ["[手机号码#1]"] and not _broadcasts(lost)
+    assert not _broadcasts(rewrite.restore(rewrite.redact(found), items)) and not _broadcasts(rewrite.apply_items(docs, items))
