@@ -71,3 +71,20 @@ def test_nfkc_and_keys(spark):
     assert {v for k, v in enumerate(values) if got[k].key != want(v)} <= {chr(0x19B), chr(0x264), chr(0x10791)}  # upper cases of Unicode 16
     assert all(text.key_of(v) == want(v) for v in more)
     assert one(spark, None, text.norm_key) is None
+
+
+def test_words_as_one_pattern(spark):
+    """A look at the first character spares places the alternation and changes no match; before, each rlike() in a lambda decoded its words anew."""
+    import re
+
+    from inkveil.functions.spans import any_word, one_of
+    from inkveil.functions.text import like
+    from inkveil.registry import RULES
+
+    words, texts = ["账号", "@", "a-b", "^x", "]y", "[z", "(有", "&&q", "\\w", "账"], ["开账号", "aa-b", "^x", "x]y[z", "(有", "&q &&q", "\\w", "w", "", "-", None]
+    plain = "|".join(map(re.escape, words))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", like(F.col("t"), any_word(words)).alias("any"), one_of(F.col("t"), words).alias("one"))
+    for r in rows.collect():
+        assert r["any"] == (None if r.t is None else bool(re.search(plain, r.t))), r.t
+        assert r["one"] == (None if r.t is None else r.t in words), r.t
+    assert sum(bool(r.first) for r in RULES) >= 15 and all(r.tried().startswith("(?=[") for r in RULES if r.first)
