@@ -88,3 +88,17 @@ def test_words_as_one_pattern(spark):
         assert r["any"] == (None if r.t is None else bool(re.search(plain, r.t))), r.t
         assert r["one"] == (None if r.t is None else r.t in words), r.t
     assert sum(bool(r.first) for r in RULES) >= 15 and all(r.tried().startswith("(?=[") for r in RULES if r.first)
+
+
+def test_spread_once(spark, tmp_path):
+    """Views of orders are computed in many partitions, and what was dealt out isn't dealt out again. Before, texts were made in one task and then moved."""
+    from inkveil import queries
+    from inkveil.operators.detect import spread
+
+    rows = spark.createDataFrame([(k, k, 1.5, "2024-01-02") for k in range(40)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    docs = queries.contracts(spark, str(tmp_path)).select("doc_id", "text")
+    assert docs.rdd.getNumPartitions() > 1 and docs.count() == 40
+    assert spread(docs) is docs and spread(docs.filter("doc_id > 3")).count() == 36
+    few = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    assert spread(few) is not few and spread(few).count() == 40
