@@ -72,3 +72,18 @@ def test_windows(spark, tmp_path):
         assert got == {("2024-01-01", "a"): (2, 1), ("2024-01-02", "b"): (1, 1)}, k
     table = jobs.window_counts(spark.read.parquet(f"{tmp_path}/events")).collect()
     assert {(str(r.window_start)[:10], r.event_type): (r.events, r.hits) for r in table}["2024-01-01", "a"] == (3, 2)
+
+
+def test_stream_detect_by_writing(spark, tmp_path):
+    """A value in two writings within one document has two rows, as in the SQL."""
+    import duckdb
+
+    from inkveil.oracle import ORACLE_SQL
+    from inkveil.queries import QUERIES
+
+    text = "abcd@mail.com Abcd@mail.com abcd@mail.com pay 4539148803436467 or 4539 1488 0343 6467."
+    spark.createDataFrame([(1, text), (2, text[:14]), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["stream_detect"](spark, str(tmp_path)).select("doc_id", "type_id", "value", "masked", "n").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["stream_detect"]).fetchall()) and len(got) == 5
