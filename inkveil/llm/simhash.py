@@ -95,6 +95,14 @@ def _class_links(classes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).filter("a <> b").distinct()
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """Links between ids (a, b) of fingerprints within RADIUS bits, enough of them to connect all that are; rows with a null id have none."""
+    fps = write_table(fingerprints(docs, id_col, text_col, words).filter(F.col(id_col).isNotNull()), "fingerprints")
+    classes = write_table(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+    equal = fps.join(classes, "fp").select(F.col("rep").alias("a"), F.col(id_col).alias("b")).filter("a <> b")
+    return equal.unionByName(_class_links(classes))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of docs: the id, fingerprint (16 hex digits), component_id (smallest id that links reach), kept.
 

@@ -99,3 +99,23 @@ def test_near_copies(spark, monkeypatch, pairs_each):
     got = [r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()]
     assert sorted(k for k in got if k is not None) == sorted([k for k in component if component[k] == k] + [900]) and None in got
     assert not {100 + k for k in range(30)} & set(got)
+
+
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """SimHash gives candidates, of which the similarity is checked; of the tables on the way only the ids that are left out stay."""
+    import os
+
+    from inkveil.llm import common, near_dedup, simhash
+
+    paths, new_path = [], common.new_path
+    monkeypatch.setattr(common, "new_path", lambda *a: paths.append(new_path(*a)) or paths[-1])
+    other = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "many " * 4), (2, "many " * 5), (3, other), (5, other.upper()), (4, None), (None, other)], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.links(docs).collect()} == {(1, 2), (3, 5)}
+    paths.clear()
+    # without the prefix filter's keys
+    monkeypatch.setattr(near_dedup, "_shared_keys", lambda rows: spark.createDataFrame([], "id long, m int, cap int, k long"))
+    out = corpus_pipeline.dedup_near(spark, docs, "")
+    left = [p for p in paths if os.path.exists(p.replace("file://", ""))]
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3, 4]
+    assert len(paths) > 5 and len(left) == 1 and "gone-" in left[0]
