@@ -231,3 +231,18 @@ def test_fuzzy_passages(spark):
     got = {(r.doc_id, r.partner_id) for r in substring_dedup.shared_passages(docs(spark, [(k, " ".join(w)) for k, w in texts.items()])).collect()}
     assert len([k for k in range(100) if (k, 1000 + k) in got and (1000 + k, k) in got]) >= 95
     assert len([k for k in range(50) if (2000 + k, 3000 + k) in got]) == 50
+
+
+def test_small_tables_of_rounds_are_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10 < 9], "a long, b long")
+        found = common.components(links)
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(k, k - k % 10) for k in range(300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
