@@ -97,3 +97,16 @@ def test_all_surnames_of_the_reference(spark):
     got = {(r.doc_id, r.value) for r in report.candidate_table(analyse(docs)).filter("type_id = 'PERSON_NAME'").collect()}
     assert {(k, f"{x}启明") for k, x in enumerate(rare)} <= got
     assert len(set(Settings().surnames)) == len(Settings().surnames) == 434
+
+
+def _times(column, word):
+    return str(column).lower().count(word)
+
+
+def test_names_of_organisations_are_stripped_once(spark):
+    """Within lambdas Spark computes an expression at each place where it stands: long ones stand at one."""
+    from inkveil.operators import entities
+
+    x = F.col("x")
+    assert _times(entities.org_core(x), "regexp_extract(") <= 2 * entities.ROUNDS
+    assert _times(entities.same_org(F.upper(x), F.lower(x)), "lower(") == 1
