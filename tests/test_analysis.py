@@ -110,3 +110,12 @@ def test_names_of_organisations_are_stripped_once(spark):
     x = F.col("x")
     assert _times(entities.org_core(x), "regexp_extract(") <= 2 * entities.ROUNDS
     assert _times(entities.same_org(F.upper(x), F.lower(x)), "lower(") == 1
+
+
+def test_values_and_names_before_endings_are_taken_once(spark):
+    from inkveil.functions import checks
+    from inkveil.operators import context
+
+    x = F.col("x")
+    assert _times(checks.id_card(x), "upper(") == 1 and _times(checks.uscc(x), "upper(") == 1
+    assert _times(context.organisations(x), "reverse(") <= 4
