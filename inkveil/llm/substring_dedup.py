@@ -54,9 +54,10 @@ TILE = 256
 #: Words by which ends are extended at most in one go; a word that differs costs this much, an equal one gains 1, and this drop ends it.
 REACH, MISMATCH, DROP = 64, 4.0, 24.0
 
-_CHAINS = "doc long, partner long, x array<int>, y array<int>, n array<int>"
-_SUSPECTS = "doc long, keys array<struct<key: long, pos: int, gap: int>>, first array<int>, last array<int>"
-_TILES = "doc long, tile int, words binary, windows array<struct<pos: int, key: long>>"
+#: x0, y0, x1, y1: where a chain begins and ends in both texts; chain: the places x, then y, then the words n of its segments.
+_CHAINS = "doc long, partner long, x0 int, y0 int, x1 int, y1 int, chain binary"
+_SUSPECTS = "doc long, keys array<struct<key: long, pos: int, gap: int, end: byte>>, first array<int>, last array<int>"
+_TILES = "doc long, tile int, words binary, windows array<struct<pos: int, key: long, end: byte>>"
 _PASSAGES = "doc_id long, first_word long, last_word long, partner_id long, partner_first_word long, partner_last_word long, n_equal long, identity double"
 
 
@@ -110,26 +111,46 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, picked - words.first[row], grams[picked].view(np.int64)
 
 
+def marks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each occurrence whether it is the first (1) and the last (2) of its keys; order sorts them by the keys, then by place."""
+    turn = np.zeros(len(order) + 1, bool)
+    turn[[0, -1]] = True
+    for k in keys:
+        k = k[order]
+        turn[1:-1] |= k[1:] != k[:-1]
+    out = np.zeros(len(order), np.int8)
+    out[order] = turn[:-1] + 2 * turn[1:]
+    return out
+
+
 def _seed_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text", SLICE_BYTES):
                 row, at, hashes = seeds(texts)
-                gap = pa.array(np.zeros(len(at), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), gap, pa.array(hashes)], ["doc", "pos", "gap", "key"])
+                gap, end = pa.array(np.zeros(len(at), np.int32)), pa.array(marks(np.lexsort((hashes, row)), row, hashes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), gap, pa.array(hashes), end], ["doc", "pos", "gap", "key", "end"])
 
-    return docs.mapInArrow(run, "doc long, pos int, gap int, key long")
+    return docs.mapInArrow(run, "doc long, pos int, gap int, key long, end byte")
 
 
 # links
 
 
 def _linked(found: DataFrame, tag: str) -> DataFrame:
-    """Occurrences (doc, pos, gap, key) of keys that several documents have, with their number n, the first one a, the last b."""
-    place = F.struct("doc", "pos", "gap")
-    ends = found.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b"))
-    ends = write_table(ends.filter("a.doc <> b.doc"), f"{tag}-ends")
-    return write_table(join_hot(found, ends, ["key"], ends.select("key", "n")), tag)
+    """Occurrences (doc, pos, gap, key) of keys that several documents have, with their number n, the first one a, the last b.
+
+    end: marks() of each occurrence within its document. With them all that is summed up are numbers, which Spark does without sorting.
+    """
+    doc, place = F.col("doc"), F.shiftleft(F.col("pos").cast("long"), 32) + F.col("gap")
+    first, last = F.when(F.col("end").bitwiseAND(1) > 0, doc), F.when(F.col("end").bitwiseAND(2) > 0, doc)
+    ends = found.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(doc).alias("a"), F.min_by(place, first).alias("a_place"), F.max(doc).alias("b"), F.max_by(place, last).alias("b_place")
+    ).filter("a <> b")
+    at = lambda e: F.struct(F.col(e).alias("doc"), F.shiftright(f"{e}_place", 32).cast("int").alias("pos"), F.col(f"{e}_place").bitwiseAND((1 << 32) - 1).cast("int").alias("gap")).alias(e)  # noqa: E731, E501
+    ends = write_table(ends.select("key", "n", at("a"), at("b")), f"{tag}-ends")
+    # a row for each key, so a task's part of them is small
+    return write_table(join_hot(found.drop("end"), ends.hint("shuffle_hash"), ["key"], ends.select("key", "n")), tag)
 
 
 def _pairs(linked: DataFrame) -> DataFrame:
@@ -152,23 +173,33 @@ def suspects(pos: np.ndarray, seed: np.ndarray, many: np.ndarray, ends: np.ndarr
     """
     keys, places, gaps = [], [], []
     for step in (1, 2):
-        use = many[:-step] & many[step:] & (pos[step:] - pos[:-step] <= 2 * WINDOW) & (ends[:-step] != ends[step:]).any(axis=1)
-        keys.append(_mix(_mix(seed[:-step][use].view(np.uint64)) + seed[step:][use].view(np.uint64) * np.uint64(2 * step + 1)).view(np.int64))
-        places.append(pos[:-step][use])
-        gaps.append((pos[step:] - pos[:-step])[use])
-    cut = np.flatnonzero(np.diff(pos) > WINDOW) + 1
-    start, stop = pos[np.r_[0, cut]], pos[np.r_[cut, len(pos)] - 1]
+        use = many[:-step] & many[step:]
+        if not use.any():
+            continue
+        use = np.flatnonzero(use & (pos[step:] - pos[:-step] <= 2 * WINDOW) & (ends[:-step] != ends[step:]).any(axis=1))
+        if not len(use):
+            continue
+        keys.append(_mix(_mix(seed[use].view(np.uint64)) + seed[use + step].view(np.uint64) * np.uint64(2 * step + 1)).view(np.int64))
+        places.append(pos[use])
+        gaps.append(pos[use + step] - pos[use])
+    keys, places, gaps = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((keys, np.int64), (places, pos.dtype), (gaps, pos.dtype)))
+    cut = np.flatnonzero(pos[1:] - pos[:-1] > WINDOW) + 1
+    start, stop = pos[np.concatenate(([0], cut))], pos[np.concatenate((cut, [len(pos)])) - 1]
     # the inner part of a window at s: from s + WINDOW - 1 to s + inner
     inner = least_words - SEED_WORDS - WINDOW + 1
     lo, hi = np.maximum(start - 2 * (WINDOW - 1), 0), stop - inner + WINDOW - 1
     use = lo <= hi
+    if not use.any():
+        return keys, places, gaps, *(np.zeros(0, np.int64),) * 2
     size = hi[use] - lo[use] + 1
     at = np.arange(size.sum()) + np.repeat(lo[use] - np.cumsum(size) + size, size)
     few = pos[~many]
-    at = np.unique(at[np.searchsorted(few, at + inner, "right") - np.searchsorted(few, at + WINDOW - 1) <= 1])
-    cut = np.flatnonzero(np.diff(at) > 1) + 1
-    first, last = (at[np.r_[0, cut]], at[np.r_[cut, len(at)] - 1]) if len(at) else (at, at)
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(gaps), first, last
+    if len(few):
+        at = at[np.searchsorted(few, at + inner, "right") - np.searchsorted(few, at + WINDOW - 1) <= 1]
+    at = np.unique(at)
+    cut = np.flatnonzero(at[1:] - at[:-1] > 1) + 1
+    first, last = (at[np.concatenate(([0], cut))], at[np.concatenate((cut, [len(at)])) - 1]) if len(at) else (at, at)
+    return keys, places, gaps, first, last
 
 
 def _suspect_rows(linked: DataFrame, least_words: int) -> DataFrame:
@@ -182,7 +213,9 @@ def _suspect_rows(linked: DataFrame, least_words: int) -> DataFrame:
 
             ends, key = lists([r[1] for r in rows], pa.int64())
             pos, gap = (lists([r[k] for r in rows], pa.int32())[1] for k in (2, 3))
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([key, pos, gap], ["key", "pos", "gap"]))
+            row, raw = np.repeat(np.arange(len(rows)), np.diff(ends)), key.to_numpy()
+            end = pa.array(marks(np.lexsort((gap.to_numpy(), pos.to_numpy(), raw, row)), row, raw))
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([key, pos, gap, end], ["key", "pos", "gap", "end"]))
             ranges = [pa.ListArray.from_arrays(pa.array(e), v) for e, v in (lists([r[k] for r in rows], pa.int32()) for k in (4, 5))]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), keys, *ranges], ["doc", "keys", "first", "last"])
 
@@ -208,9 +241,11 @@ def segments(x: np.ndarray, y: np.ndarray, words: int = SEED_WORDS, reach: int =
     """Matches (x, y) of so many words as runs (x, y, words) on one diagonal without gaps over reach, by x."""
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
-    new = np.r_[True, (np.diff(y - x) != 0) | (np.diff(x) > reach)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(x)] - 1
+    d = y - x
+    cut = np.flatnonzero((d[1:] != d[:-1]) | (x[1:] - x[:-1] > reach))
+    if not len(cut):
+        return [(int(x[0]), int(y[0]), int(x[-1] - x[0]) + words)]
+    first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(x) - 1]))
     return sorted(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + words).tolist(), strict=True))
 
 
@@ -221,6 +256,8 @@ def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     it begins no earlier than the other's end in both texts; the best one to follow comes from a Fenwick tree over the
     partner's positions that holds for each prefix the largest score plus cost already paid. Gaps over LARGEST_GAP cut.
     """
+    if len(parts) == 1:
+        return [parts]
     ends = sorted({y + n for _, y, n in parts})
     rank = {e: k + 1 for k, e in enumerate(ends)}
     tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(ends) + 1)
@@ -265,20 +302,22 @@ def _chain_rows(matches: DataFrame, words: int = SEED_WORDS) -> DataFrame:
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), *(pa.list_(pa.int32()),) * 3)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "partner", "x", "y", "n"])
+            kinds = (pa.int64(), pa.int64(), *(pa.int32(),) * 4, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "partner", "x0", "y0", "x1", "y1", "chain"])
 
         for group in groups(batches, 2):
             x, y, gx, gy = (group[c].astype(np.int64) for c in ("x", "y", "gx", "gy"))
             if (wide := gx > 0).any():  # a key of two seeds
-                x, y = np.unique(np.stack((np.r_[x, (x + gx)[wide]], np.r_[y, (y + gy)[wide]])), axis=1)
+                both = np.unique(np.concatenate((x, (x + gx)[wide])) << 32 | np.concatenate((y, (y + gy)[wide])))
+                x, y = both >> 32, both & 0xFFFFFFFF
             if words > SEED_WORDS:
                 found = [[part] for part in segments(x, y, words, words)]
             else:
                 found = chains(segments(x, y)) if len(x) > 1 else []
             for chain in found:
-                if chain[-1][0] + chain[-1][2] - chain[0][0] > SEED_WORDS:
-                    rows.append((group["doc"][0], group["partner"][0], *([s[k] for s in chain] for k in range(3))))
+                (x0, y0, _), (x1, y1, n) = chain[0], chain[-1]
+                if x1 + n - x0 > SEED_WORDS:
+                    rows.append((group["doc"][0], group["partner"][0], x0, y0, x1 + n, y1 + n, np.array(chain, np.int32).T.tobytes()))
             if len(rows) >= 5000:
                 yield batch()
                 rows.clear()
@@ -291,12 +330,22 @@ def _chain_rows(matches: DataFrame, words: int = SEED_WORDS) -> DataFrame:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a.tolist(), 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b.tolist(), 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """By Myers' bit vectors: differences between neighbours in a column of the table are the bits of two integers."""
+    if not len(a):
+        return len(b)
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    most, top, out = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = most, 0
+    for y in b.tolist():
+        same = places.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & most, up & across
+        out += bool(more & top) - bool(less & top)
+        more, less, same = more << 1 | 1, less << 1, same | down
+        up, down = (less | ~(same | more)) & most, more & same & most
+    return out
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -304,14 +353,18 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     n = min(len(a), len(b))
     if not n:
         return 0, 0
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1.0, -MISMATCH))
-    over = np.flatnonzero(np.maximum.accumulate(score) - score > DROP)
-    stop = int(over[0]) if len(over) else n
-    if not stop or score[: stop].max() <= 0:
-        return 0, 0
-    size = int(score[:stop].argmax()) + 1
-    return size, int(same[:size].sum())
+    unlike = np.flatnonzero(a[:n] != b[:n]).tolist()
+    # the score is largest where equal words end
+    best, size, equal, score, at = -np.inf, 0, 0, 0.0, 0
+    for k, stop in enumerate((*unlike, n)):
+        score += stop - at
+        if stop > at and score > best:
+            best, size, equal = score, stop, stop - k
+        at = stop + 1
+        score -= MISMATCH
+        if at > n or max(best, -MISMATCH) - score > DROP:
+            break
+    return (size, equal) if best > 0 else (0, 0)
 
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least_words: int, least_equal: float) -> list[tuple[int, int, int, int, int]]:
@@ -324,8 +377,9 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]], least
     joined: list[list[tuple[int, int, int]]] = []
     equal: list[int] = []
     for sx, sy, n in chain:
-        turn = np.flatnonzero(np.diff(np.r_[0, a[sx : sx + n] == b[sy : sy + n], 0]))
-        for i, j in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+        unlike = a[sx : sx + n] != b[sy : sy + n]
+        turn = np.flatnonzero(unlike).tolist()
+        for i, j in zip((0, *(k + 1 for k in turn)), (*turn, len(unlike)), strict=True):
             if j - i < SEED_WORDS:
                 continue
             x, y, size = sx + i, sy + i, j - i
@@ -356,6 +410,8 @@ def _best_stretch(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]
     """The most equal stretch of least_words words in both texts along a chain and up to so many words before and after it, if it is equal enough."""
     (sx, sy, _), (ex, ey, en) = chain[0], chain[-1]
     back, ahead = min(least_words, sx, sy), min(least_words, len(a) - ex - en, len(b) - ey - en)
+    if min(ex - sx, ey - sy) + en + back + ahead < least_words:
+        return []
     # the path's steps: words that it takes from both texts, and whether they are equal
     same, dx, dy = [], [], []
 
@@ -377,9 +433,9 @@ def _best_stretch(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]
                 dx.append((np.arange(size) < gx).astype(np.int64))
                 dy.append((np.arange(size) < gy).astype(np.int64))
     diagonal(ex + en, ey + en, ahead)
-    equal, x, y = (np.concatenate(([0], np.cumsum(np.concatenate(v)))) for v in (same, dx, dy))
-    if min(x[-1], y[-1]) < least_words:
+    if sum(map(np.count_nonzero, same)) / least_words < least_equal:
         return []
+    equal, x, y = (np.concatenate(([0], np.cumsum(np.concatenate(v)))) for v in (same, dx, dy))
     start = np.arange(len(x))
     stop = np.maximum(np.searchsorted(x, x + least_words), np.searchsorted(y, y + least_words))
     start, stop = start[stop < len(x)], stop[stop < len(x)]
@@ -450,7 +506,7 @@ def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: in
             for part, texts in slices(batch, "text", SLICE_BYTES):
                 words = Words(texts)
                 hashes = word_hashes(words)
-                doc, tile, raw, ends, pos, key = [], [], [], [0], [], []
+                doc, tile, raw, ends, pos, key, end = [], [], [], [0], [], [], []
                 for k, (d, tiles, first, last) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True)):
                     own = hashes[words.first[k] : words.first[k + 1]]
                     at, whole = np.zeros(0, np.int64), window_hashes(own, least_words) if first else None
@@ -458,6 +514,7 @@ def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: in
                         at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
                         at = at[at < len(whole)]
                         at = thinned(at, whole[at], least_words)
+                        end.append(marks(np.argsort(whole[at], kind="stable"), whole[at]))
                         covered = np.concatenate([np.arange(a // TILE, (b + least_words + REACH) // TILE + 1) for a, b in zip(np.maximum(np.array(first) - REACH, 0), last, strict=True)])
                         tiles = np.union1d(covered, tiles or []).astype(int).tolist()
                     short = own.astype(np.uint32)
@@ -470,7 +527,8 @@ def _tiles(docs: DataFrame, wanted: DataFrame, found: DataFrame, least_words: in
                         key.append(whole[mine] if len(mine) else np.zeros(0, np.uint64))
                         ends.append(ends[-1] + len(mine))
                 pos, key = np.concatenate([np.zeros(0, np.int64), *pos]), np.concatenate([np.zeros(0, np.uint64), *key])
-                windows = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64))], ["pos", "key"])
+                end = pa.array(np.concatenate([np.zeros(0, np.int8), *end]))
+                windows = pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), end], ["pos", "key", "end"])
                 windows = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), windows)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tile, pa.int32()), pa.array(raw, pa.binary()), windows], ["doc", "tile", "words", "windows"])
 
@@ -504,27 +562,26 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _one_text_each(rows)
     linked = _linked(write_table(_seed_rows(rows), "seeds"), "shared-seeds")
     found = write_table(_suspect_rows(linked, least_words), "suspects")
-    neighbours = _linked(found.select("doc", F.inline("keys")).select("doc", "pos", "gap", "key"), "neighbours")
+    neighbours = _linked(found.select("doc", F.inline("keys")).select("doc", "pos", "gap", "key", "end"), "neighbours")
     chained = write_table(_chain_rows(_pairs(linked).unionByName(_pairs(neighbours))), "chains")
 
     # both sides of each chain as tiles, with room to extend the ends
     def reach(side: str) -> Column:
-        lo = F.greatest(F.lit(0), F.get(side, F.lit(0)) - REACH)
-        hi = F.element_at(side, -1) + F.element_at("n", -1) + REACH
+        lo, hi = F.greatest(F.lit(0), F.col(f"{side}0") - REACH), F.col(f"{side}1") + REACH
         return F.sequence(F.floor(lo / TILE).cast("int"), F.floor(hi / TILE).cast("int"))
 
     x, y = reach("x"), reach("y")
     wanted = chained.select("doc", F.explode(x).alias("tile")).union(chained.select("partner", F.explode(y))).distinct()
     tiles = write_table(_tiles(rows, wanted, found, least_words), "tiles")
-    windows = tiles.select("doc", F.inline("windows")).select("doc", "pos", F.lit(0).alias("gap"), "key")
+    windows = tiles.select("doc", F.inline("windows")).select("doc", "pos", F.lit(0).alias("gap"), "key", "end")
     of_windows = write_table(_chain_rows(_pairs(_linked(windows, "windows")), least_words), "window-chains")
     chained = chained.withColumn("kind", F.lit(0)).unionByName(of_windows.withColumn("kind", F.lit(1)))
-    keys = ["doc", "partner", "kind", F.get("x", F.lit(0)).alias("x0"), F.get("y", F.lit(0)).alias("y0")]
-    sides = chained.select(*keys, F.lit(0).alias("side"), F.col("doc").alias("of"), F.explode(x).alias("tile"), "x", "y", "n").unionByName(
-        chained.select(*keys, F.lit(1).alias("side"), F.col("partner").alias("of"), F.explode(y).alias("tile"), *[F.lit(None).cast("array<int>").alias(c) for c in ("x", "y", "n")])
+    keys = ["doc", "partner", "kind", "x0", "y0"]
+    sides = chained.select(*keys, F.lit(0).alias("side"), F.col("doc").alias("of"), F.explode(x).alias("tile"), "chain").unionByName(
+        chained.select(*keys, F.lit(1).alias("side"), F.col("partner").alias("of"), F.explode(y).alias("tile"), F.lit(None).cast("binary").alias("chain"))
     )
     tiles = tiles.select(F.col("doc").alias("of"), "tile", "words")
-    both = join_hot(sides, tiles, ["of", "tile"]).select("doc", "partner", "kind", "x0", "y0", "side", "tile", "x", "y", "n", "words")
+    both = join_hot(sides, tiles, ["of", "tile"]).select("doc", "partner", "kind", "x0", "y0", "side", "tile", "chain", "words")
     both = both.repartition("doc", "partner").sortWithinPartitions("doc", "partner", "kind", "x0", "y0", "side", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,13 +593,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         pair, known = None, set()
         for g in groups(batches, 5):
-            mine = g["side"] == 0
-            chain = list(zip(*(g[c][0].tolist() for c in ("x", "y", "n")), strict=True))
-            a, b = (np.concatenate([np.frombuffer(w, np.uint32) for w in g["words"][s]]) for s in (mine, ~mine))
-            dx, dy = int(g["tile"][mine][0]) * TILE, int(g["tile"][~mine][0]) * TILE
+            mine = len(g["side"]) - np.count_nonzero(g["side"])  # the tiles of the first text come first
+            a, b = (np.frombuffer(b"".join(g["words"][s]), np.uint32) for s in (slice(mine), slice(mine, None)))
+            dx, dy = int(g["tile"][0]) * TILE, int(g["tile"][mine]) * TILE
             if pair != (pair := (g["doc"][0], g["partner"][0])):
                 known.clear()
-            for x0, x1, y0, y1, equal in align(a, b, [(x - dx, y - dy, n) for x, y, n in chain], least_words, least_equal):
+            chain = np.frombuffer(g["chain"][0], np.int32).reshape(3, -1) - np.array([[dx], [dy], [0]])
+            for x0, x1, y0, y1, equal in align(a, b, list(zip(*chain.tolist(), strict=True)), least_words, least_equal):
                 one, two = (pair[0], x0 + dx, x1 + dx - 1), (pair[1], y0 + dy, y1 + dy - 1)
                 if (one, two) not in known:
                     known.add((one, two))

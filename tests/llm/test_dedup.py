@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -246,3 +247,25 @@ def test_small_tables_of_rounds_are_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_passages_without_sorts_or_tables():
+    # first and last occurrences are marked where they are made, so that keys are summed up as numbers: (3, 0) is both of its key
+    row, key = np.array([0, 0, 0, 1, 1]), np.array([7, 5, 7, 7, 7])
+    assert substring_dedup.marks(np.lexsort((key, row)), row, key).tolist() == [1, 3, 2, 1, 2]
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(0, 12)) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        table[0], table[:, 0] = np.arange(len(b) + 1), np.arange(len(a) + 1)
+        for i, j in np.ndindex(len(a), len(b)):
+            table[i + 1, j + 1] = min(table[i, j] + (a[i] != b[j]), table[i, j + 1] + 1, table[i + 1, j] + 1)
+        assert substring_dedup.edit_distance(a, b) == table[-1, -1]
+        n = min(len(a), len(b))
+        score = np.cumsum(np.where(a[:n] == b[:n], 1, -4))
+        size = int(score.argmax()) + 1 if n and score.max() > 0 else 0
+        if (np.maximum.accumulate(score) - score <= 24).all():
+            assert substring_dedup._extend(a, b) == (size, int((a[:size] == b[:size]).sum()))
+    began = time.process_time()
+    assert substring_dedup.edit_distance(np.arange(5000), np.arange(1, 5001)) == 2
+    assert time.process_time() - began < 2
