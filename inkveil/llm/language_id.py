@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import Words, slices, unit_hash
+from inkveil.llm.common import Words, give_back, slices, unit_hash
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 15
@@ -275,7 +275,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                 found = [x if letters else (UNDETERMINED, 0.0) for x, letters in zip(found, part.column(len(names)).to_pylist(), strict=True)]
                 lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], lang, score], [*names, "lang_pred", "score"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

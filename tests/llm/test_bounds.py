@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.llm import common, language_id, near_dedup, quality, substring_dedup, toxicity
 
@@ -179,3 +181,22 @@ def test_recall_of_fuzzy_passages(spark):
             assert r.partner_id == r.doc_id + 1 and inside >= 0.8 * (r.last_word - r.first_word + 1) and r.identity >= 0.8
             found[n, equal] += 1
     assert all(found[k] >= least for k, least in RECALL.items()), found
+
+
+def test_batches_are_small_within_scratch(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t"))
+    most = lambda: texts.mapInArrow(run, "n long").agg(F.max("n")).first()[0]
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    with common.scratch(spark):
+        assert most() < 2 * common.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
+    try:
+        with common.scratch(spark):
+            assert most() < 2 << 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
