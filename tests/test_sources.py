@@ -123,3 +123,15 @@ def test_settings_in_json():
     meta, rule = st.type_map()["A"], st.extra_rules[0]
     assert (meta.label, meta.category, meta.severity, meta.keep_head, meta.keep_tail, meta.priority) == ("A", "自定义", "medium", 1, 2, 7)
     assert (rule.conf_ok, rule.conf_weak, rule.keywords, rule.boost, rule.require_keyword) == (0.7, 0.4, ("k",), 0.15, False)
+
+
+def test_page_texts_are_computed_once(spark):
+    from inkveil.sources import layout
+
+    words = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 9.0, 6.0), (1, 1, " ", 10.0, 0.0, 19.0, 6.0), (1, 2, " ", 0.0, 0.0, 9.0, 6.0)], "doc_id long, page int, text string, x0 double, top double, x1 double, bottom double")
+    blocks = layout.page_blocks(words)
+    assert [(r.page, r.text, [(b.start, b.end) for b in r.word_boxes]) for r in blocks.collect()] == [(1, "a  ", [(0, 1), (2, 3)])]
+    # the filter on the text has no copy of it, and boxes that nobody asks for aren't made
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(blocks).count("array_join(") == 1
+    assert plan(blocks.select("text")).count("x0") < plan(blocks).count("x0")
